@@ -96,7 +96,3 @@ def backfill_labels(titles: DataFrame, labels: DataFrame, fresh: DataFrame, key:
     latest = merged.groupBy(key).agg(*[F.max_by(c, "load_no").alias(c) for c in columns])
     return todo, latest
 
-
-__all__ = [
-    "backfill_labels", "completed_events", "last_failed_url", "latest_counters", "link_status", "open_failures", "retry_accounting",
-]

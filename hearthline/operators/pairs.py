@@ -13,8 +13,8 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hearthline.operators.errors import wide_predictions
 from hearthline.operators.ranking import average_ranks
 from hearthline.operators.sampling import bootstrap_mean_ci
 
@@ -121,13 +121,13 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return value
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a paired t statistic over n pairs; used on pair tables only."""
     return pd.Series([_student_tail(a, b - 1) for a, b in zip(t.astype(float), n.astype(float))])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail; used on pair tables only."""
     return z.astype(float).map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)))
@@ -167,8 +167,3 @@ def seed_comparison(predictions: DataFrame, first: str, second: str, seed: str =
     diffs = model_pairs(predictions, [(first, second)], by=[seed])
     return paired_t(diffs, [seed])
 
-
-__all__ = [
-    "all_pairs", "holm", "model_pairs", "normal_p", "paired_t", "reference_significance", "seed_comparison",
-    "signed_rank_z", "signed_ranks", "significance", "student_p", "wide_predictions",
-]
