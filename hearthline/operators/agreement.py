@@ -81,7 +81,7 @@ def agreement_summary(per_label: DataFrame, by: Sequence[str] = ()) -> DataFrame
 def config_evaluation(answers: DataFrame, labels: Sequence[str], by: str = "config") -> DataFrame:
     """Per annotation set-up: rows, parse rate, coverage and positives over parsed rows."""
     positives = sum((F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in labels), F.lit(0))
-    return answers.withColumn("_pos", F.when("parse_ok", positives)).groupBy(by).agg(
+    return answers.withColumn("_pos", F.when(F.col("parse_ok"), positives)).groupBy(by).agg(
         F.count("*").alias("n"), F.avg(F.col("parse_ok").cast("int")).alias("parse_ok_rate"),
         F.avg((F.col("_pos") > 0).cast("int")).alias("coverage"), F.avg("_pos").alias("mean_positives"),
     )
