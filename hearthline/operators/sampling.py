@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.functions.hashing import hash_fold, hash_key, hash_uniform
+from hearthline.functions.hashing import hash_fold, hash_key
 from hearthline.operators.ranking import lowest_hash_cutoffs, null_safe_join, order_cutoff, positions
 
 TOP_N_LIMIT = 10_000
@@ -135,7 +135,8 @@ def bootstrap_mean_ci(df: DataFrame, value: str, id_col: str, by: Sequence[str]
         return bootstrap_mean_ci(df.withColumn("_all", F.lit(1)), value, id_col, ["_all"], replicates, seed).drop("_all")
     by = list(by)
     drawn = df.select(*by, F.col(value).cast("double").alias("_x"), F.col(id_col).alias("_id"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
-    uniform = hash_uniform(F.concat_ws("_", F.col("_id").cast("string"), F.col("_rep").cast("string")), seed)
+    # A 53-bit uniform from a native hash; millions of draws per second and the same on every rerun.
+    uniform = F.shiftrightunsigned(F.xxhash64("_id", "_rep", F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)
     weighted = drawn.withColumn("_u", uniform)
     weight = F
     for count, limit in enumerate(POISSON_CUMULATIVE):

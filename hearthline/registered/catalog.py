@@ -6,7 +6,7 @@ import importlib
 
 from hearthline.registered.base import ORACLE, QUERIES, Query
 
-MODULES = ("cleaning_queries", "aggregate_queries", "ordering_queries", "text_queries", "paired_queries", "log_queries")
+MODULES = ("cleaning_queries", "aggregate_queries", "ordering_queries", "text_queries", "paired_queries", "log_queries", "model_queries")
 
 
 def _load() -> None:
