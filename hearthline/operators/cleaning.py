@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthline import config
 from hearthline.functions import listing as fx
 from hearthline.operators.ranking import exact_quantiles, null_safe_join, quantile_bounds
+from hearthline.session import materialise
 
 
 def keep_one(df: DataFrame, key: str | Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -75,7 +76,7 @@ def clean_listings(listings: DataFrame, communities: DataFrame) -> DataFrame:
     """Dedupe, coerce, validate, trim, join."""
     numeric = ["total_price_wan", "area_sqm", "room_count", "hall_count", "bath_count", "total_floors"]
     houses = coerce_numbers(keep_first(listings, "house_id", "extracted_at"), numeric)
-    valid = houses.filter(is_usable())
+    valid = materialise(houses.filter(is_usable()))
     trimmed = valid.filter(within_bounds(trim_bounds(valid)))
     return join_community(trimmed, community_counts(keep_first(communities, "community_id", "extracted_at")))
 
@@ -182,7 +183,10 @@ NOISE_GLOBAL_PROBS = {"low": 0.005, "high": 0.995}
 
 
 def noise_flags(df: DataFrame, group: str, price: str = "total_price_wan", area: str = "area_sqm", min_group: int = 10) -> DataFrame:
-    """Adds unit_outlier, total_outlier, area_outlier, strict_noise and moderate_noise."""
+    """Adds unit_outlier, total_outlier, area_outlier, strict_noise and moderate_noise.
+
+    Reads ``df`` several times for bounds, two columns at a time: pass a written table.
+    """
     priced = df.withColumn("unit_price", F.col(price) / F.greatest(F.col(area), F.lit(1e-6)))
     per_group = exact_quantiles(priced, "unit_price", NOISE_GROUP_PROBS, by=[group])
     overall = quantile_bounds(priced, ["unit_price"], NOISE_GROUP_PROBS)["unit_price"]

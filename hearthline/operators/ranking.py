@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from hearthline.functions.hashing import HASH_SPACE, hash_key
 from hearthline.session import materialise
 
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 50_000
+SMALL_GROUP = 20_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -30,47 +31,65 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_right_{key}" for key in keys])
 
 
-def _bracketed_counts(rows: DataFrame, by: list[str], probs: Sequence[float], accuracy: int) -> DataFrame:
-    """Counts per (group, value) inside the brackets and per gap outside them, with running totals per group."""
-    margin = 3.0 / accuracy
-    ends = [(max(p - margin, 0.0), min(p + margin, 1.0)) for p in probs]
-    sketch = rows.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [e for pair in ends for e in pair], accuracy).alias("_e"),
+def _bracket_ends(probs: Sequence[float], accuracy: int) -> list[tuple[float, float]]:
+    """Sketch error plus at least two ranks on each side, for any group larger than SMALL_GROUP."""
+    margin = 1.0 / accuracy + 2.5 / SMALL_GROUP
+    return [(max(p - margin, 0.0), min(p + margin, 1.0)) for p in probs]
+
+
+def _sketch(value: Column, ends: list[tuple[float, float]], accuracy: int) -> Column:
+    return F.struct(
+        F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"),
+        F.percentile_approx(value, [e for pair in ends for e in pair], accuracy).alias("edges"),
     )
-    if by:
-        # The explicit exchange lets adaptive execution broadcast the summary or split a hot group.
-        joined = null_safe_join(rows, sketch.repartition(*by), by, "inner")
-        n, least, most = F.col("_n"), F.col("_min"), F.col("_max")
-        edge = [F.element_at("_e", i + 1) for i in range(2 * len(ends))]
-    else:
-        summary = sketch.first()
-        joined = rows.withColumn("_n", F.lit(summary["_n"]))
-        kind = rows.schema["_v"].dataType
-        n, least, most = F.lit(summary["_n"]), F.lit(summary["_min"]).cast(kind), F.lit(summary["_max"]).cast(kind)
-        edge = [F.lit(e).cast(kind) for e in (summary["_e"] or [None] * (2 * len(ends)))]
-    small = n <= 4 * accuracy
-    value = F.col("_v")
-    key = slot = None
-    previous = F.lit(None).cast(rows.schema["_v"].dataType)
+
+
+def _bracket_key(value: Column, n: Column, least: Column, most: Column, edges: Sequence[Column], ends: list[tuple[float, float]]) -> Column:
+    """struct(k, o): the value itself with o = 0 inside a bracket, else the end of the last bracket below with o = 1.
+
+    Groups up to SMALL_GROUP rows have one bracket from end to end.
+    """
+    small = n <= SMALL_GROUP
+    previous = F.when(F.lit(False), least)
+    chain = F
     for i, (low_p, high_p) in enumerate(ends):
-        low = least if low_p <= 0 else F.when(small, least).otherwise(edge[2 * i])
-        high = most if high_p >= 1 else F.when(small, most).otherwise(edge[2 * i + 1])
-        if key is None:
-            key = F.when(value < low, previous).when(value <= high, value)
-            slot = F.when(value < low, 1).when(value <= high, 0)
-        else:
-            key = key.when(value < low, previous).when(value <= high, value)
-            slot = slot.when(value < low, 1).when(value <= high, 0)
+        low = least if low_p <= 0 else F.when(small, least).otherwise(edges[2 * i])
+        high = most if high_p >= 1 else F.when(small, most).otherwise(edges[2 * i + 1])
+        chain = chain.when(value < low, F.struct(previous.alias("k"), F.lit(1).alias("o")))
+        chain = chain.when(value <= high, F.struct(value.alias("k"), F.lit(0).alias("o")))
         previous = high
-    tagged = joined.select(*by, "_n", key.otherwise(previous).alias("_k"), slot.otherwise(1).alias("_o"))
-    counted = tagged.groupBy(*by, "_n", "_k", "_o").agg(F.count("*").alias("_c"))
+    return chain.otherwise(F.struct(previous.alias("k"), F.lit(1).alias("o")))
+
+
+def _running_counts(tagged: DataFrame, by: list[str]) -> DataFrame:
+    """Counts per (group, key) and their running totals; ``tagged`` has by, _n and the key struct _b."""
+    flat = tagged.select(*by, "_n", F.col("_b.k").alias("_k"), F.col("_b.o").alias("_o"))
+    counted = flat.groupBy(*by, "_n", "_k", "_o").agg(F.count("*").alias("_c"))
     order = Window.partitionBy(*by).orderBy(F.col("_k").asc_nulls_first(), "_o")
     return counted.withColumn("_cum", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def _bracketed_counts(rows: DataFrame, by: list[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """Counts per (group, value) inside the brackets and per gap outside them, with running totals per group."""
+    ends = _bracket_ends(probs, accuracy)
+    value = F.col("_v")
+    if not by:
+        facts = rows.agg(_sketch(value, ends, accuracy).alias("s")).first()["s"]
+        return _running_counts(rows.select(F.lit(facts["n"]).alias("_n"), _literal_key(rows, value, facts, ends).alias("_b")), by)
+    summary = rows.groupBy(*by).agg(_sketch(value, ends, accuracy).alias("_s"))
+    # The explicit exchange lets adaptive execution broadcast the summary or split a hot group.
+    joined = null_safe_join(rows, summary.repartition(*by), by, "inner")
+    edges = [F.element_at("_s.edges", i + 1) for i in range(2 * len(ends))]
+    key = _bracket_key(value, F.col("_s.n"), F.col("_s.least"), F.col("_s.most"), edges, ends)
+    return _running_counts(joined.select(*by, F.col("_s.n").alias("_n"), key.alias("_b")), by)
+
+
+def _literal_key(rows: DataFrame, value: Column, facts, ends: list[tuple[float, float]]) -> Column:
+    kind = "double" if rows is None else rows.schema["_v"].dataType
+    edges = [F.lit(e).cast(kind) for e in (facts["edges"] or [None] * (2 * len(ends)))]
+    return _bracket_key(value, F.lit(facts["n"]), F.lit(facts["least"]).cast(kind), F.lit(facts["most"]).cast(kind), edges, ends)
+
+
 def _value_at(rank: Column) -> Column:
     """Aggregate: the value at a 1-based rank of a running count, failing when a gap counter holds that rank."""
     reached = F.col("_cum") >= rank
@@ -90,13 +109,15 @@ def exact_quantiles(
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(*by, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     ordered = sorted(set(probs.values()))
-    counts = _bracketed_counts(rows, by, ordered, accuracy)
-    n = F.first("_n")
+    return _interpolated(_bracketed_counts(rows, by, ordered, accuracy), by, probs, ordered)
+
+
+def _interpolated(counts: DataFrame, by: list[str], probs: Mapping[str, float], ordered: Sequence[float]) -> DataFrame:
     picks = []
     for i, p in enumerate(ordered):
         at = (F.col("_n") - 1) * F.lit(float(p))
         picks += [_value_at(F.floor(at) + 1).alias(f"_l{i}"), _value_at(F.ceil(at) + 1).alias(f"_h{i}")]
-    picked = counts.groupBy(*by).agg(n.alias("n_values"), *picks)
+    picked = counts.groupBy(*by).agg(F.first("_n").alias("n_values"), *picks)
     columns = []
     for name, p in probs.items():
         i = ordered.index(p)
@@ -105,12 +126,22 @@ def exact_quantiles(
     return picked.select(*by, "n_values", *columns)
 
 
-def quantile_bounds(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float]) -> dict[str, dict[str, float]]:
-    """Exact global quantiles of several columns, fetched as one small row per column for use as literals."""
-    measures = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns]))
-    long = df.select(measures.alias("m")).select("m.measure", "m.value")
-    rows = exact_quantiles(long, "value", probs, by=["measure"]).collect()
-    return {row["measure"]: {name: row[name] for name in probs} for row in rows}
+def quantile_bounds(
+    df: DataFrame, columns: Sequence[str], probs: Mapping[str, float], accuracy: int = SKETCH_ACCURACY
+) -> dict[str, dict[str, float | None]]:
+    """Exact global quantiles of several columns in two passes, fetched as one small row per column for use as literals."""
+    ordered = sorted(set(probs.values()))
+    ends = _bracket_ends(ordered, accuracy)
+    values = {c: F.col(c).cast("double") for c in columns}
+    sketches = df.agg(*[_sketch(value, ends, accuracy).alias(f"s{i}") for i, value in enumerate(values.values())]).first()
+    items = [
+        F.struct(F.lit(c).alias("measure"), F.lit(sketches[f"s{i}"]["n"]).alias("_n"), value.alias("_v"), _literal_key(None, value, sketches[f"s{i}"], ends).alias("_b"))
+        for i, (c, value) in enumerate(values.items())
+    ]
+    long = df.select(F.explode(F.array(*items)).alias("m")).select("m.*").filter(F.col("_v").isNotNull())
+    rows = _interpolated(_running_counts(long, ["measure"]), ["measure"], probs, ordered).collect()
+    found = {row["measure"]: {name: row[name] for name in probs} for row in rows}
+    return {c: found.get(c, dict.fromkeys(probs)) for c in columns}
 
 
 def select_rank(df: DataFrame, value: str, rank: int, total: int, accuracy: int = SKETCH_ACCURACY) -> tuple[object, int]:

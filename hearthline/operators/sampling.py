@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from hearthline.functions.hashing import hash_fold, hash_key
 from hearthline.operators.ranking import lowest_hash_cutoffs, null_safe_join, order_cutoff, positions
 
-TOP_N_LIMIT = 10_000
 
 
 def holdout_size(n: int, test_size: float) -> int:
@@ -31,9 +30,7 @@ def _hash_predicate(df: DataFrame, id_col: str, seed: int | str, quota: int, tot
 
 
 def sample_exact(df: DataFrame, id_col: str, n: int, seed: int | str) -> DataFrame:
-    """Exactly ``n`` rows (all when there are fewer). Small samples use a bounded top-n, large ones a cut-off scan."""
-    if n <= TOP_N_LIMIT:
-        return df.orderBy(hash_key(id_col, seed), id_col).limit(n)
+    """Exactly ``n`` rows (all when there are fewer), by a cut-off on the hash of the unique id; nothing is sorted."""
     return df.filter(_hash_predicate(df, id_col, seed, n, df.count()))
 
 
@@ -134,14 +131,18 @@ def bootstrap_mean_ci(df: DataFrame, value: str, id_col: str, by: Sequence[str]
     if not by:
         return bootstrap_mean_ci(df.withColumn("_all", F.lit(1)), value, id_col, ["_all"], replicates, seed).drop("_all")
     by = list(by)
-    drawn = df.select(*by, F.col(value).cast("double").alias("_x"), F.col(id_col).alias("_id"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("_rep"))
+    spark = df.sparkSession
+    # A fixed number of partitions: adaptive coalescing cannot know that every row is about to become many.
+    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    slim = df.select(*by, F.col(value).cast("double").alias("_x"), F.col(id_col).alias("_id")).repartition(slots)
+    drawn = slim.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     # A 53-bit uniform from a native hash; millions of draws per second and the same on every rerun.
     uniform = F.shiftrightunsigned(F.xxhash64("_id", "_rep", F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)
     weighted = drawn.withColumn("_u", uniform)
     weight = F
     for count, limit in enumerate(POISSON_CUMULATIVE):
         weight = weight.when(F.col("_u") < limit, F.lit(float(count)))
-    weighted = weighted.withColumn("_w", weight.otherwise(F.lit(float(len(POISSON_CUMULATIVE))))).filter("_w > 0")
+    weighted = weighted.withColumn("_w", weight.otherwise(F.lit(float(len(POISSON_CUMULATIVE)))))
     means = weighted.groupBy(*by, "_rep").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
     interval = means.groupBy(*by).agg(
         F.percentile("_m", 0.025).alias("ci_low"), F.percentile("_m", 0.975).alias("ci_high")

@@ -10,6 +10,7 @@ from hearthline.operators import agreement, cleaning, errors, leaderboards, qual
 from hearthline.registered import views as v
 from hearthline.registered.base import n, query, r, rounded, table
 from hearthline.registered.cleaning_queries import JOINT, label_pairs, time_split
+from hearthline.session import materialise
 
 REQUIRED = ("total_price_wan", "area_sqm", "region_slug", "room_count")
 
@@ -27,7 +28,7 @@ REQUIRED = ("total_price_wan", "area_sqm", "region_slug", "room_count")
 )
 def d1(spark, folder):
     raw = v.listings(spark, folder)
-    houses = cleaning.keep_first(raw, "house_id", "extracted_at")
+    houses = materialise(cleaning.keep_first(raw, "house_id", "extracted_at"))
     bounds = cleaning.trim_bounds(houses.filter(cleaning.is_usable()))
     return rounded(cleaning.audit(raw, houses, bounds, v.communities(spark, folder), required=REQUIRED))
 
@@ -46,7 +47,7 @@ def d2(spark, folder):
 
 @query("d3_region_medians", f"{v.LISTING_FEATURES} SELECT region_slug, {r('median(accessibility_index)', 'region_median')} FROM feat GROUP BY 1")
 def d3(spark, folder):
-    return rounded(cleaning.group_medians(v.features(spark, folder), "region_slug", "accessibility_index", "region_median"))
+    return rounded(cleaning.group_medians(materialise(v.features(spark, folder).select("region_slug", "accessibility_index")), "region_slug", "accessibility_index", "region_median"))
 
 
 @query("d3_layout_medians", f"{v.LISTING_TRIMMED} SELECT {v.LAYOUT_SQL} AS house_layout, {r('median(area_sqm)', 'layout_median')} FROM trimmed GROUP BY 1")
@@ -66,7 +67,7 @@ def d4(spark, folder):
 def region_errors(spark, folder):
     rows = v.predictions(spark, folder).filter(F.col("model_name") == "region_mean")
     sized = rows.join(v.listings(spark, folder).select("house_id", "area_sqm"), "house_id")
-    binned = cleaning.with_quantile_bin(sized, "area_sqm", "area_bin")
+    binned = cleaning.with_quantile_bin(materialise(sized), "area_sqm", "area_bin")
     return cleaning.with_quantile_bin(binned, "actual_price_wan", "price_bin")
 
 
@@ -97,7 +98,7 @@ def d5(spark, folder):
     FROM s GROUP BY ROLLUP (split)""",
 )
 def d6(spark, folder):
-    profile = errors.temporal_profile(time_split(v.listings(spark, folder)))
+    profile = errors.temporal_profile(time_split(v.priced(spark, folder)))
     return profile.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_at", "last_at")})
 
 
@@ -111,7 +112,7 @@ DESCRIBED = ["total_price_wan", "area_sqm", "room_count", "accessibility_index",
       {r('quantile_cont(value, 0.75)', 'p75')}, {r('max(value)', 'max')}, {r('skewness(value)', 'skew')} FROM u GROUP BY 1""",
 )
 def d7(spark, folder):
-    return rounded(errors.describe_columns(v.features(spark, folder), DESCRIBED))
+    return rounded(errors.describe_columns(materialise(v.features(spark, folder).select(*DESCRIBED)), DESCRIBED))
 
 
 @query(
@@ -160,7 +161,7 @@ def d9(spark, folder):
     f"{CELLS} SELECT {n('count(*)', 'cells')}, {n('sum(n)', 'samples')}, {r('avg(cv)', 'mean_cv')}, {r('median(cv)', 'median_cv')}, {r('max(cv)', 'max_cv')}, {r('min(cv)', 'min_cv')}, {n('count(*) FILTER (WHERE cv > 0.10)', 'above_10')}, {n('count(*) FILTER (WHERE cv > 0.15)', 'above_15')}, {n('count(*) FILTER (WHERE cv > 0.20)', 'above_20')} FROM cells",
 )
 def d10(spark, folder):
-    return rounded(errors.dispersion_summary(cells(spark, folder)))
+    return rounded(errors.dispersion_summary(materialise(cells(spark, folder))))
 
 
 @query(
@@ -282,7 +283,7 @@ def d19(spark, folder):
 
 @query("d20_joint_error_rates", JOINT)
 def d20(spark, folder):
-    return rounded(errors.joint_error(v.predictions(spark, folder), v.MODELS))
+    return rounded(errors.joint_error(materialise(v.predictions(spark, folder)), v.MODELS))
 
 
 @query(
@@ -292,7 +293,7 @@ def d20(spark, folder):
     SELECT model_name, segment, {n('count(*)', 'n')}, {r('avg(actual_price_wan)', 'mean_price')}, {r('stddev_samp(actual_price_wan)', 'std_price')}, {r('avg(absolute_error_wan)', 'mae')} FROM s GROUP BY 1, 2""",
 )
 def d21(spark, folder):
-    return rounded(errors.segment_distribution(errors.price_segments(v.predictions(spark, folder)), by=["model_name", "segment"]))
+    return rounded(errors.segment_distribution(errors.price_segments(materialise(v.predictions(spark, folder))), by=["model_name", "segment"]))
 
 
 def cost_events(spark, folder):
@@ -387,7 +388,7 @@ def d29(spark, folder):
       {r('least(0.70, greatest(0.32, least(greatest(0.0, 1 - m * m), 0.3 + 0.75 * 0.15 + 0.03) - 0.05 * h))', 'estimated_ceiling')} FROM s""",
 )
 def d30(spark, folder):
-    summary = errors.dispersion_summary(cells(spark, folder))
+    summary = errors.dispersion_summary(materialise(cells(spark, folder)))
     return rounded(errors.information_ceiling(summary, best_r2=0.3, base_r2=0.05, enhanced_r2=0.2))
 
 
@@ -398,7 +399,7 @@ def d30(spark, folder):
     SELECT label, {r('dis', 'disagreement')}, {r('med', 'median_price')}, {r('(SELECT median(n_chars) FROM j)', 'overall_median_price')}, {n('rk', 'region_rank')}, lang AS region, {n('k', 'rows')} FROM c JOIN m USING (label) JOIN top USING (label) WHERE rk <= 3""",
 )
 def d31(spark, folder):
-    return rounded(agreement.disagreement_profile(label_pairs(spark, folder), PAIR_LABELS, "_rule", "_label", "n_chars", "lang"))
+    return rounded(agreement.disagreement_profile(materialise(label_pairs(spark, folder)), PAIR_LABELS, "_rule", "_label", "n_chars", "lang"))
 
 
 @query(

@@ -10,6 +10,7 @@ from hearthline.operators import cleaning, errors, keys, quality
 from hearthline.operators.requests import request_table
 from hearthline.registered import views as v
 from hearthline.registered.base import n, query, r, rounded, table
+from hearthline.session import materialise
 
 
 @query("a3_community_counts", f"WITH {v.COMMUNITY} SELECT community_id, {', '.join(v.COUNTS)} FROM v_community")
@@ -309,7 +310,7 @@ def time_split(df):
     FROM split LEFT JOIN lay USING (house_layout) LEFT JOIN reg USING (region_slug), g""",
 )
 def c4(spark, folder):
-    split = time_split(v.features(spark, folder))
+    split = time_split(materialise(v.features(spark, folder)))
     out = cleaning.apply_reference_medians(split, split.filter(F.col("split") == "train"))
     return rounded(out.select("house_id", "split", "area_layout_efficiency", "region_accessibility_interaction"))
 
@@ -370,7 +371,7 @@ FROM fl a JOIN fl b USING (house_id) GROUP BY 1, 2"""
 
 @query("c10_joint_error_grid", JOINT)
 def c10(spark, folder):
-    return rounded(errors.joint_error(v.predictions(spark, folder), v.MODELS))
+    return rounded(errors.joint_error(materialise(v.predictions(spark, folder)), v.MODELS))
 
 
 @query(

@@ -63,7 +63,7 @@ def e3(spark, folder):
     SELECT house_id, CASE WHEN pos > total - greatest(CAST(floor(total * 0.2) AS BIGINT), 1) THEN 'test' ELSE 'train' END AS split FROM p""",
 )
 def e4(spark, folder):
-    return time_split(v.listings(spark, folder)).select("house_id", "split")
+    return time_split(v.priced(spark, folder)).select("house_id", "split")
 
 
 @query(

@@ -13,6 +13,7 @@ from hearthline.functions.hashing import hash_key
 from hearthline.operators import cleaning
 from hearthline.operators.errors import regression_metrics
 from hearthline.registered.base import table
+from hearthline.session import materialise
 
 # Facility categories and weights of the driver tables: part types in the role of facility types.
 TYPES = ("economy", "large", "medium", "promo", "small", "standard")
@@ -34,26 +35,30 @@ KEYWORDS = {
 COUNTS = [fx.poi_column(t) for t in TYPES]
 
 
-def listings(spark: SparkSession, folder: str) -> DataFrame:
+def priced(spark: SparkSession, folder: str) -> DataFrame:
+    """Listings without the columns that need the order lines."""
     orders = table(spark, folder, "orders")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name")
-    items = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+    joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select(
+        F.col("o_orderkey").alias("house_id"), F.col("o_custkey").alias("community_id"), F.col("n_name").alias("region_slug"),
+        (F.col("o_totalprice") / 1000.0).alias("total_price_wan"), F.col("o_orderstatus").alias("floor_level"),
+        F.col("o_orderpriority").alias("decoration_type"), F.col("o_orderdate").cast("timestamp_ntz").alias("extracted_at"),
+    )
+
+
+def listings(spark: SparkSession, folder: str) -> DataFrame:
+    items = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("house_id")).agg(
         F.sum("l_quantity").alias("area_sqm"),
         F.count("*").cast("double").alias("room_count"),
         F.count_distinct("l_suppkey").cast("double").alias("hall_count"),
         F.count_if(F.col("l_returnflag") == "R").cast("double").alias("bath_count"),
     )
-    joined = (
-        orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    )
+    joined = priced(spark, folder).join(items, "house_id", "left")
     return joined.select(
-        F.col("o_orderkey").alias("house_id"), F.col("o_custkey").alias("community_id"), F.col("n_name").alias("region_slug"),
-        (F.col("o_totalprice") / 1000.0).alias("total_price_wan"), "area_sqm", "room_count", "hall_count", "bath_count",
-        F.col("o_orderstatus").alias("floor_level"), F.col("o_orderpriority").alias("decoration_type"),
-        F.col("o_orderdate").cast("timestamp_ntz").alias("extracted_at"),
+        "house_id", "community_id", "region_slug", "total_price_wan", "area_sqm", "room_count", "hall_count", "bath_count",
+        "floor_level", "decoration_type", "extracted_at",
     )
 
 
@@ -90,7 +95,8 @@ COMMUNITY = f"""v_community AS (
 
 
 def valid_listings(spark: SparkSession, folder: str) -> DataFrame:
-    return listings(spark, folder).filter(cleaning.is_usable())
+    """Written once per query: trimming and binning scan it several times, a column or two at a time."""
+    return materialise(listings(spark, folder).filter(cleaning.is_usable()))
 
 
 VALID = """valid AS (
@@ -148,7 +154,7 @@ LISTING_VALID = f"WITH {LISTING}, {VALID}"
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Three mean predictors of the price, as one long table with errors rounded to six digits."""
-    rows = listings(spark, folder).select(
+    rows = priced(spark, folder).select(
         "house_id", "region_slug", "decoration_type", "extracted_at", F.col("total_price_wan").alias("actual_price_wan")
     )
     overall = rows.agg(F.round(F.avg("actual_price_wan"), 4).alias("m")).scalar()

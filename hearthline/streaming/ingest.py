@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hearthline.operators.cleaning import keep_first
 from hearthline.operators.logs import open_failures
-from hearthline.session import ensure_checkpoint_dir
+from hearthline.session import scratch_path
 
 
 def record_stream(spark: SparkSession, folder: str, ddl: str, files_per_batch: int | None = None) -> DataFrame:
@@ -94,8 +92,7 @@ def current_open_failures(spark: SparkSession, open_target: str) -> DataFrame:
 
 def land_table(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
     """Streams a Parquet table into a new folder under the shared checkpoint folder and reads it back."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/landed-{name}-{uuid.uuid4().hex}"
+    base = scratch_path(spark, f"landed-{name}")
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder).select(*columns)
     land(stream, f"{base}/data", f"{base}/progress").awaitTermination()
