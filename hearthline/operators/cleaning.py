@@ -162,12 +162,14 @@ def apply_reference_medians(
 ) -> DataFrame:
     """Group-relative features from training listings and an external region table (region_slug, region_median)."""
     layout = group_medians(train, "house_layout", "area_sqm", "layout_median")
-    layout_global = quantile_bounds(train, ["area_sqm"], {"m": 0.5})["area_sqm"]["m"]
     if region_medians is None:
         region_medians = group_medians(train, "region_slug", "accessibility_index", "region_median")
-        region_fallback = quantile_bounds(train, ["accessibility_index"], {"m": 0.5})["accessibility_index"]["m"]
+        overall = quantile_bounds(train, ["area_sqm", "accessibility_index"], {"m": 0.5})
+        region_fallback = overall["accessibility_index"]["m"]
     else:
+        overall = quantile_bounds(train, ["area_sqm"], {"m": 0.5})
         region_fallback = quantile_bounds(region_medians, ["region_median"], {"m": 0.5})["region_median"]["m"]
+    layout_global = overall["area_sqm"]["m"]
     out = with_fallback_reference(df, layout, "house_layout", "layout_median", layout_global, 1.0)
     out = with_fallback_reference(out, region_medians, "region_slug", "region_median", region_fallback, 1e-6)
     return out.withColumns(
@@ -179,7 +181,7 @@ def apply_reference_medians(
 
 
 NOISE_GROUP_PROBS = {"unit_low": 0.01, "unit_high": 0.99}
-NOISE_GLOBAL_PROBS = {"low": 0.005, "high": 0.995}
+NOISE_GLOBAL_PROBS = {**NOISE_GROUP_PROBS, "low": 0.005, "high": 0.995}
 
 
 def noise_flags(df: DataFrame, group: str, price: str = "total_price_wan", area: str = "area_sqm", min_group: int = 10) -> DataFrame:
@@ -189,8 +191,8 @@ def noise_flags(df: DataFrame, group: str, price: str = "total_price_wan", area:
     """
     priced = df.withColumn("unit_price", F.col(price) / F.greatest(F.col(area), F.lit(1e-6)))
     per_group = exact_quantiles(priced, "unit_price", NOISE_GROUP_PROBS, by=[group])
-    overall = quantile_bounds(priced, ["unit_price"], NOISE_GROUP_PROBS)["unit_price"]
-    bounds = quantile_bounds(priced, [price, area], NOISE_GLOBAL_PROBS)
+    bounds = quantile_bounds(priced, ["unit_price", price, area], NOISE_GLOBAL_PROBS)
+    overall = bounds["unit_price"]
     joined = null_safe_join(priced, per_group, [group], "left")
     big = F.coalesce(F.col("n_values") >= min_group, F.lit(False)) & F.col(group).isNotNull()
     low = F.when(big, F.col("unit_low")).otherwise(F.lit(overall["unit_low"]))
@@ -243,12 +245,10 @@ def strategy_rows(flagged: DataFrame, key: str = "house_id") -> DataFrame:
     return flagged.select(key, F.explode(pairs).alias("p")).select(key, "p.strategy", "p.keep")
 
 
-def quantile_bin_edges(df: DataFrame, column: str, bins: int = 4) -> list[float]:
+def with_quantile_bins(df: DataFrame, names: Mapping[str, str], bins: int = 4) -> DataFrame:
+    """Adds a bin number per column (column -> new name); all edges come from one pair of passes."""
     probs = {f"e{i}": i / bins for i in range(bins + 1)}
-    edges = quantile_bounds(df, [column], probs)[column]
-    return [edges[f"e{i}"] for i in range(bins + 1)]
-
-
-def with_quantile_bin(df: DataFrame, column: str, name: str, bins: int = 4, edges: Sequence[float] | None = None) -> DataFrame:
-    edges = list(edges) if edges is not None else quantile_bin_edges(df, column, bins)
-    return df.withColumn(name, fx.right_closed_bin(F.col(column), [F.lit(e) for e in edges]))
+    edges = quantile_bounds(df, list(names), probs)
+    return df.withColumns(
+        {name: fx.right_closed_bin(F.col(column), [F.lit(edges[column][f"e{i}"]) for i in range(bins + 1)]) for column, name in names.items()}
+    )

@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthline.functions.hashing import HASH_SPACE, hash_key
 from hearthline.session import materialise
@@ -75,7 +76,7 @@ def _bracketed_counts(rows: DataFrame, by: list[str], probs: Sequence[float], ac
     value = F.col("_v")
     if not by:
         facts = rows.agg(_sketch(value, ends, accuracy).alias("s")).first()["s"]
-        return _running_counts(rows.select(F.lit(facts["n"]).alias("_n"), _literal_key(rows, value, facts, ends).alias("_b")), by)
+        return _running_counts(rows.select(F.lit(facts["n"]).alias("_n"), _literal_key(value, facts, ends, rows.schema["_v"].dataType).alias("_b")), by)
     summary = rows.groupBy(*by).agg(_sketch(value, ends, accuracy).alias("_s"))
     # The explicit exchange lets adaptive execution broadcast the summary or split a hot group.
     joined = null_safe_join(rows, summary.repartition(*by), by, "inner")
@@ -84,8 +85,8 @@ def _bracketed_counts(rows: DataFrame, by: list[str], probs: Sequence[float], ac
     return _running_counts(joined.select(*by, F.col("_s.n").alias("_n"), key.alias("_b")), by)
 
 
-def _literal_key(rows: DataFrame, value: Column, facts, ends: list[tuple[float, float]]) -> Column:
-    kind = "double" if rows is None else rows.schema["_v"].dataType
+def _literal_key(value: Column, facts, ends: list[tuple[float, float]], kind: T.DataType = T.DoubleType()) -> Column:
+    """Key struct from a fetched sketch row."""
     edges = [F.lit(e).cast(kind) for e in (facts["edges"] or [None] * (2 * len(ends)))]
     return _bracket_key(value, F.lit(facts["n"]), F.lit(facts["least"]).cast(kind), F.lit(facts["most"]).cast(kind), edges, ends)
 
@@ -135,7 +136,7 @@ def quantile_bounds(
     values = {c: F.col(c).cast("double") for c in columns}
     sketches = df.agg(*[_sketch(value, ends, accuracy).alias(f"s{i}") for i, value in enumerate(values.values())]).first()
     items = [
-        F.struct(F.lit(c).alias("measure"), F.lit(sketches[f"s{i}"]["n"]).alias("_n"), value.alias("_v"), _literal_key(None, value, sketches[f"s{i}"], ends).alias("_b"))
+        F.struct(F.lit(c).alias("measure"), F.lit(sketches[f"s{i}"]["n"]).alias("_n"), value.alias("_v"), _literal_key(value, sketches[f"s{i}"], ends).alias("_b"))
         for i, (c, value) in enumerate(values.items())
     ]
     long = df.select(F.explode(F.array(*items)).alias("m")).select("m.*").filter(F.col("_v").isNotNull())
@@ -144,29 +145,31 @@ def quantile_bounds(
     return {c: found.get(c, dict.fromkeys(probs)) for c in columns}
 
 
-def select_rank(df: DataFrame, value: str, rank: int, total: int, accuracy: int = SKETCH_ACCURACY) -> tuple[object, int]:
-    """The value at a 1-based rank of a non-null orderable number, and how many rows lie strictly below it."""
+def select_rank(df: DataFrame, value: str, rank: int, total: int, accuracy: int = SKETCH_ACCURACY) -> tuple[object, int, int]:
+    """The value at a 1-based rank of a non-null orderable number, the rows strictly below it, and the rows equal to it."""
     rows = df.select(F.col(value).alias("_v"))
     counts = _bracketed_counts(rows, [], [(rank - 0.5) / total], accuracy)
     at_rank = (F.col("_cum") >= rank) & (F.col("_cum") - F.col("_c") < rank)
-    row = counts.filter(at_rank).select("_k", "_o", (F.col("_cum") - F.col("_c")).alias("below")).first()
+    row = counts.filter(at_rank).select("_k", "_o", "_c", (F.col("_cum") - F.col("_c")).alias("below")).first()
     if row is None or row["_o"] != 0:
         raise ArithmeticError("rank fell outside its bracket")
-    return row["_k"], row["below"]
+    return row["_k"], row["below"], row["_c"]
 
 
-def order_cutoff(df: DataFrame, key: Column, tie: str, rank: int) -> Column:
-    """Predicate for the first ``rank`` rows in (key nulls first, tie) order; tie is a unique integer id."""
+def order_cutoff(df: DataFrame, key: Column, tie: str, rank: int, total: int, nulls: int) -> Column:
+    """Predicate for the first ``rank`` rows in (key nulls first, tie) order; tie is a unique integer id.
+
+    ``total`` and ``nulls`` are the row count and the count of null keys.
+    """
     slim = df.select(key.alias("_key"), F.col(tie).alias("_tie"))
-    nulls = slim.filter(F.col("_key").isNull()).count()
     if rank <= nulls:
-        last_tie, _ = select_rank(slim.filter(F.col("_key").isNull()), "_tie", rank, nulls)
+        last_tie, _, _ = select_rank(slim.filter(F.col("_key").isNull()), "_tie", rank, nulls)
         return key.isNull() & (F.col(tie) <= F.lit(last_tie))
     present = slim.filter(F.col("_key").isNotNull())
-    total = present.count()
-    last_key, below = select_rank(present, "_key", rank - nulls, total)
-    tied = present.filter(F.col("_key") == F.lit(last_key))
-    last_tie, _ = select_rank(tied, "_tie", rank - nulls - below, tied.count())
+    last_key, below, ties = select_rank(present, "_key", rank - nulls, total - nulls)
+    if rank - nulls == below + ties:
+        return key.isNull() | (key <= F.lit(last_key))
+    last_tie, _, _ = select_rank(present.filter(F.col("_key") == F.lit(last_key)), "_tie", rank - nulls - below, ties)
     return key.isNull() | (key < F.lit(last_key)) | ((key == F.lit(last_key)) & (F.col(tie) <= F.lit(last_tie)))
 
 

@@ -48,8 +48,8 @@ def sample_with_replacement(df: DataFrame, id_col: str, k: int, seed: int | str)
 
 def split_by_time(df: DataFrame, time: Column, id_col: str, test_size: float) -> DataFrame:
     """Adds split: the last rows by (time nulls first, id) are 'test'."""
-    n = df.count()
-    first = order_cutoff(df, time, id_col, n - holdout_size(n, test_size))
+    facts = df.agg(F.count("*").alias("n"), F.count_if(time.isNull()).alias("nulls")).first()
+    first = order_cutoff(df, time, id_col, facts["n"] - holdout_size(facts["n"], test_size), facts["n"], facts["nulls"])
     return df.withColumn("split", F.when(first, "train").otherwise("test"))
 
 

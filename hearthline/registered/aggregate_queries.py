@@ -67,8 +67,7 @@ def d4(spark, folder):
 def region_errors(spark, folder):
     rows = v.predictions(spark, folder).filter(F.col("model_name") == "region_mean")
     sized = rows.join(v.listings(spark, folder).select("house_id", "area_sqm"), "house_id")
-    binned = cleaning.with_quantile_bin(materialise(sized), "area_sqm", "area_bin")
-    return cleaning.with_quantile_bin(binned, "actual_price_wan", "price_bin")
+    return cleaning.with_quantile_bins(materialise(sized), {"area_sqm": "area_bin", "actual_price_wan": "price_bin"})
 
 
 def bin_sql(column: str, prefix: str) -> str:
@@ -144,7 +143,7 @@ cells AS (SELECT region_slug, floor_level, area_bin, count(*) AS n, avg(p) AS me
 
 
 def cells(spark, folder):
-    binned = cleaning.with_quantile_bin(v.trimmed_listings(spark, folder), "area_sqm", "area_bin")
+    binned = cleaning.with_quantile_bins(v.trimmed_listings(spark, folder), {"area_sqm": "area_bin"})
     return errors.cell_dispersion(binned, ["region_slug", "floor_level", "area_bin"], "total_price_wan")
 
 

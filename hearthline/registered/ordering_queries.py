@@ -73,8 +73,8 @@ def e4(spark, folder):
     SELECT house_id, {n('CASE WHEN room_count <= dr[2] THEN 1 WHEN room_count <= dr[3] THEN 2 WHEN room_count <= dr[4] THEN 3 WHEN room_count <= dr[5] THEN 4 END', 'room_bin')}, {n(bin_sql('total_price_wan', 'ep'), 'price_bin')} FROM trimmed, d""",
 )
 def e5(spark, folder):
-    binned = cleaning.with_quantile_bin(v.trimmed_listings(spark, folder), "room_count", "room_bin")
-    return rounded(cleaning.with_quantile_bin(binned, "total_price_wan", "price_bin").select("house_id", "room_bin", "price_bin"))
+    binned = cleaning.with_quantile_bins(v.trimmed_listings(spark, folder), {"room_count": "room_bin", "total_price_wan": "price_bin"})
+    return rounded(binned.select("house_id", "room_bin", "price_bin"))
 
 
 @query(

@@ -61,7 +61,7 @@ def test_bounds_of_an_all_null_column(spark):
 @pytest.mark.parametrize("rank", [1, 200, 3000, 5999])
 def test_order_cutoff_with_ties_and_nulls(spark, skewed, monkeypatch, rank):
     monkeypatch.setattr(ranking, "SMALL_GROUP", 100)
-    keep = ranking.order_cutoff(to_spark(spark, skewed), F.col("v"), "id", rank)
+    keep = ranking.order_cutoff(to_spark(spark, skewed), F.col("v"), "id", rank, len(skewed), int(skewed["v"].isna().sum()))
     got = {r["id"] for r in to_spark(spark, skewed).filter(keep).select("id").collect()}
     want = skewed.sort_values(["v", "id"], na_position="first").head(rank)["id"]
     assert got == set(want)
