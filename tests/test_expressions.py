@@ -152,3 +152,13 @@ def test_text_helpers(spark):
     assert values(spark, "d string", [("500米",), ("1.2 公里",), ("近",)], px.distance_metres(F.col("d"))) == [500.0, 1200.0, None]
     assert values(spark, "t string", [("市第一小学",), ("医科大学",), ("银行",)], px.school_sub_type(F.col("t"))) == ["小学", "高等院校", None]
     assert values(spark, "h string", [("<title>_x</title>",), ("<p>",)], px.community_title(F.col("h"), F.lit("7"))) == ["community_7", "community_7"]
+
+
+def test_lineage_covers_the_built_features(spark):
+    from hearthline.functions.lineage import lineage_table
+
+    rows = {r["name"]: r for r in lineage_table(spark).collect()}
+    assert set(config.DERIVED_NUMERIC) <= set(rows) and {r["stage"] for r in rows.values()} == {"base", "derived"}
+    assert rows["area_per_room"]["sources"] == ["area_sqm", "room_count"] and not any(r["depends_on_target"] for r in rows.values())
+    assert set(rows["transit_medical_ratio"]["sources"]) == {"poi_bus_count", "poi_subway_count", "poi_hospital_count"}
+    assert config.TARGET not in " ".join(r["formula"] for r in rows.values())
