@@ -176,23 +176,23 @@ def order_cutoff(df: DataFrame, key: Column, tie: str, rank: int, total: int, nu
 def lowest_hash_cutoffs(df: DataFrame, id_col: str, seed: int | str, quotas: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per group (by, _size, _quota given) the last (hash, id) pair among the ``_quota`` lowest.
 
-    Hash keys are uniform, so the cut lies within a narrow band around quota/size: rows below the band are only
-    counted and only band rows are ordered. A band that misses the cut fails the query.
+    Hash keys are uniform, so the cut lies within a narrow band around quota/size: rows below the band fold into one
+    counter per task and only band rows are ordered. A band that misses the cut fails the query.
     """
     by = list(by)
     margin = 10.0 * F.sqrt("_quota") + 100.0
     step = F.lit(HASH_SPACE) / F.col("_size")
     keyed = null_safe_join(df.select(*by, F.col(id_col).alias("_id"), hash_key(id_col, seed).alias("_h")), quotas, by, "inner")
-    zoned = keyed.withColumn("_lo", (F.col("_quota") - margin) * step).withColumn("_hi", (F.col("_quota") + margin) * step)
-    sure = zoned.groupBy(*by).agg(F.count_if(F.col("_h") < F.col("_lo")).alias("_sure"), F.first("_quota").alias("_q"))
-    band = zoned.filter((F.col("_h") >= F.col("_lo")) & (F.col("_h") <= F.col("_hi"))).select(*by, "_h", "_id")
-    placed = band.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy("_h", "_id")))
-    last = null_safe_join(sure, placed, by, "left").groupBy(*by).agg(
-        F.max(F.when(F.col("_rn") + F.col("_sure") == F.col("_q"), F.col("_h"))).alias("_cut_hash"),
-        F.max(F.when(F.col("_rn") + F.col("_sure") == F.col("_q"), F.col("_id"))).alias("_cut_id"),
-        F.first("_q").alias("_q"),
+    reached = keyed.filter(F.col("_h") <= (F.col("_quota") + margin) * step)
+    in_band = F.col("_h") >= (F.col("_quota") - margin) * step
+    folded = reached.select(*by, "_quota", F.when(in_band, F.col("_h")).alias("_h"), F.when(in_band, F.col("_id")).alias("_id"))
+    counted = folded.groupBy(*by, "_quota", "_h", "_id").agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*by).orderBy(F.col("_h").asc_nulls_first(), "_id").rowsBetween(Window.unboundedPreceding, 0)
+    at_cut = (F.col("_cum") == F.col("_quota")) & F.col("_h").isNotNull()
+    last = counted.withColumn("_cum", F.sum("_c").over(order)).groupBy(*by, "_quota").agg(
+        F.max(F.when(at_cut, F.col("_h"))).alias("_cut_hash"), F.max(F.when(at_cut, F.col("_id"))).alias("_cut_id")
     )
-    checked = F.when((F.col("_q") > 0) & F.col("_cut_hash").isNull(), F.raise_error(F.lit("hash band missed the cut")))
+    checked = F.when((F.col("_quota") > 0) & F.col("_cut_hash").isNull(), F.raise_error(F.lit("hash band missed the cut")))
     return last.select(*by, F.coalesce(checked.cast("bigint"), F.col("_cut_hash")).alias("_cut_hash"), "_cut_id")
 
 

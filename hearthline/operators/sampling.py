@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthline.functions.hashing import hash_fold, hash_key
 from hearthline.operators.ranking import lowest_hash_cutoffs, null_safe_join, order_cutoff, positions
+from hearthline.session import materialise
 
 
 
@@ -29,9 +30,9 @@ def _hash_predicate(df: DataFrame, id_col: str, seed: int | str, quota: int, tot
     return (key < cut["_cut_hash"]) | ((key == cut["_cut_hash"]) & (F.col(id_col) <= F.lit(cut["_cut_id"])))
 
 
-def sample_exact(df: DataFrame, id_col: str, n: int, seed: int | str) -> DataFrame:
+def sample_exact(df: DataFrame, id_col: str, n: int, seed: int | str, total: int | None = None) -> DataFrame:
     """Exactly ``n`` rows (all when there are fewer), by a cut-off on the hash of the unique id; nothing is sorted."""
-    return df.filter(_hash_predicate(df, id_col, seed, n, df.count()))
+    return df.filter(_hash_predicate(df, id_col, seed, n, df.count() if total is None else total))
 
 
 def sample_with_replacement(df: DataFrame, id_col: str, k: int, seed: int | str) -> DataFrame:
@@ -65,11 +66,11 @@ def sample_stratified(df: DataFrame, id_col: str, strata: Sequence[str], n: int,
     Quotas round half to even. Only per-stratum counters and a narrow band of hash keys are shuffled, so a stratum that
     holds most of the table is as cheap as any other.
     """
-    sizes = df.groupBy(*strata).agg(F.count("*").alias("_size"))
-    total = df.count()
-    share = F.bround(F.col("_size") * F.lit(float(n)) / F.lit(float(total)), 0).cast("bigint")
+    sizes = materialise(df.groupBy(*strata).agg(F.count("*").alias("_size")))
+    total = sizes.agg(F.sum("_size")).first()[0] or 0
+    share = F.bround(F.col("_size") * F.lit(float(n)) / F.lit(float(max(total, 1))), 0).cast("bigint")
     quotas = sizes.withColumn("_quota", F.least(F.col("_size"), F.greatest(F.lit(1), share)))
-    cutoffs = lowest_hash_cutoffs(df, id_col, seed, quotas, strata)
+    cutoffs = materialise(lowest_hash_cutoffs(df, id_col, seed, quotas, strata))
     key = hash_key(id_col, seed)
     marked = null_safe_join(df, cutoffs, list(strata), "left").withColumn(
         "_in", (key < F.col("_cut_hash")) | ((key == F.col("_cut_hash")) & (F.col(id_col) <= F.col("_cut_id")))
@@ -79,9 +80,9 @@ def sample_stratified(df: DataFrame, id_col: str, strata: Sequence[str], n: int,
         return chosen
     size = quotas.agg(F.sum("_quota")).first()[0] or 0
     if size > n:
-        return sample_exact(chosen, id_col, n, f"{seed}_trim")
+        return sample_exact(chosen, id_col, n, f"{seed}_trim", size)
     if size < n:
-        return chosen.unionByName(sample_exact(rest, id_col, n - size, f"{seed}_fill"))
+        return chosen.unionByName(sample_exact(rest, id_col, n - size, f"{seed}_fill", total - size))
     return chosen
 
 
