@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import byte_bpe, host_trust, token_count
+from hearthline.llm import byte_bpe, host_trust, near_copies, shard_packing, token_count
 from hearthline.registered.base import Query, table
 
 
@@ -13,6 +13,10 @@ def op2_host_trust(spark: SparkSession, folder: str) -> DataFrame:
     return host_trust.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_shard_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_packing.shard_rows(table(spark, folder, "documents"), shards=40)
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.digest_texts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -21,5 +25,9 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_trust, op6_byte_bpe, op9_token_counts)}
-ORACLE: dict[str, str] = {"op2_host_trust": host_trust.oracle()}
+def op10_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copies.near_copies(table(spark, folder, "documents"), size=4, percent=80)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_trust, op5_shard_packing, op6_byte_bpe, op9_token_counts, op10_near_copies)}
+ORACLE: dict[str, str] = {"op2_host_trust": host_trust.oracle(), "op10_near_copies": near_copies.oracle(4, 80)}
