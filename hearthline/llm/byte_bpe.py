@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from hearthline.llm.common import columns_only, slices, text_bytes
 
 #: Remembered pre-tokens and the longest one remembered in bytes; states kept before the machine starts anew.
-REMEMBERED, SHORT, STATES = 500_000, 64, 500_000
+REMEMBERED, SHORT, STATES = 800_000, 64, 500_000
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -99,21 +99,24 @@ class Transducer:
         Both sides grow in order of rank; a merge across wins when its rank is below the next merge on the left, and not
         above the next one on the right, because the leftmost of equal pairs is merged first.
         """
-        right = self.edge(token)
+        right = self.edges.get(token) or self.edge(token)
         if right is None or not last:
             return right is not None
-        grown, growing, i, j = self.edge(last)[1], right[0], 0, 0
+        grown, growing, i, j = (self.edges.get(last) or self.edge(last))[1], right[0], 0, 0
+        rank = self.ranks.get
+        next_left, next_right = grown[1][0], growing[1][0]
         while True:
-            across = self.ranks.get(grown[i][1] + growing[j][1], NEVER)
-            next_left, next_right = grown[i + 1][0], growing[j + 1][0]
-            if across < next_left and across <= next_right and across != NEVER:
+            across = rank(grown[i][1] + growing[j][1])
+            if across is not None and across < next_left and across <= next_right:
                 return False
-            if next_left == next_right == NEVER:
-                return True
             if next_left <= next_right:
+                if next_left == NEVER:
+                    return True
                 i += 1
+                next_left = grown[i + 1][0]
             else:
                 j += 1
+                next_right = growing[j + 1][0]
 
     def last_length(self, last: bytes, pending: bytes, lengths: tuple[int, ...], end: int) -> int:
         """The length of the last token of the encoding of `pending[:end]`, from those of all shorter prefixes; 0 if that
@@ -137,23 +140,32 @@ class Transducer:
         return b"".join(self.ranks[pending[a:b]].to_bytes(4, "little") for a, b in zip([0, *bounds], bounds, strict=False))
 
     def move(self, state: int, byte: int) -> tuple[int, bytes]:
-        """Reads a byte: the next state and the ids that are settled now."""
+        """Reads a byte: the next state and the ids that are settled now, which are those up to the last boundary that lies
+        on the path to every boundary that may live on."""
         last, pending, lengths = self.states[state]
         pending += bytes([byte])
-        lengths += (self.last_length(last, pending, lengths, len(pending)),)
+        size = len(pending)
+        lengths += (self.last_length(last, pending, lengths, size),)
         if not lengths[-1]:
             raise ValueError("the vocabulary lacks a byte")
-        settled = self.chain(lengths, len(pending))
-        for k in range(max(0, len(pending) - self.longest), len(pending)):
-            if settled and (k == 0 or lengths[k - 1]) and pending[k:] in self.begins:
-                other = set(self.chain(lengths, k))
-                settled = [x for x in settled if x in other]
-        made = self.packed(pending, settled)
-        if settled:
-            cut = settled[-1]
-            last, pending, lengths = pending[cut - lengths[cut - 1] : cut], pending[cut:], ()
-            for end in range(1, len(pending) + 1):
-                lengths += (self.last_length(last, pending, lengths, end),)
+        cut, begins = size, self.begins
+        for k in range(max(0, size - self.longest), size):
+            if (k == 0 or lengths[k - 1]) and pending[k:] in begins:
+                while cut != k:  # step back the later one until both paths meet
+                    if cut > k:
+                        cut -= lengths[cut - 1]
+                    else:
+                        k -= lengths[k - 1]
+                if not cut:
+                    break
+        made = b""
+        if cut:
+            made = self.packed(pending, self.chain(lengths, cut))
+            kept: list[int] = []
+            for end, length in enumerate(lengths[cut:], 1):
+                start = end - length
+                kept.append(length if length and (start == 0 or start > 0 and kept[start - 1]) else 0)
+            last, pending, lengths = pending[cut - lengths[cut - 1] : cut], pending[cut:], tuple(kept)
         target = self.ids.get((last, pending))
         if target is None:
             target = self.ids[last, pending] = len(self.states)
