@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import byte_bpe, host_trust, near_copies, shard_packing, token_count
+from hearthline.llm import byte_bpe, host_trust, near_copies, shard_packing, token_count, toxicity
 from hearthline.registered.base import Query, table
 
 
@@ -13,6 +13,10 @@ def op2_host_trust(spark: SparkSession, folder: str) -> DataFrame:
     return host_trust.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3)
+
+
 def op5_shard_packing(spark: SparkSession, folder: str) -> DataFrame:
     return shard_packing.shard_rows(table(spark, folder, "documents"), shards=40)
 
@@ -29,5 +33,5 @@ def op10_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.near_copies(table(spark, folder, "documents"), size=4, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_trust, op5_shard_packing, op6_byte_bpe, op9_token_counts, op10_near_copies)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_trust, op4_toxicity, op5_shard_packing, op6_byte_bpe, op9_token_counts, op10_near_copies)}
 ORACLE: dict[str, str] = {"op2_host_trust": host_trust.oracle(), "op10_near_copies": near_copies.oracle(4, 80)}
