@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import backoff_automaton, byte_bpe, host_trust, near_copies, shard_packing, token_count, toxicity
+from hearthline.llm import backoff_automaton, byte_bpe, host_trust, near_copies, segment_search, shard_packing, token_count, toxicity
 from hearthline.registered.base import Query, table
 
 
@@ -29,6 +29,11 @@ def op7_backoff_automaton(spark: SparkSession, folder: str) -> DataFrame:
     return backoff_automaton.score_texts(table(spark, folder, "documents"))
 
 
+def op8_segment_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return segment_search.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
 
@@ -37,5 +42,5 @@ def op10_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.near_copies(table(spark, folder, "documents"), size=4, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_trust, op4_toxicity, op5_shard_packing, op6_byte_bpe, op7_backoff_automaton, op9_token_counts, op10_near_copies)}
-ORACLE: dict[str, str] = {"op2_host_trust": host_trust.oracle(), "op10_near_copies": near_copies.oracle(4, 80)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_trust, op4_toxicity, op5_shard_packing, op6_byte_bpe, op7_backoff_automaton, op8_segment_search, op9_token_counts, op10_near_copies)}
+ORACLE: dict[str, str] = {"op2_host_trust": host_trust.oracle(), "op8_segment_search": segment_search.oracle(10), "op10_near_copies": near_copies.oracle(4, 80)}
