@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthline.llm import backoff_automaton, byte_bpe, decontamination, host_trust, near_copies, segment_search, shard_packing, token_count, toxicity
+from hearthline.llm import backoff_automaton, byte_bpe, decontamination, host_trust, near_copies, page_text, segment_search, shard_packing, token_count, toxicity
 from hearthline.registered.base import Query, table
 
 
+def op1_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.main_texts(table(spark, folder, "pages"))
+
+
 def op2_host_trust(spark: SparkSession, folder: str) -> DataFrame:
     return host_trust.judge_urls(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -46,5 +50,5 @@ def op10_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies.near_copies(table(spark, folder, "documents"), size=4, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_host_trust, op3_decontamination, op4_toxicity, op5_shard_packing, op6_byte_bpe, op7_backoff_automaton, op8_segment_search, op9_token_counts, op10_near_copies)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_page_text, op2_host_trust, op3_decontamination, op4_toxicity, op5_shard_packing, op6_byte_bpe, op7_backoff_automaton, op8_segment_search, op9_token_counts, op10_near_copies)}
 ORACLE: dict[str, str] = {"op2_host_trust": host_trust.oracle(), "op8_segment_search": segment_search.oracle(10), "op10_near_copies": near_copies.oracle(4, 80)}
