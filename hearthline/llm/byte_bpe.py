@@ -279,19 +279,21 @@ def coder(file: str, pattern: str) -> tuple[Encoder, Decoder]:
 
 
 def encode_texts(docs: DataFrame, file: str, pattern: str) -> DataFrame:
-    """(doc_id, ids binary, decoded string) for each row; ids are little-endian unsigned 32-bit integers, and `decoded` is
-    decoded from the ids. One pass without a shuffle."""
+    """(doc_id, n_tokens, ids array<int>, round_trip) for each row; `round_trip` tells that decoding the ids gives the text.
+    One pass without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = coder(file, pattern)
         for batch in batches:
             for keys, texts in _rows(batch):
                 ids = [encoder.encode(t) for t in texts]
-                decoded = ["".join(decoder.stream(np.frombuffer(x, dtype="<u4"))) for x in ids]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+                same = ["".join(decoder.stream(np.frombuffer(x, dtype="<u4"))) == t for x, t in zip(ids, texts, strict=True)]
+                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n), lists, pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return columns_only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")
+    return columns_only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>, round_trip boolean")
 
 
 def digest_texts(docs: DataFrame, file: str, pattern: str) -> DataFrame:

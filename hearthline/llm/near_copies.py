@@ -218,6 +218,13 @@ def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs` without near copies of a smaller doc_id, with all their columns. Rows of one doc_id stay or go
+    together; rows without a doc_id stay."""
+    gone = near_copies(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+
+
 def oracle(size: int, percent: int) -> str:
     """Every pair of texts that share a shingle, counted and linked, then the smallest id reachable."""
     return f"""

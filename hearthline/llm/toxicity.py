@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import columns_only, text_bytes
+from hearthline.llm.common import columns_only, materialise, text_bytes
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -162,8 +162,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, train: Column, most: int) -> DataFrame:
-    """(doc_id, text, toxic, curve) of the labelled training rows, at most about `most` of each label: the share that gives
+def sample_rows(docs: DataFrame, labels: DataFrame, train: Column, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, toxic, curve), and the sizes of the labels. The rows are those of the labelled training rows, at most about `most` of each label: the share that gives
     `most` rows is taken by hash. The sampled labels are few, so the documents are not shuffled."""
     known = columns_only(labels, "doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"]).where(train)
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -173,7 +173,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, train: Column, most: int) ->
     part = (F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(1000)) < int(CURVE * 1000)).alias("curve")
     chosen = chosen.select(F.col("doc_id").alias("id"), "toxic", part)  # bounded by 2 * most rows
     docs = columns_only(docs, "doc_id", "text")
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("doc_id", "text", "toxic", "curve")
+    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"]).select("doc_id", "text", "toxic", "curve"), sizes
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -193,43 +193,76 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def evidence_of(docs: DataFrame, models, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, *keep, evidence, strong, words) of each row; `models` is a broadcast."""
+@dataclass
+class Scorer:
+    """Both models and the curve; small, and sent to all tasks."""
+
+    models: ClassModels
+    curve: np.ndarray
+
+    def scores(self, column: pa.Array, get: Evidence) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(curve_inputs(*features(column, get)) @ self.curve, -700, 700)))
+
+
+def features(column: pa.Array, get: Evidence) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Evidence, its strong part and the number of words of each text."""
+    data, offsets = text_bytes(column)
+    rows = np.array([text_features(data[offsets[i] : offsets[i + 1]].tobytes(), get) for i in range(len(column))], dtype=float).reshape(-1, 3)
+    return rows[:, 0], rows[:, 1], rows[:, 2]
+
+
+def curve_rows(rows: DataFrame, shared) -> DataFrame:
+    """(evidence, strong, words, toxic) of sampled rows; `shared` is a broadcast of the models."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = Evidence(models.value)
+        get = Evidence(shared.value)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            rows = [text_features(data[offsets[i] : offsets[i + 1]].tobytes(), get) for i in range(len(batch))]
-            a, b, n = zip(*rows, strict=True) if rows else ((), (), ())
-            extra = [batch.column(2 + k) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *extra, pa.array(a, pa.float64()), pa.array(b, pa.float64()), pa.array(n, pa.int64())], names=["doc_id", *keep, "evidence", "strong", "words"])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, features(batch.column(0), get)), batch.column(1)], names=["evidence", "strong", "words", "toxic"])
 
-    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return columns_only(docs, "doc_id", "text", *keep).mapInArrow(run, f"doc_id {key}{kinds}, evidence double, strong double, words long")
+    return rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "evidence double, strong double, words double, toxic int")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE, train: Column | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row. `train` tells label rows that may be learned from."""
-    spark = docs.sparkSession
-    rows = sample_rows(docs, labels, ~held_out(F.col("doc_id")) if train is None else train, most).persist()
+def fit_scorer(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, train: Column | None = None) -> Scorer:
+    """Learns from at most about `most` labelled rows of each label for which `train` holds."""
+    rows, sizes = sample_rows(docs, labels, F.lit(True) if train is None else train, most)
+    rows = materialise(rows)
     words = {r["word"]: (float(r["toxic"]), float(r["ordinary"])) for r in word_counts(rows.where("not curve")).toLocalIterator()}
     sums = [max(1.0, sum(v[k] for v in words.values())) for k in (0, 1)]
     models = fit_models({w: (a, b * sums[0] / sums[1]) for w, (a, b) in words.items()})
-    shared = spark.sparkContext.broadcast(models)
-    fit = evidence_of(rows.where("curve"), shared, ("toxic",)).toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    fit = curve_rows(rows.where("curve"), shared).toPandas()
     y = fit["toxic"].to_numpy(dtype=float)
-    # the sample holds the labels at its own shares; the curve is shifted back to the shares of all training rows
     if 0 < y.sum() < len(y):
-        w = fit_curve(curve_inputs(*(fit[c].to_numpy(dtype=float) for c in ("evidence", "strong", "words"))), y)
+        curve = fit_curve(curve_inputs(*(fit[c].to_numpy(dtype=float) for c in ("evidence", "strong", "words"))), y)
+        curve[0] += math.log(sizes[1] / sizes[0]) - math.log(y.sum() / (len(y) - y.sum()))  # from the sample's shares of the labels to those of all training rows
     else:
-        p = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
-        w = np.array([math.log(p / (1 - p)), 0.0, 0.0, 0.0])
-    rows.unpersist()
-    n = F.greatest(F.col("words"), F.lit(1)).cast("double")
-    clip = lambda c, low, high: F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high)))
-    z = F.lit(float(w[0])) + clip(10 * F.col("evidence") / n, -8, 8) * float(w[1]) + clip(10 * F.col("strong") / n, 0, 8) * float(w[2]) + clip(F.col("strong") / F.sqrt(n), 0, 8) * float(w[3])
-    score = 1 / (1 + F.exp(-z))
-    scored = evidence_of(docs, shared).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        share = float(np.clip(sizes.get(1, 0) / max(1, sum(sizes.values())), 1e-6, 1 - 1e-6))
+        curve = np.array([math.log(share / (1 - share)), 0.0, 0.0, 0.0])
+    return Scorer(models, curve)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of each row, learned from rows that are not held out."""
+    scorer = docs.sparkSession.sparkContext.broadcast(fit_scorer(docs, labels, most, ~held_out(F.col("doc_id"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = Evidence(scorer.value.models)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.value.scores(batch.column(1), get))], names=["doc_id", "score"])
+
+    key = docs.schema["doc_id"].dataType.simpleString()
+    scored = columns_only(docs, "doc_id", "text").mapInArrow(run, f"doc_id {key}, score double")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def ordinary_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
+    """The rows of `docs` that score below the threshold, with all their columns. Rows are judged where they stand."""
+    scorer = docs.sparkSession.sparkContext.broadcast(fit_scorer(docs, labels, most))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = Evidence(scorer.value.models)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer.value.scores(batch.column(place), get) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
