@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.common import columns_only, materialise, text_bytes
 
-ORDER = 5
+ORDER = 6
 DISCOUNT = 0.75
+#: Evidence of a word that is taken for noise.
+NOISE = 1.0
 #: Sampled training rows of each label, and bytes of text read from one of them.
 SAMPLE = 6_000
 #: Share of the sampled rows that fit the curve and not the counts.
@@ -136,7 +138,7 @@ def text_features(raw: bytes, get: Evidence) -> tuple[float, float, int]:
     """(evidence, its positive part above a word's noise, words) of a text."""
     found = words_of(raw)
     values = [get[w] for w in found]
-    return sum(values), sum(v - 2.0 for v in values if v > 2.0), len(values)
+    return sum(values), sum(v - NOISE for v in values if v > NOISE), len(values)
 
 
 def curve_inputs(evidence: np.ndarray, strong: np.ndarray, n: np.ndarray) -> np.ndarray:
