@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from hearthline.operators.cleaning import keep_one
 
 
+def with_failure_id(log: DataFrame) -> DataFrame:
+    """Failures of old logs have no id; theirs follows from the target."""
+    derived = F.when(F.col("record_type") == "failure", F.md5(F.coalesce("target_url", F.lit(""))))
+    return log.withColumn("failure_id", F.coalesce("failure_id", derived))
+
+
 def open_failures(log: DataFrame, target_type: str | None = None, limit: int | None = None) -> DataFrame:
     """Latest failure per id joined with its latest retry update; resolved ids drop out.
 
@@ -15,7 +21,7 @@ def open_failures(log: DataFrame, target_type: str | None = None, limit: int | N
     records lack take defaults.
     """
     failures = keep_one(
-        log.filter(F.col("record_type") == "failure").withColumn("failure_id", F.coalesce("failure_id", F.md5(F.coalesce("target_url", F.lit(""))))),
+        with_failure_id(log.filter(F.col("record_type") == "failure")),
         "failure_id", [F.col("failed_at").desc_nulls_last(), F.col("error_message").desc_nulls_last()],
     )
     updates = keep_one(

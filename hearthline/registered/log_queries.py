@@ -1,13 +1,16 @@
-"""Batch forms of the incremental operators (K)."""
+"""Incremental operators, run as streams in several batches and with a restart, and their batch forms (K)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearthline import schemas
 from hearthline.functions.labels import keyword_labels
 from hearthline.operators import cleaning, logs
 from hearthline.registered import views as v
 from hearthline.registered.base import n, query, r, rounded, table
+from hearthline.session import scratch_path
+from hearthline.streaming import ingest
 
 
 @query(
@@ -16,12 +19,70 @@ from hearthline.registered.base import n, query, r, rounded, table
 )
 def k1(spark, folder):
     """Events read as an available-now stream into Parquet, then summed; equals a plain read of the input."""
-    from hearthline.streaming.ingest import land_table
-
-    landed = land_table(spark, folder, "events", ["event_id", "ts", "event_type", "value"])
+    landed = ingest.land_table(spark, folder, "events", ["event_id", "ts", "event_type", "value"])
     return rounded(landed.groupBy("event_type").agg(F.count("*").alias("n"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_at"), F.sum("value").alias("total")), 3)
 
 
+DAMAGED_DDL = "event_id bigint, event_type string, user_id bigint, ts string, value double"
+
+
+def event_files(spark, folder):
+    """Events as JSON lines in eight files: clicks are cut off, views lack their first column, sign-ups their key."""
+    record = F.struct(
+        F.when(F.col("event_type") != "view", F.col("event_id")).alias("event_id"), "event_type", F.when(F.col("event_type") != "signup", F.col("user_id")).alias("user_id"),
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"), "value",
+    )
+    line = F.when(F.col("event_type") == "click", F.expr("left(to_json(struct(event_type, event_id)), 9)")).otherwise(F.to_json(record))
+    path = scratch_path(spark, "event-lines")
+    table(spark, folder, "events").select("event_id", line.alias("value")).repartition(8, "event_id").select("value").write.text(path)
+    return path
+
+
+@query(
+    "k1_streamed_records",
+    f"""SELECT CASE WHEN event_type = 'click' THEN 'quarantined' ELSE event_type END AS outcome, {n('count(*)', 'n')}, {n("count(CASE WHEN event_type NOT IN ('click', 'view') THEN 1 END)", 'with_id')} FROM events GROUP BY 1""",
+)
+def k1_streamed(spark, folder):
+    """Two files a batch, then a restart that adds nothing; broken lines go to quarantine, records with a null first column stay."""
+    source, base = event_files(spark, folder), scratch_path(spark, "landed-records")
+    for _ in range(2):
+        ingest.land_records(ingest.line_stream(spark, source, DAMAGED_DDL, 2), f"{base}/good", f"{base}/bad", f"{base}/progress").awaitTermination()
+    good = spark.read.parquet(f"{base}/good").select(F.col("event_type").alias("outcome"), "event_id")
+    bad = spark.read.parquet(f"{base}/bad").select(F.lit("quarantined").alias("outcome"), F.lit(None).cast("bigint").alias("event_id"))
+    return good.unionByName(bad).groupBy("outcome").agg(F.count("*").alias("n"), F.count("event_id").alias("with_id"))
+
+
+@query(
+    "k2_streamed_first_seen",
+    f"SELECT DISTINCT CASE WHEN event_type <> 'signup' THEN user_id END AS user_id, {n('1', 'rows_kept')} FROM events WHERE event_type <> 'click'",
+)
+def k2_streamed(spark, folder):
+    """One row per key over all batches; the null key is one key."""
+    source, base = event_files(spark, folder), scratch_path(spark, "first-seen")
+    for _ in range(2):
+        ingest.land_first_seen(ingest.record_stream(spark, source, DAMAGED_DDL, 2), f"{base}/rows", f"{base}/progress", "user_id", "ts").awaitTermination()
+    return spark.read.parquet(f"{base}/rows").groupBy("user_id").agg(F.count("*").alias("rows_kept"))
+
+
+@query(
+    "k4_streamed_open_failures",
+    f"""WITH {v.EVENTS}, l AS (SELECT * REPLACE (CASE WHEN record_type = 'failure' AND event_id % 7 = 0 THEN md5(target_url) ELSE failure_id END AS failure_id) FROM v_log),
+    f AS (SELECT failure_id, {n("count(*)", "k")} FROM l WHERE record_type = 'failure' GROUP BY 1), u AS (SELECT failure_id, arg_max(resolved, retried_at) AS resolved FROM l WHERE record_type = 'retry_update' GROUP BY 1)
+    SELECT f.failure_id FROM f LEFT JOIN u USING (failure_id) WHERE NOT coalesce(u.resolved, false)""",
+)
+def k4_streamed(spark, folder):
+    """Failures and retries in four batches and a restart; every seventh failure comes without an id."""
+    log = v.event_log(spark, folder).filter(F.col("record_type") != "counter")
+    idless = (F.col("record_type") == "failure") & (F.col("event_id") % 7 == 0)
+    columns = ["record_type", "target_type", "target_url", "error_message", "failed_at", "retry_count", "resolved", "retried_at", "success"]
+    base = scratch_path(spark, "failure-lines")
+    record = F.to_json(F.struct(F.when(~idless, F.col("failure_id")).alias("failure_id"), *columns))
+    log.select("event_id", record.alias("value")).repartition(4, "event_id").select("value").write.text(f"{base}/lines")
+    for _ in range(2):
+        ingest.fold_failures(ingest.record_stream(spark, f"{base}/lines", schemas.FAILURE_DDL, 1), f"{base}/log", f"{base}/open", f"{base}/progress").awaitTermination()
+    return ingest.current_open_failures(spark, f"{base}/open").select("failure_id")
+
+
 @query(
     "k2_first_seen",
     f"WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) SELECT user_id, event_id, event_type FROM k WHERE rn = 1",

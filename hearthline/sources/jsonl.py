@@ -20,7 +20,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.filter(F.trim("value") != "")
 
 
-def _parsed(lines: DataFrame, ddl: str) -> DataFrame:
+def parsed_lines(lines: DataFrame, ddl: str) -> DataFrame:
     """Adds record and bad: a line that is not one well-formed JSON object is bad."""
     schema = f"{ddl}, _broken string"
     record = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
@@ -29,26 +29,39 @@ def _parsed(lines: DataFrame, ddl: str) -> DataFrame:
     return parsed.withColumn("bad", ~looks | F.col("record").isNull() | F.col("record._broken").isNotNull())
 
 
-def _columns(ddl_frame: DataFrame) -> list[Column]:
+def record_columns(ddl_frame: DataFrame) -> list[Column]:
     names = [f.name for f in ddl_frame.schema["record"].dataType.fields if f.name != "_broken"]
     return [F.col("record")[name].alias(name) for name in names]
 
 
 def read_strict(spark: SparkSession, path: str, ddl: str, with_file: bool = False) -> DataFrame:
-    """All records, or an error that quotes the first bad line; an empty input is an error too."""
-    parsed = _parsed(_lines(spark, path), ddl)
-    bad = parsed.filter("bad").select("file_path", "value").head(1)
-    if bad:
-        raise BadRecords(f"{bad[0]['file_path']}: not a JSON object: {bad[0]['value'][:200]}")
-    if not parsed.head(1):
+    """All records in one pass; a bad line fails the read with its file and text, an input without records fails at once.
+
+    Use ``line_number`` to find the line of such an error.
+    """
+    parsed = parsed_lines(_lines(spark, path), ddl)
+    if not _lines(spark, path).head(1):
         raise BadRecords(f"{path}: no records")
-    return parsed.select(*_columns(parsed), *(["file_path"] if with_file else []))
+    message = F.concat(F.col("file_path"), F.lit(": not a JSON object: "), F.col("value"))
+    checked = parsed.filter(F.when(F.col("bad"), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
+    return checked.select(*record_columns(checked), *(["file_path"] if with_file else []))
+
+
+def line_number(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """(file_path, line, value) of the bad lines of files; lines are numbered from 1, blank ones too. Only the files that hold
+    a bad line are read whole, a file in one task."""
+    files = [r["file_path"] for r in parsed_lines(_lines(spark, path), ddl).filter("bad").select("file_path").distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], "file_path string, line int, value string")
+    whole = spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split("value", "\r?\n")).alias("at", "value"))
+    numbered = whole.select("file_path", (F.col("at") + 1).alias("line"), "value").filter(F.trim("value") != "")
+    return parsed_lines(numbered, ddl).filter("bad").select("file_path", "line", "value")
 
 
 def read_tolerant(spark: SparkSession, path: str, ddl: str) -> tuple[DataFrame, DataFrame]:
     """(records, quarantined lines)."""
-    parsed = _parsed(_lines(spark, path), ddl)
-    return parsed.filter(~F.col("bad")).select(*_columns(parsed)), parsed.filter("bad").select("file_path", "value")
+    parsed = parsed_lines(_lines(spark, path), ddl)
+    return parsed.filter(~F.col("bad")).select(*record_columns(parsed)), parsed.filter("bad").select("file_path", "value")
 
 
 def read_listings(spark: SparkSession, path: str) -> DataFrame:

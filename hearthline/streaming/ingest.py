@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hearthline.operators.cleaning import keep_first
-from hearthline.operators.logs import open_failures
+from hearthline.operators.logs import open_failures, with_failure_id
+from hearthline.operators.ranking import null_safe_join
 from hearthline.session import scratch_path
+from hearthline.sources.jsonl import parsed_lines, record_columns
 
 
-def record_stream(spark: SparkSession, folder: str, ddl: str, files_per_batch: int | None = None) -> DataFrame:
-    """JSON-lines files of a folder as a stream with an explicit schema; broken lines arrive as all-null rows and drop out."""
-    reader = spark.readStream.schema(ddl)
+#: Folders that the state of an incremental table is dealt over; a batch reads the ones its keys fall into.
+BUCKETS = 64
+
+
+def line_stream(spark: SparkSession, folder: str, ddl: str, files_per_batch: int | None = None) -> DataFrame:
+    """JSON-lines files of a folder as a stream of parsed lines (value, file_path, record, bad); blank lines drop out."""
+    reader = spark.readStream.format("text")
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    stream = reader.json(folder)
-    return stream.filter(F.coalesce(*[F.col(c).isNotNull() for c in stream.columns[:1]], F.lit(False)))
+    lines = reader.load(folder).select(F.col("value"), F.col("_metadata.file_path").alias("file_path"))
+    return parsed_lines(lines.filter(F.trim("value") != ""), ddl)
+
+
+def record_stream(spark: SparkSession, folder: str, ddl: str, files_per_batch: int | None = None) -> DataFrame:
+    """The records of the stream, whichever of their columns are null; see ``land_records`` for what to do with bad lines."""
+    lines = line_stream(spark, folder, ddl, files_per_batch)
+    return lines.filter(~F.col("bad")).select(*record_columns(lines))
+
+
+def land_records(lines: DataFrame, target: str, quarantine: str, checkpoint: str) -> StreamingQuery:
+    """Lands the records of a ``line_stream`` and, beside them, the lines that are not records. A batch that runs again
+    replaces its own folders."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        batch.filter(~F.col("bad")).select(*record_columns(batch)).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        batch.filter("bad").select("file_path", "value").write.mode("overwrite").parquet(f"{quarantine}/batch_id={batch_id}")
+        batch.unpersist()
+
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def land(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -32,18 +57,32 @@ def _read_if_present(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
 
 
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _touched(batch: DataFrame) -> list[int]:
+    """The buckets of a batch, at most BUCKETS numbers; as literals they prune the folders that are read."""
+    return [row["bucket"] for row in batch.select("bucket").distinct().collect()]
+
+
 def land_first_seen(stream: DataFrame, target: str, checkpoint: str, key: str, time: str = "extracted_at") -> StreamingQuery:
-    """Keep-first for ever: each batch writes only keys the target lacks.
+    """Keep-first for ever: each batch writes only keys the target lacks; a null key is a key like any other.
 
-    The target is the state, so memory does not grow with history. Batches go to folders named by batch id, and a
-    batch that runs again replaces its own folder and is compared with the other batches only.
+    The target is the state, so memory does not grow with history, and a batch reads only the buckets of its own keys.
+    Batches go to folders named by batch id, and a batch that runs again replaces its own folder and is compared with the
+    other batches only.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        earlier = _read_if_present(spark, target, f"{key} string, batch_id bigint").filter(F.col("batch_id") < batch_id)
-        fresh = keep_first(batch, key, time).join(earlier.select(key).distinct(), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        first = keep_first(batch, key, time).withColumn("bucket", _bucket(key)).persist()
+        kind = batch.schema[key].dataType.simpleString()
+        earlier = _read_if_present(spark, target, f"{key} {kind}, batch_id bigint, bucket int").filter(F.col("batch_id") < batch_id)
+        earlier = earlier.filter(F.col("bucket").isin(_touched(first))).select(key).distinct().withColumn("_seen", F.lit(True))
+        fresh = null_safe_join(first, earlier, [key], "left").filter(F.col("_seen").isNull()).drop("_seen")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch_id={batch_id}")
+        first.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -53,14 +92,6 @@ def deduplicate_within(stream: DataFrame, key: str, time: str, horizon: str = "7
     return stream.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def running_counters(events: DataFrame) -> DataFrame:
-    """Current counters of a run-event stream (use output mode update or complete)."""
-    exploded = events.select("run_id", "region", "phase", F.explode("metrics").alias("metric", "c"))
-    return exploded.groupBy("run_id", "region", "phase", "metric").agg(
-        F.max("c.total").alias("total"), F.max("c.success").alias("success"), F.max("c.failed").alias("failed")
-    )
-
-
 def fold_failures(stream: DataFrame, log_target: str, open_target: str, checkpoint: str) -> StreamingQuery:
     """Lands failure and retry events and refreshes the table of open failures.
 
@@ -70,13 +101,16 @@ def fold_failures(stream: DataFrame, log_target: str, open_target: str, checkpoi
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{log_target}/batch_id={batch_id}")
-        log = spark.read.parquet(log_target).filter(F.col("batch_id") <= batch_id).drop("batch_id")
-        touched = batch.select("failure_id").filter(F.col("failure_id").isNotNull()).distinct()
+        known = with_failure_id(batch).withColumn("bucket", _bucket("failure_id")).persist()
+        known.write.mode("overwrite").partitionBy("bucket").parquet(f"{log_target}/batch_id={batch_id}")
+        log = spark.read.schema(f"{known.schema.simpleString()[7:-1].replace(':', ' ')}, batch_id bigint").parquet(log_target)
+        log = log.filter((F.col("batch_id") <= batch_id) & F.col("bucket").isin(_touched(known))).drop("batch_id", "bucket")
+        touched = known.select("failure_id").filter(F.col("failure_id").isNotNull()).distinct()
         history = log.join(touched, "failure_id", "left_semi")
         still_open = open_failures(history).withColumn("is_open", F.lit(True))
         state = touched.join(still_open, "failure_id", "left").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
         state.write.mode("overwrite").parquet(f"{open_target}/batch_id={batch_id}")
+        known.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
