@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from hearthline.llm.common import columns_only, materialise, text_bytes
 
-ORDER = 6
+ORDER = 5
 DISCOUNT = 0.75
 #: Evidence of a word that is taken for noise.
-NOISE = 1.0
+NOISE = 1.5
 #: Sampled training rows of each label, and bytes of text read from one of them.
 SAMPLE = 6_000
 #: Share of the sampled rows that fit the curve and not the counts.
@@ -52,69 +52,76 @@ def words_of(raw: bytes) -> list[bytes]:
 
 @dataclass
 class ClassModels:
-    """Counts of n-grams as text -> (toxic, ordinary); contexts as text -> (sum and types of each class, shared types)."""
+    """Both models in one table, as a backoff automaton over letters: for an n-gram the log ratio of its last letter's
+    probabilities, for a context the log ratio of the shares that its classes leave to the shorter context."""
 
     order: int
-    grams: dict[str, tuple[float, float]]
-    contexts: dict[str, tuple[float, float, float, float]]
-    shared: dict[str, float]
-    shared_contexts: dict[str, tuple[float, float]]
-
-    def base(self, context: str, letter: str) -> float:
-        """Interpolated continuation probability that both classes share; longer contexts are discounted first."""
-        lower = 1 / 4096 if not context else self.base(context[1:], letter)
-        total, types = self.shared_contexts.get(context, (0.0, 0.0))
-        if not total:
-            return lower
-        return max(self.shared.get(context + letter, 0.0) - DISCOUNT, 0.0) / total + DISCOUNT * types / total * lower
+    ratio: dict[str, float]
+    backoff: dict[str, float]
 
     def evidence(self, word: str) -> float:
         """log P(word | toxic) - log P(word | ordinary)."""
-        text, out = START + word + END, 0.0
-        for i in range(1, len(text)):
-            letter = text[i]
-            low = max(0, i - self.order + 1)
-            shared = self.base(text[max(low, i - 2) : i], letter)
-            toxic = plain = shared
-            for k in range(i - 1, low - 1, -1):
-                found = self.contexts.get(text[k:i])
-                if found is None:
+        text, out, ratio, backoff, reach = START + word + END, 0.0, self.ratio.get, self.backoff.get, self.order - 1
+        for i in range(2, len(text)):
+            for k in range(i - reach if i > reach else 0, i - 1):
+                found = ratio(text[k : i + 1])
+                if found is not None:
+                    out += found
                     break
-                a, b = self.grams.get(text[k : i + 1], (0.0, 0.0))
-                ta, ka, tb, kb = found
-                if ta:
-                    toxic = max(a - DISCOUNT, 0.0) / ta + DISCOUNT * ka / ta * toxic
-                if tb:
-                    plain = max(b - DISCOUNT, 0.0) / tb + DISCOUNT * kb / tb * plain
-            out += math.log(toxic) - math.log(plain)
+                out += backoff(text[k:i], 0.0)
         return out
 
 
-def fit_models(words: dict[str, tuple[float, float]], order: int = ORDER) -> ClassModels:
-    """From word -> (count in toxic, in ordinary rows). The two classes are read at the same total weight."""
-    grams: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+def fit_models(words: dict[str, tuple[int, int]], order: int = ORDER) -> ClassModels:
+    """From word -> (rows of label 1, rows of label 0).
+
+    Letters after one letter have a probability that the classes share, from the number of different letters an n-gram has
+    been seen after; longer contexts are counted by class, discounted, and interpolated down to it. n-grams seen once are
+    kept out of the table: the automaton then reads the shorter context.
+    """
+    grams: dict[str, complex] = defaultdict(complex)
     for word, counts in words.items():
-        text = START + word + END
+        text, both = START + word + END, complex(*counts)
         for i in range(1, len(text)):
             for k in range(max(0, i - order + 1), i):
-                cell = grams[text[k : i + 1]]
-                cell[0] += counts[0]
-                cell[1] += counts[1]
-    contexts: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    shared: Counter = Counter()
-    for gram, (a, b) in grams.items():
-        cell = contexts[gram[:-1]]
-        cell[0] += a
-        cell[1] += a > 0
-        cell[2] += b
-        cell[3] += b > 0
-        if len(gram) <= 4:
-            shared[gram[1:]] += 1  # different letters before it, in either class
-    shared_contexts: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for gram, n in shared.items():
-        shared_contexts[gram[:-1]][0] += n
-        shared_contexts[gram[:-1]][1] += 1
-    return ClassModels(order, {k: tuple(v) for k, v in grams.items()}, {k: tuple(v) for k, v in contexts.items()}, dict(shared), {k: tuple(v) for k, v in shared_contexts.items()})
+                grams[text[k : i + 1]] += both
+    sums: dict[str, complex] = defaultdict(complex)
+    types: dict[str, complex] = defaultdict(complex)
+    after: Counter = Counter()
+    for gram, n in grams.items():
+        sums[gram[:-1]] += n
+        types[gram[:-1]] += complex(n.real > 0, n.imag > 0)
+        if len(gram) == 3:
+            after[gram[1:]] += 1
+    pairs, kinds, letters = Counter(), Counter(), Counter()
+    for pair, n in after.items():
+        pairs[pair[0]] += n
+        kinds[pair[0]] += 1
+        letters[pair[1]] += 1
+    total = max(1, sum(letters.values()))
+
+    def shared(pair: str) -> float:
+        low = max(letters[pair[1]], 0.5) / total
+        n = pairs[pair[0]]
+        return max(after[pair] - DISCOUNT, 0) / n + DISCOUNT * kinds[pair[0]] / n * low if n else low
+
+    d, known, ratio = DISCOUNT, {}, {}
+    for gram in sorted(grams, key=len):
+        if len(gram) == 2:
+            p = shared(gram)
+            known[gram] = (p, p)
+            continue
+        n, s, t, (toxic, plain) = grams[gram], sums[gram[:-1]], types[gram[:-1]], known[gram[1:]]
+        if s.real:
+            toxic = (max(n.real - d, 0) + d * t.real * toxic) / s.real
+        if s.imag:
+            plain = (max(n.imag - d, 0) + d * t.imag * plain) / s.imag
+        known[gram] = (toxic, plain)
+        if len(gram) == 3 or n.real + n.imag > 1:
+            ratio[gram] = math.log(toxic) - math.log(plain)
+    left = lambda s, t: d * t / s if s else 1.0
+    backoff = {c: math.log(left(s.real, types[c].real)) - math.log(left(s.imag, types[c].imag)) for c, s in sums.items() if len(c) > 1}
+    return ClassModels(order, ratio, backoff)
 
 
 class Evidence(dict):
@@ -228,9 +235,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, train: Co
     """Learns from at most about `most` labelled rows of each label for which `train` holds."""
     rows, sizes = sample_rows(docs, labels, F.lit(True) if train is None else train, most)
     rows = materialise(rows)
-    words = {r["word"]: (float(r["toxic"]), float(r["ordinary"])) for r in word_counts(rows.where("not curve")).toLocalIterator()}
-    sums = [max(1.0, sum(v[k] for v in words.values())) for k in (0, 1)]
-    models = fit_models({w: (a, b * sums[0] / sums[1]) for w, (a, b) in words.items()})
+    models = fit_models({r["word"]: (r["toxic"], r["ordinary"]) for r in word_counts(rows.where("not curve")).toLocalIterator()})
     shared = docs.sparkSession.sparkContext.broadcast(models)
     fit = curve_rows(rows.where("curve"), shared).toPandas()
     y = fit["toxic"].to_numpy(dtype=float)
