@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from hearthline.llm.common import columns_only, slices, text_bytes
 
 #: Remembered pre-tokens and the longest one remembered in bytes; states kept before the machine starts anew.
-REMEMBERED, SHORT, STATES = 800_000, 64, 500_000
+REMEMBERED, SHORT, STATES = 600_000, 64, 150_000
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
