@@ -161,7 +161,9 @@ def block_links(left: tuple, right: tuple, percent: int) -> tuple[np.ndarray, np
 def remaining_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components of a bucket. members: (bucket, cls, n, component), of which buckets with one
     component only are already done."""
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    prints = [F.bit_xor(F.xxhash64("cls", F.lit(k))).alias(f"p{k}") for k in range(2)]
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k"), *prints).where("low < high")
+    mixed = mixed.groupBy("k", "p0", "p1").agg(F.min("bucket").alias("bucket")).select("bucket")  # one of the buckets with the same classes
     left = materialise(members.join(mixed, "bucket"))
     counts = left.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("hashes"))
     main = counts.groupBy("bucket").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("hashes").alias("hashes"), F.sum("k").alias("k"))
