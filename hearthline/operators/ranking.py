@@ -6,7 +6,8 @@
 * ``order_cutoff``: the row at a given position of a two-key order, as two bracketed selections.
 * ``lowest_hash_cutoffs``: the same for md5 order keys, whose known uniform law replaces the sketch.
 
-Sketch bounds are checked against exact counts; a rank outside its bracket fails the query, it never gives a wrong row.
+Sketch bounds are checked against exact counts; a rank outside its bracket is sought again in a wider one, up to the whole
+range, so it never gives a wrong row and no size stops a query. A bracket with too many rows to order is narrowed first.
 """
 
 from __future__ import annotations
@@ -22,7 +23,14 @@ from hearthline.functions.hashing import HASH_SPACE, hash_key
 from hearthline.session import materialise
 
 SKETCH_ACCURACY = 50_000
+#: Groups up to this size have one bracket from end to end.
 SMALL_GROUP = 20_000
+#: Rows of a global bracket that are ordered at once; a bracket with more is narrowed by another pass.
+MOST_INSIDE = 2_000_000
+#: Groups whose sketches are broadcast, some 200 bytes each; with more of them the join is left to adaptive execution.
+BROADCAST_GROUPS = 20_000
+#: Factors by which brackets are widened when a rank was missed; the last takes the whole range.
+WIDER = (1, 20, 400, None)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -32,9 +40,9 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_right_{key}" for key in keys])
 
 
-def _bracket_ends(probs: Sequence[float], accuracy: int) -> list[tuple[float, float]]:
+def _bracket_ends(probs: Sequence[float], accuracy: int, wider: int | None = 1) -> list[tuple[float, float]]:
     """Sketch error plus at least two ranks on each side, for any group larger than SMALL_GROUP."""
-    margin = 1.0 / accuracy + 2.5 / SMALL_GROUP
+    margin = 1.0 if wider is None else wider * (1.0 / accuracy + 2.5 / SMALL_GROUP)
     return [(max(p - margin, 0.0), min(p + margin, 1.0)) for p in probs]
 
 
@@ -70,36 +78,62 @@ def _running_counts(tagged: DataFrame, by: list[str]) -> DataFrame:
     return counted.withColumn("_cum", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def _bracketed_counts(rows: DataFrame, by: list[str], probs: Sequence[float], accuracy: int) -> DataFrame:
-    """Counts per (group, value) inside the brackets and per gap outside them, with running totals per group."""
-    ends = _bracket_ends(probs, accuracy)
+def _bracketed_counts(rows: DataFrame, by: list[str], probs: Sequence[float], accuracy: int, wider: int | None = 1) -> DataFrame:
+    """Counts per (group, value) inside the brackets and per gap outside them, with running totals per group.
+
+    The rows are never exchanged on the group: the sketches, one row per group, go to them.
+    """
+    ends = _bracket_ends(probs, accuracy, wider)
     value = F.col("_v")
     if not by:
-        facts = rows.agg(_sketch(value, ends, accuracy).alias("s")).first()["s"]
+        facts = _narrowed(rows, rows.agg(_sketch(value, ends, accuracy).alias("s")).first()["s"].asDict(), probs, ends, accuracy)
         return _running_counts(rows.select(F.lit(facts["n"]).alias("_n"), _literal_key(value, facts, ends, rows.schema["_v"].dataType).alias("_b")), by)
-    summary = rows.groupBy(*by).agg(_sketch(value, ends, accuracy).alias("_s"))
-    # The explicit exchange lets adaptive execution broadcast the summary or split a hot group.
-    joined = null_safe_join(rows, summary.repartition(*by), by, "inner")
+    summary = materialise(rows.groupBy(*by).agg(_sketch(value, ends, accuracy).alias("_s")))
+    side = F.broadcast(summary) if summary.count() <= BROADCAST_GROUPS else summary
+    joined = null_safe_join(rows, side, by, "inner")
     edges = [F.element_at("_s.edges", i + 1) for i in range(2 * len(ends))]
     key = _bracket_key(value, F.col("_s.n"), F.col("_s.least"), F.col("_s.most"), edges, ends)
     return _running_counts(joined.select(*by, F.col("_s.n").alias("_n"), key.alias("_b")), by)
 
 
+def _narrowed(rows: DataFrame, facts: dict, probs: Sequence[float], ends: list[tuple[float, float]], accuracy: int) -> dict:
+    """Brackets of a whole table hold a share of it; where that is more than MOST_INSIDE rows, a sketch of the rows inside
+    gives closer edges. Edges only move while the wanted ranks stay strictly between them."""
+    n, edges = facts["n"], list(facts["edges"] or [])
+    value = F.col("_v")
+    for i, p in enumerate(probs if edges else ()):
+        low_p, high_p = ends[i]
+        while (high_p - low_p) * n > MOST_INSIDE and n > SMALL_GROUP:
+            low = edges[2 * i] if low_p > 0 else facts["least"]
+            high = edges[2 * i + 1] if high_p < 1 else facts["most"]
+            inside = value.between(F.lit(low), F.lit(high))
+            counts = rows.agg(F.count_if(value < F.lit(low)).alias("below"), F.count_if(inside).alias("inside")).first()
+            size, at = counts["inside"], (n - 1) * p - counts["below"]
+            if size <= MOST_INSIDE or not 0 <= at < size:
+                break
+            near = [max((at - 3) / size - 2.0 / accuracy, 0.0), min((at + 4) / size + 2.0 / accuracy, 1.0)]
+            closer = rows.filter(inside).agg(F.percentile_approx(value, near, accuracy).alias("e")).first()["e"]
+            if closer == [low, high]:
+                break  # few distinct values, which fold into few counters
+            edges[2 * i], edges[2 * i + 1] = closer
+            ends[i] = low_p, high_p = max(low_p, 1e-12), min(high_p, 1 - 1e-12)
+            if near[1] - near[0] >= 0.5:
+                break
+    return facts | {"edges": edges or None}
+
+
 def _literal_key(value: Column, facts, ends: list[tuple[float, float]], kind: T.DataType = T.DoubleType()) -> Column:
     """Key struct from a fetched sketch row."""
     edges = [F.lit(e).cast(kind) for e in (facts["edges"] or [None] * (2 * len(ends)))]
     return _bracket_key(value, F.lit(facts["n"]), F.lit(facts["least"]).cast(kind), F.lit(facts["most"]).cast(kind), edges, ends)
 
 
-def _value_at(rank: Column) -> Column:
-    """Aggregate: the value at a 1-based rank of a running count, failing when a gap counter holds that rank."""
+def _value_at(rank: Column) -> tuple[Column, Column]:
+    """Aggregates: the value at a 1-based rank of a running count, and whether a gap counter holds that rank."""
     reached = F.col("_cum") >= rank
     inside = reached & (F.col("_o") == 0)
     hit = F.min(F.when(inside, F.col("_cum")))
-    value = F.min(F.when(inside, F.col("_k")))
-    return F.when(hit == F.min(F.when(reached, F.col("_cum"))), value).otherwise(
-        F.raise_error(F.lit("rank fell outside its bracket"))
-    )
+    return F.min(F.when(inside, F.col("_k"))), ~hit.eqNullSafe(F.min(F.when(reached, F.col("_cum"))))
 
 
 def exact_quantiles(
@@ -109,51 +143,69 @@ def exact_quantiles(
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(*by, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    ordered = sorted(set(probs.values()))
-    return _interpolated(_bracketed_counts(rows, by, ordered, accuracy), by, probs, ordered)
+    ordered, out = sorted(set(probs.values())), None
+    for wider in WIDER:
+        found = materialise(_interpolated(_bracketed_counts(rows, by, ordered, accuracy, wider), by, probs, ordered))
+        done = found.filter(~F.col("_missed")).drop("_missed")
+        out = done if out is None else out.unionByName(done)
+        missed = found.filter("_missed").select(*by, F.lit(True).alias("_again"))
+        if missed.isEmpty():
+            break
+        rows = null_safe_join(rows, missed, by, "inner").drop("_again") if by else rows
+    return out
 
 
 def _interpolated(counts: DataFrame, by: list[str], probs: Mapping[str, float], ordered: Sequence[float]) -> DataFrame:
-    picks = []
+    picks, missed = [], []
     for i, p in enumerate(ordered):
         at = (F.col("_n") - 1) * F.lit(float(p))
-        picks += [_value_at(F.floor(at) + 1).alias(f"_l{i}"), _value_at(F.ceil(at) + 1).alias(f"_h{i}")]
-    picked = counts.groupBy(*by).agg(F.first("_n").alias("n_values"), *picks)
+        for name, rank in ((f"_l{i}", F.floor(at) + 1), (f"_h{i}", F.ceil(at) + 1)):
+            found, outside = _value_at(rank)
+            picks.append(found.alias(name))
+            missed.append(outside)
+    picked = counts.groupBy(*by).agg(F.first("_n").alias("n_values"), *picks, reduce(lambda a, b: a | b, missed).alias("_missed"))
     columns = []
     for name, p in probs.items():
         i = ordered.index(p)
         at = (F.col("n_values") - 1) * F.lit(float(p))
         columns.append((F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (at - F.floor(at))).alias(name))
-    return picked.select(*by, "n_values", *columns)
+    # An aggregate without groups has a row even for an empty table.
+    return picked.select(*by, "n_values", *columns, (F.col("_missed") & F.col("n_values").isNotNull()).alias("_missed"))
 
 
 def quantile_bounds(
     df: DataFrame, columns: Sequence[str], probs: Mapping[str, float], accuracy: int = SKETCH_ACCURACY
 ) -> dict[str, dict[str, float | None]]:
     """Exact global quantiles of several columns in two passes, fetched as one small row per column for use as literals."""
-    ordered = sorted(set(probs.values()))
-    ends = _bracket_ends(ordered, accuracy)
-    values = {c: F.col(c).cast("double") for c in columns}
-    sketches = df.agg(*[_sketch(value, ends, accuracy).alias(f"s{i}") for i, value in enumerate(values.values())]).first()
-    items = [
-        F.struct(F.lit(c).alias("measure"), F.lit(sketches[f"s{i}"]["n"]).alias("_n"), value.alias("_v"), _literal_key(value, sketches[f"s{i}"], ends).alias("_b"))
-        for i, (c, value) in enumerate(values.items())
-    ]
-    long = df.select(F.explode(F.array(*items)).alias("m")).select("m.*").filter(F.col("_v").isNotNull())
-    rows = _interpolated(_running_counts(long, ["measure"]), ["measure"], probs, ordered).collect()
-    found = {row["measure"]: {name: row[name] for name in probs} for row in rows}
+    ordered, wanted, found = sorted(set(probs.values())), list(columns), {}
+    for wider in WIDER:
+        ends = _bracket_ends(ordered, accuracy, wider)
+        values = {c: F.col(c).cast("double") for c in wanted}
+        sketches = df.agg(*[_sketch(value, ends, accuracy).alias(f"s{i}") for i, value in enumerate(values.values())]).first()
+        items = []
+        for i, (c, value) in enumerate(values.items()):
+            own = list(ends)
+            facts = _narrowed(df.select(value.alias("_v")), sketches[f"s{i}"].asDict(), ordered, own, accuracy)
+            items.append(F.struct(F.lit(c).alias("measure"), F.lit(facts["n"]).alias("_n"), value.alias("_v"), _literal_key(value, facts, own).alias("_b")))
+        long = df.select(F.explode(F.array(*items)).alias("m")).select("m.*").filter(F.col("_v").isNotNull())
+        rows = _interpolated(_running_counts(long, ["measure"]), ["measure"], probs, ordered).collect()
+        found |= {row["measure"]: {name: row[name] for name in probs} for row in rows if not row["_missed"]}
+        wanted = [row["measure"] for row in rows if row["_missed"]]
+        if not wanted:
+            break
     return {c: found.get(c, dict.fromkeys(probs)) for c in columns}
 
 
 def select_rank(df: DataFrame, value: str, rank: int, total: int, accuracy: int = SKETCH_ACCURACY) -> tuple[object, int, int]:
     """The value at a 1-based rank of a non-null orderable number, the rows strictly below it, and the rows equal to it."""
     rows = df.select(F.col(value).alias("_v"))
-    counts = _bracketed_counts(rows, [], [(rank - 0.5) / total], accuracy)
     at_rank = (F.col("_cum") >= rank) & (F.col("_cum") - F.col("_c") < rank)
-    row = counts.filter(at_rank).select("_k", "_o", "_c", (F.col("_cum") - F.col("_c")).alias("below")).first()
-    if row is None or row["_o"] != 0:
-        raise ArithmeticError("rank fell outside its bracket")
-    return row["_k"], row["below"], row["_c"]
+    for wider in WIDER:
+        counts = _bracketed_counts(rows, [], [(rank - 0.5) / total], accuracy, wider)
+        row = counts.filter(at_rank).select("_k", "_o", "_c", (F.col("_cum") - F.col("_c")).alias("below")).first()
+        if row is not None and row["_o"] == 0:
+            return row["_k"], row["below"], row["_c"]
+    raise ArithmeticError(f"there is no rank {rank} of {total}")
 
 
 def order_cutoff(df: DataFrame, key: Column, tie: str, rank: int, total: int, nulls: int) -> Column:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.functions.hashing import hash_fold, hash_key
-from hearthline.operators.ranking import lowest_hash_cutoffs, null_safe_join, order_cutoff, positions
+from hearthline.operators.ranking import lowest_hash_cutoffs, null_safe_join, order_cutoff, positions, running_totals
 from hearthline.session import materialise
 
 
@@ -95,33 +96,73 @@ def group_folds(df: DataFrame, group: str, folds: int, seed: int | str = "group"
     return df.withColumn(name, hash_fold(F.coalesce(F.col(group).cast("string"), F.lit("unknown")), folds, seed))
 
 
+#: Groups that are placed one by one; the rest are small beside a fold and are dealt in snake order.
+LARGE_GROUPS = 2_000
+
+
 def balanced_group_folds(df: DataFrame, group: str, folds: int, name: str = "fold") -> DataFrame:
-    """Groups by falling size are dealt to folds in snake order, so that fold sizes stay close."""
+    """Groups by falling size go to the fold with the fewest rows, ties to the lower fold.
+
+    The LARGE_GROUPS largest are placed one by one. The others differ little from their neighbours in size, so they fill
+    what room the folds have left: each takes the fold whose share of the remaining rows its place falls into.
+    """
     keyed = df.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.lit("unknown")))
-    sizes = keyed.groupBy("_g").agg((-F.count("*")).alias("_neg_size"))
-    turn = F.pmod(F.col("position") - 1, F.lit(2 * folds))
-    dealt = positions(sizes, ["_neg_size", "_g"]).select(
-        "_g", F.when(turn < folds, turn).otherwise(F.lit(2 * folds - 1) - turn).cast("int").alias(name)
-    )
+    sizes = materialise(keyed.groupBy("_g").agg((-F.count("*")).alias("_neg_size")))
+    largest = sizes.orderBy("_neg_size", "_g").limit(LARGE_GROUPS).collect()
+    load, placed = [0] * folds, []
+    for row in largest:
+        fold = min(range(folds), key=lambda k: (load[k], k))
+        load[fold] -= row["_neg_size"]
+        placed.append((row["_g"], fold))
+    spark = df.sparkSession
+    one_by_one = spark.createDataFrame(placed, f"_g string, {name} int")
+    rest = sizes.join(one_by_one.select("_g"), "_g", "left_anti")
+    left = -(rest.agg(F.sum("_neg_size")).first()[0] or 0)
+    dealt = one_by_one
+    if left:
+        level = _water_level(load, left)
+        # Rows before each group, largest first, tell whose room it takes.
+        at, chain, upto = F.col("_before"), F, 0
+        for k, full in enumerate(load):
+            upto += max(level - full, 0)
+            chain = chain.when(at < upto, F.lit(k))
+        spread = running_totals(rest, ["_neg_size", "_g"], {"_before": -F.col("_neg_size")})
+        dealt = dealt.unionByName(spread.select("_g", chain.otherwise(F.lit(folds - 1)).cast("int").alias(name)))
     return keyed.join(dealt, "_g").drop("_g")
 
 
+def _water_level(load: list[int], rows: int) -> float:
+    """The level to which `rows` more rows fill up the folds."""
+    filled, level = sorted(load), 0.0
+    for k in range(1, len(filled) + 1):
+        level = (sum(filled[:k]) + rows) / k
+        if k == len(filled) or level <= filled[k]:
+            break
+    return level
+
+
 def row_folds(df: DataFrame, id_col: str, folds: int, seed: int | str, name: str = "fold") -> DataFrame:
     return df.withColumn(name, hash_fold(id_col, folds, seed))
 
 
 def cv_folds(df: DataFrame, id_col: str, group: str, folds: int, seed: int | str) -> DataFrame:
-    """Group folds when there are enough groups, else row folds."""
+    """Balanced group folds when there are enough groups, else row folds."""
     groups = df.select(F.coalesce(F.col(group).cast("string"), F.lit("unknown")).alias("g")).distinct().limit(folds).count()
     k = fold_count(groups, folds)
-    return group_folds(df, group, k, seed) if groups >= k else row_folds(df, id_col, k, seed)
+    return balanced_group_folds(df, group, k) if groups >= k else row_folds(df, id_col, k, seed)
+
+
+def _poisson_cumulative() -> list[float]:
+    """Cumulative probabilities of a Poisson(1) count, up to where a 53-bit uniform has nothing left."""
+    out, term, total = [], math.exp(-1), 0.0
+    while term > 2.0**-54:
+        total += term
+        out.append(total)
+        term /= len(out)
+    return out
 
 
-# Cumulative probabilities of a Poisson(1) count, enough for a 53-bit uniform.
-POISSON_CUMULATIVE = (
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217,
-)
+POISSON_CUMULATIVE = _poisson_cumulative()
 
 
 def bootstrap_mean_ci(df: DataFrame, value: str, id_col: str, by: Sequence[str] = (), replicates: int = 1000, seed: int = 42) -> DataFrame:

@@ -276,8 +276,11 @@ def h6(spark, folder):
 
 @query(
     "h6_balanced_group_folds",
-    f"""WITH {v.LISTING}, g AS (SELECT community_id, row_number() OVER (ORDER BY count(*) DESC, CAST(community_id AS VARCHAR)) AS pos FROM v_listing GROUP BY 1)
-    SELECT house_id, {n('CASE WHEN (pos - 1) % 6 < 3 THEN (pos - 1) % 6 ELSE 5 - (pos - 1) % 6 END', 'fold')} FROM v_listing JOIN g USING (community_id)""",
+    f"""WITH RECURSIVE {v.LISTING}, g AS (SELECT community_id, {n('count(*)', 'k')}, row_number() OVER (ORDER BY count(*) DESC, CAST(community_id AS VARCHAR)) AS pos FROM v_listing GROUP BY 1),
+    w AS (SELECT CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS x, CAST(0 AS BIGINT) AS y, CAST(0 AS BIGINT) AS z, -1 AS fold UNION ALL
+      SELECT pos, x + CASE WHEN f = 0 THEN k ELSE 0 END, y + CASE WHEN f = 1 THEN k ELSE 0 END, z + CASE WHEN f = 2 THEN k ELSE 0 END, f
+      FROM (SELECT g.pos, k, x, y, z, CASE WHEN x <= y AND x <= z THEN 0 WHEN y <= z THEN 1 ELSE 2 END AS f FROM w JOIN g ON g.pos = w.pos + 1))
+    SELECT house_id, {n('fold', 'fold')} FROM v_listing JOIN g USING (community_id) JOIN w USING (pos)""",
 )
 def h6_balanced(spark, folder):
     return rounded(sampling.balanced_group_folds(v.listings(spark, folder), "community_id", 3).select("house_id", "fold"))
@@ -291,7 +294,7 @@ def h7(spark, folder):
 @query("h8_bootstrap_interval")
 def h8(spark, folder):
     """Poisson bootstrap of the mean error per model; replicates have no counterpart in SQL of reasonable cost."""
-    return rounded(sampling.bootstrap_mean_ci(v.predictions(spark, folder), "absolute_error_wan", "house_id", ["model_name"], replicates=100))
+    return rounded(sampling.bootstrap_mean_ci(v.predictions(spark, folder), "absolute_error_wan", "house_id", ["model_name"]))
 
 
 @query(

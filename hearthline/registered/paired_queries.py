@@ -66,7 +66,7 @@ def i3(spark, folder):
 @query("i4_reference_significance")
 def i4(spark, folder):
     """Two baselines against the region means, with a bootstrap interval."""
-    return rounded(pairs.reference_significance(v.predictions(spark, folder), "region_mean", ["global_mean", "priority_mean"], replicates=100))
+    return rounded(pairs.reference_significance(v.predictions(spark, folder), "region_mean", ["global_mean", "priority_mean"]))
 
 
 @query(

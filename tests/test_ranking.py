@@ -53,6 +53,25 @@ def test_global_quantiles_and_bounds(spark, skewed, monkeypatch, small, accuracy
         assert bounds["id"][name] == pytest.approx(skewed["id"].quantile(p), rel=1e-12)
 
 
+def test_brackets_are_narrowed_and_widened(spark, skewed, monkeypatch):
+    df = to_spark(spark, skewed)
+    monkeypatch.setattr(ranking, "SMALL_GROUP", 50)
+    column = next(c for c, t in df.dtypes if t == "double")
+    for most, wider in ((2_000_000, (1, None)), (40, (1, 20, None)), (40, (0, None))):
+        monkeypatch.setattr(ranking, "MOST_INSIDE", most)
+        monkeypatch.setattr(ranking, "WIDER", wider)
+        got = ranking.exact_quantiles(df, column, {"low": 0.01, "mid": 0.5, "high": 0.99}, accuracy=100).first()
+        want = skewed[column].dropna().quantile([0.01, 0.5, 0.99]).tolist()
+        assert [got["low"], got["mid"], got["high"]] == pytest.approx(want, rel=1e-12)
+
+
+def test_rows_are_not_exchanged_on_the_group(spark, skewed):
+    rows = to_spark(spark, skewed).select("g", F.col("v").alias("_v"))
+    plan = ranking._bracketed_counts(rows, ["g"], [0.5], 1000)._jdf.queryExecution().sparkPlan().toString()
+    joined = plan[plan.index("BroadcastHashJoin") :]
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in joined
+
+
 def test_bounds_of_an_all_null_column(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0)], "a double, b double")
     assert ranking.quantile_bounds(df, ["a", "b"], {"m": 0.5}) == {"a": {"m": None}, "b": {"m": 1.5}}

@@ -66,6 +66,20 @@ def test_folds_never_split_a_group(rows):
     assert len(sizes) == 3 and max(sizes) - min(sizes) < 200
 
 
+def test_folds_are_filled_from_the_largest_group(spark, rows, monkeypatch):
+    skewed = rows.withColumn("g", F.when(F.col("id") % 10 < 7, F.lit("huge")).otherwise((F.col("id") % 301).cast("string")))
+    for large in (2_000, 20):
+        monkeypatch.setattr(sampling, "LARGE_GROUPS", large)
+        sizes = sorted(r["count"] for r in sampling.balanced_group_folds(skewed, "g", 3).groupBy("fold").count().collect())
+        huge = skewed.filter("g = 'huge'").count()
+        assert sizes[2] == huge and abs(sizes[0] - (5000 - huge) / 2) < 15
+
+
+def test_poisson_counts_have_the_whole_tail():
+    assert sampling.POISSON_CUMULATIVE[9] == pytest.approx(0.9999998885745217, abs=1e-15) and len(sampling.POISSON_CUMULATIVE) > 15
+    assert sampling.POISSON_CUMULATIVE[-1] >= 1 - 2.0**-52
+
+
 def test_fold_fallback_when_groups_are_few(rows):
     lone = rows.withColumn("g", F.lit("only"))
     folds = sampling.cv_folds(lone, "id", "g", 3, 1).select("fold").distinct().count()
