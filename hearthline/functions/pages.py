@@ -1,4 +1,5 @@
-"""Page reading with built-in regular expressions (also usable by engines with RE2)."""
+"""Page reading with built-in regular expressions. Most suit engines with RE2 too; the main-item pattern repeats more often
+than RE2 allows."""
 
 from __future__ import annotations
 

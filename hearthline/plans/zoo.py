@@ -12,6 +12,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.operators.ranking import quantile_bounds
+
 # Member settings.
 RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 FOREST = {"numTrees": 180, "maxDepth": 14, "minInstancesPerNode": 3}
@@ -47,7 +49,7 @@ def model_zoo(seed: int = 42, scale: float = 1.0) -> dict[str, Spec]:
         "ridge": Spec("ridge", "ridge", {"alphas": RIDGE_ALPHAS}),
         "lasso": Spec("lasso", "lasso", {"steps": 8}),
         "random_forest": Spec("random_forest", "forest", sized(FOREST)),
-        "median_boosting": Spec("median_boosting", "boosted", {**sized(BOOSTED["boosted_leaves31"]), "lossType": "absolute"}),
+        "median_boosting": Spec("median_boosting", "median", sized(BOOSTED["boosted_leaves31"])),
     }
     zoo |= {name: Spec(name, "boosted", sized(settings)) for name, settings in BOOSTED.items()}
     return zoo
@@ -78,12 +80,15 @@ class Fitted:
     name: str
     model: Model | float
     selected: float | None = None
+    slope: float = 1.0
+    shift: float = 0.0
 
     def predict(self, df: DataFrame, column: str | None = None) -> DataFrame:
         name = column or self.name
         if isinstance(self.model, float):
             return df.withColumn(name, F.lit(self.model))
-        return self.model.copy({self.model.predictionCol: name}).transform(df)
+        out = self.model.copy({self.model.predictionCol: name}).transform(df)
+        return out if (self.slope, self.shift) == (1.0, 0.0) else out.withColumn(name, F.col(name) * self.slope + self.shift)
 
 
 def _linear(reg: float, l1: float, target: str, iterations: int = 200) -> LinearRegression:
@@ -129,9 +134,24 @@ def fit(spec: Spec, train: DataFrame, target: str) -> Fitted:
         return Fitted(spec.name, RandomForestRegressor(featuresCol="features", labelCol=target, maxBins=64, **spec.settings).fit(train))
     if spec.kind == "boosted":
         return Fitted(spec.name, GBTRegressor(featuresCol="features", labelCol=target, maxBins=64, maxMemoryInMB=512, **spec.settings).fit(train))
+    if spec.kind == "median":
+        return _fit_median(spec, train, target)
     raise ValueError(f"unknown kind of member: {spec.kind}")
 
 
+def _fit_median(spec: Spec, train: DataFrame, target: str) -> Fitted:
+    """Boosting on absolute errors, whose rounds move a prediction by at most the step size. So the target is measured from
+    its median in quartile ranges over what all rounds can reach, and the median of the residuals is added at the end."""
+    quarters = quantile_bounds(train, [target], {"low": 0.25, "mid": 0.5, "high": 0.75})[target]
+    reach = spec.settings["maxIter"] * spec.settings["stepSize"]
+    slope = ((quarters["high"] - quarters["low"]) or abs(quarters["mid"]) or 1.0) * 4.0 / min(reach, 8.0)
+    scaled = train.withColumn("_scaled_target", (F.col(target) - quarters["mid"]) / slope)
+    model = GBTRegressor(featuresCol="features", labelCol="_scaled_target", lossType="absolute", maxBins=64, maxMemoryInMB=512, **spec.settings).fit(scaled)
+    rough = Fitted(spec.name, model, None, slope, quarters["mid"])
+    left = rough.predict(train, "_rough").select((F.col(target) - F.col("_rough")).alias("left"))
+    return Fitted(spec.name, model, None, slope, quarters["mid"] + quantile_bounds(left, ["left"], {"mid": 0.5})["left"]["mid"])
+
+
 def assemble(train: DataFrame, others: Sequence[DataFrame], numeric: Sequence[str], categorical: Sequence[str]) -> tuple[PipelineModel, list[DataFrame]]:
     """Fits the preprocessing on ``train`` only and applies it everywhere."""
     model = preprocessing(numeric, categorical).fit(train)

@@ -131,7 +131,10 @@ def j7(spark, folder):
 
 @query("j8_median_boosting")
 def j8(spark, folder):
-    return member_predictions(spark, folder, "median_boosting")
+    """All rounds: with fewer of them the median is not reached."""
+    train, test = parts(spark, folder)
+    _, (scored,) = fit_members(train, [test], [model_zoo(seed=42)["median_boosting"]], NUMERIC, CATEGORICAL, config.TARGET)
+    return rounded(scored.select("house_id", F.col(config.TARGET).alias("actual_price_wan"), "median_boosting"))
 
 
 @query("j9_cross_validation")

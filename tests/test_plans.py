@@ -87,10 +87,22 @@ def test_unseen_category_and_experts(table):
     assert profile.agg(F.sum("n")).first()[0] == train.count()
 
 
+def test_median_member_halves_skewed_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=3000)
+    y = 20 * np.exp(0.5 * x) * rng.lognormal(0, 1, 3000)
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "house_id bigint, x1 double, total_price_wan double")
+    train, test = rows.filter("house_id % 3 > 0"), rows.filter("house_id % 3 = 0")
+    _, (ready, held) = assemble(train, [test], ("x1",), ())
+    spec = Spec("m", "median", {"maxIter": 40, "maxDepth": 3, "stepSize": 0.1, "seed": 1})
+    scored = fit(spec, ready, "total_price_wan").predict(held).select(F.avg((F.col("total_price_wan") < F.col("m")).cast("double")), F.avg(F.abs(F.col("m") - 20 * F.exp(0.5 * F.col("x1"))) / (20 * F.exp(0.5 * F.col("x1"))))).first()
+    assert 0.46 < scored[0] < 0.54 and scored[1] < 0.15
+
+
 def test_zoo_has_all_members():
     zoo = model_zoo()
     assert set(zoo) >= {"mean_baseline", "ridge", "lasso", "random_forest", "gradient_boosting", "boosted_depth6", "median_boosting"}
-    assert zoo["random_forest"].settings["numTrees"] == 180 and zoo["median_boosting"].settings["lossType"] == "absolute"
+    assert zoo["random_forest"].settings["numTrees"] == 180 and zoo["median_boosting"].kind == "median" and zoo["median_boosting"].settings["maxIter"] == 260
 
 
 def test_data_driven_weights(spark):
