@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from hearthline.llm.common import columns_only, slices, text_bytes
 
-#: Remembered pre-tokens and the longest one remembered in bytes; states kept before the machine starts anew.
-REMEMBERED, SHORT, STATES = 600_000, 64, 150_000
+#: Remembered pre-tokens of a generation and the longest one remembered in bytes; states kept before the machine starts anew.
+REMEMBERED, SHORT, STATES = 150_000, 64, 80_000
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -198,20 +198,26 @@ class Transducer:
 
 
 class Encoder(dict):
-    """From each pre-token to its ids as little-endian 32-bit integers; short ones are remembered."""
+    """From each pre-token to its ids as little-endian 32-bit integers. Short ones are remembered in two generations: a full
+    one becomes the older, from which entries in use move back, so common pre-tokens stay and memory is bounded."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         super().__init__()
         self.machine = Transducer(ranks)
         self.find = regex.compile(pattern).findall
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = self.machine.encode(raw)
-        if len(raw) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            ids = self.machine.encode(raw)
+            if len(raw) > SHORT:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
     def encode(self, text: str) -> bytes:

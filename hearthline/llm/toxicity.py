@@ -39,7 +39,7 @@ SAMPLE = 6_000
 CURVE = 0.25
 #: Longest word read as letters; a longer run of letters is scored in pieces.
 WORD = 48
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _TO_BLANK = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 START, END = "\x02", "\x03"
