@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.operators.ranking import quantile_bounds
+from hearthline.plans.moments import lasso_path, lasso_strengths, ridge, vector_moments
 
 # Member settings.
 RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
@@ -47,7 +48,7 @@ def model_zoo(seed: int = 42, scale: float = 1.0) -> dict[str, Spec]:
     zoo = {
         "mean_baseline": Spec("mean_baseline", "mean"),
         "ridge": Spec("ridge", "ridge", {"alphas": RIDGE_ALPHAS}),
-        "lasso": Spec("lasso", "lasso", {"steps": 8}),
+        "lasso": Spec("lasso", "lasso", {"steps": 100}),
         "random_forest": Spec("random_forest", "forest", sized(FOREST)),
         "median_boosting": Spec("median_boosting", "median", sized(BOOSTED["boosted_leaves31"])),
     }
@@ -97,22 +98,20 @@ def _linear(reg: float, l1: float, target: str, iterations: int = 200) -> Linear
     )
 
 
-def _by_inner_folds(train: DataFrame, target: str, grid: Sequence[float], build) -> float:
-    """Grid value with the least mean squared error over three hash folds of the training rows."""
+def _best_strength(train: DataFrame, target: str, spec: Spec) -> float:
+    """Grid value with the least squared error over three hash folds of the training rows, all from one pass."""
+    grid = spec.settings.get("alphas", ())
     if len(grid) == 1:
         return grid[0]
-    folded = train.withColumn("_inner", F.pmod(F.xxhash64("house_id"), F.lit(3)))
-    error = {g: 0.0 for g in grid}
-    for fold in range(3):
-        fit_rows, check_rows = folded.filter(F.col("_inner") != fold), folded.filter(F.col("_inner") == fold)
-        scored = check_rows
-        for i, g in enumerate(grid):
-            model = build(g).fit(fit_rows)
-            scored = model.copy({model.predictionCol: f"_p{i}"}).transform(scored)
-        row = scored.agg(*[F.avg((F.col(f"_p{i}") - F.col(target)) ** 2).alias(f"e{i}") for i in range(len(grid))]).first()
-        for i, g in enumerate(grid):
-            error[g] += row[f"e{i}"] or 0.0
-    return min(grid, key=lambda g: error[g])
+    data = vector_moments(train, target, F.pmod(F.xxhash64("house_id"), F.lit(3)))
+    if spec.kind == "lasso":
+        grid = lasso_strengths(data, spec.settings["steps"])
+    error = dict.fromkeys(grid, 0.0)
+    for fold, held in data.per_fold.items():
+        built = lasso_path(data, grid, fold) if spec.kind == "lasso" else (ridge(data, a, fold) for a in grid)
+        for model in built:
+            error[model.alpha] += model.squared_error(held)
+    return min(grid, key=error.get)
 
 
 def fit(spec: Spec, train: DataFrame, target: str) -> Fitted:
@@ -123,12 +122,10 @@ def fit(spec: Spec, train: DataFrame, target: str) -> Fitted:
         # Penalty alpha on the centred least-squares sum, in the scale of this estimator.
         facts = train.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("s")).first()
         factor = facts["s"] / facts["n"]
-        alpha = _by_inner_folds(train, target, spec.settings["alphas"], lambda a: _linear(a * factor * 1.5, 0.0, target))
+        alpha = _best_strength(train, target, spec)
         return Fitted(spec.name, _linear(alpha * factor, 0.0, target).fit(train), alpha)
     if spec.kind == "lasso":
-        top = train.agg(F.stddev_pop(target)).first()[0]
-        grid = [top * 10 ** (-3.0 * i / (spec.settings["steps"] - 1)) for i in range(spec.settings["steps"])]
-        strength = _by_inner_folds(train, target, grid, lambda a: _linear(a, 1.0, target))
+        strength = _best_strength(train, target, spec)
         return Fitted(spec.name, _linear(strength, 1.0, target).fit(train), strength)
     if spec.kind == "forest":
         return Fitted(spec.name, RandomForestRegressor(featuresCol="features", labelCol=target, maxBins=64, **spec.settings).fit(train))

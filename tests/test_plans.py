@@ -78,6 +78,26 @@ def test_ridge_penalty_scale(table):
     assert np.allclose(model.coefficients.toArray(), np.linalg.solve(xc.T @ xc + 25.0 * np.eye(2), xc.T @ yc), rtol=1e-5)
 
 
+def test_strengths_from_products_equal_refitting(table):
+    train = table.filter("split = 'train'")
+    _, (ready,) = assemble(train, [], ("x1", "x2"), ("c",))
+    frame = ready.withColumn("f", F.pmod(F.xxhash64("house_id"), F.lit(3))).toPandas()
+    x, y, f = np.array([v.toArray() for v in frame["features"]]), frame["total_price_wan"].to_numpy(), frame["f"].to_numpy()
+    alphas = (0.1, 10.0, 1000.0)
+    errors = []
+    for a in alphas:
+        e = 0.0
+        for k in range(3):
+            xt, yt = x[f != k], y[f != k]
+            w = np.linalg.solve((xt - xt.mean(0)).T @ (xt - xt.mean(0)) + a * np.eye(x.shape[1]), (xt - xt.mean(0)).T @ (yt - yt.mean()))
+            e += ((y[f == k] - yt.mean() - (x[f == k] - xt.mean(0)) @ w) ** 2).sum()
+        errors.append(e)
+    assert fit(Spec("ridge", "ridge", {"alphas": alphas}), ready, "total_price_wan").selected == alphas[int(np.argmin(errors))]
+    lasso = fit(Spec("lasso", "lasso", {"steps": 100}), ready, "total_price_wan")
+    top = np.abs((x - x.mean(0)).T @ (y - y.mean())).max() / len(y)
+    assert top * 1e-3 * 0.999 < lasso.selected < 0.1 * top
+
+
 def test_unseen_category_and_experts(table):
     train = table.filter("split = 'train'").withColumns({"region_slug": F.col("c"), "area_sqm": F.col("x1")})
     test = train.limit(5).withColumn("c", F.lit("never"))
