@@ -194,7 +194,7 @@ def remaining_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
 def near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: the smallest doc_id reachable over links."""
-    docs = columns_only(docs, "doc_id", "text")
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     rows = materialise(sketch(docs, size))
     classes = materialise(rows.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("cls")))
     heads = rows.where("n > 0").join(classes.select("cls", F.col("f1").alias("c1"), F.col("f2").alias("c2")), (F.col("doc_id") == F.col("cls")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")))
