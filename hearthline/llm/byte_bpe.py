@@ -25,10 +25,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hearthline.llm.common import columns_only, slices, text_bytes
+from hearthline.llm.common import columns_only, resident, slices, text_bytes
 
 #: Remembered pre-tokens of a generation and the longest one remembered in bytes; states kept before the machine starts anew.
-REMEMBERED, SHORT, STATES = 150_000, 64, 80_000
+REMEMBERED, SHORT, STATES = 250_000, 64, 200_000
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -273,15 +273,15 @@ class Decoder:
         yield state.close()
 
 
-_LOADED: dict[tuple[str, str], tuple[Encoder, Decoder]] = {}
-
-
 def coder(file: str, pattern: str) -> tuple[Encoder, Decoder]:
-    """Compiled once per Python process; the rank file is part of the installation on every machine."""
-    if (file, pattern) not in _LOADED:
+    """Compiled once per Python worker, until another operator works there; the rank file is part of the installation on
+    every machine."""
+
+    def build() -> tuple[Encoder, Decoder]:
         ranks = read_ranks(file)
-        _LOADED[file, pattern] = (Encoder(ranks, pattern), Decoder(ranks))
-    return _LOADED[file, pattern]
+        return Encoder(ranks, pattern), Decoder(ranks)
+
+    return resident(("byte_bpe", file, pattern), build)
 
 
 def encode_texts(docs: DataFrame, file: str, pattern: str) -> DataFrame:

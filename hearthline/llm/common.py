@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hearthline.session import materialise, scratch_path
 
-__all__ = ["columns_only", "hash_words", "input_bytes", "materialise", "mix", "partitions_for", "scratch_path", "shingle_sets", "slices", "text_bytes", "word_shingles"]
+__all__ = ["columns_only", "hash_words", "input_bytes", "materialise", "mix", "partitions_for", "release", "resident", "scratch_path", "shingle_sets", "slices", "text_bytes", "word_shingles"]
 
 #: Bytes hashed at a time; numpy needs about 40 bytes of working memory for each.
 WINDOW = 1 << 20
@@ -37,6 +38,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_RESIDENT: dict[Hashable, Any] = {}
+
+
+def resident(key: Hashable, build: Callable[[], Any]) -> Any:
+    """Tables that a Python worker keeps from task to task: those of one operator at a time."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]
+
+
+def release() -> None:
+    """Frees what other operators have kept in this worker."""
+    _RESIDENT.clear()
+
+
 def columns_only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns and nothing else, so that further or clashing columns never matter."""
     return df.select(*[df[name] for name in names])

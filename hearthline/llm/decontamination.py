@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hearthline.llm.common import columns_only, text_bytes
+from hearthline.llm.common import columns_only, release, text_bytes
 
 BUDGET = 0.05
 LEAST = 24
@@ -144,6 +144,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET,
 
 def _scan(docs: DataFrame, shared, budget: float, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         matcher = Matcher(shared.value, budget)
         length = {key: len(text) for key, text in shared.value}
         for batch in batches:
@@ -168,6 +169,7 @@ def _without(docs: DataFrame, shared, budget: float) -> DataFrame:
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         matcher = Matcher(shared.value, budget)
         for batch in batches:
             data, offsets = text_bytes(batch.column(place))

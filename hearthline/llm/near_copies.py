@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import columns_only, materialise, mix, shingle_sets
+from hearthline.llm.common import columns_only, materialise, mix, release, shingle_sets
 
 PERMUTATIONS, BANDS = 64, 32
 #: Hashes and sets in a block of full sets, about.
@@ -70,6 +70,7 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, f1, f2, bands): set size, a 128-bit fingerprint of the set, and its band keys (null if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first, end, hashes, bounds in shingle_sets(batch.column(1), size):
                 n = np.diff(bounds)
@@ -92,6 +93,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     """(cls, hashes) of each row, with cls its doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first, end, hashes, bounds in shingle_sets(batch.column(1), size):
                 sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
@@ -176,6 +178,7 @@ def remaining_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     pairs = ones.join(others, "bucket").where("not aside2 or c1 <= c2").select("one", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         def unpack(column: pa.Array, i: int) -> tuple:
             block = column.slice(i, 1).flatten()
             cls, component, hashes = (block.field(k) for k in range(3))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import columns_only, materialise, text_bytes
+from hearthline.llm.common import columns_only, materialise, release, text_bytes
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -189,6 +189,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """(word, toxic, ordinary): in how many rows of each label a word stands, copies within a row counted once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
@@ -224,6 +225,7 @@ def curve_rows(rows: DataFrame, shared) -> DataFrame:
     """(evidence, strong, words, toxic) of sampled rows; `shared` is a broadcast of the models."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         get = Evidence(shared.value)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*map(pa.array, features(batch.column(0), get)), batch.column(1)], names=["evidence", "strong", "words", "toxic"])
@@ -253,6 +255,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, m
     scorer = docs.sparkSession.sparkContext.broadcast(fit_scorer(docs, labels, most, ~held_out(F.col("doc_id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         get = Evidence(scorer.value.models)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.value.scores(batch.column(1), get))], names=["doc_id", "score"])
@@ -268,6 +271,7 @@ def ordinary_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         get = Evidence(scorer.value.models)
         for batch in batches:
             yield batch.filter(pa.array(scorer.value.scores(batch.column(place), get) < threshold))
