@@ -2,8 +2,9 @@
 
 Trust starts at hosts that have pages allowed by a rule and follows links forward (personalised PageRank). Distrust
 starts at hosts that have pages blocked by a rule and follows links backward: a host that links to blocked hosts is
-suspect. Everything is DataFrame work; the graph has one row per pair of hosts, and each step is two partial
-aggregates, so a host with a third of all pages or links is folded before anything is shuffled.
+suspect. Everything is DataFrame work; the graph has one row per pair of hosts, and each step is a partial
+aggregate, so a host with a third of all pages or links is folded before anything is shuffled. Both are followed to the
+ends of all paths and compared by relative difference, so a verdict does not depend on how much else the table holds.
 
 Defined results: a null url or one without "://" has an empty host and path, no rule, and the verdict of a host that
 nothing is known of (allow). A null html has no links. Repeated pages count as often as they stand. Empty tables give
@@ -23,9 +24,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links of anchors to other sites: an absolute or scheme-relative href.
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 DAMPING = 0.85
+#: Steps of the SQL counterpart, which has no loop that ends by itself.
 STEPS = 12
-#: A host is blocked if its distrust exceeds this multiple of its trust.
+#: What a host has yet to pass on counts as nothing below this share of what it has passed on.
+TOLERANCE = 1e-12
+#: A host is blocked if its distrust exceeds this multiple of its trust by more than the margin, a share of it.
 RATIO = 1.0
+MARGIN = 1e-9
 
 
 def url_host(url: Column) -> Column:
@@ -55,27 +60,30 @@ def host_links(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def spread(links: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def spread(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank of several kinds at once: `seeds` are (kind, host, mass), one in sum for each kind, `links`
-    are (kind, src, dst, links). Mass at hosts without links returns to the seeds. A step joins the masses, one row per
-    kind and host, to the links, sums them and is written, so that lineage stays one step long."""
+    are (kind, src, dst, links). Mass at hosts without links returns to the seeds; as that only scales all masses of a
+    kind, mass is passed on without it and divided by its sum at the end.
+
+    `rest` is what a host has received and not yet passed on. A step passes on each rest above `tolerance` of the mass that
+    went through the same host before, so a first arrival always goes on, however small and however far from a seed. Steps
+    end when no such rest is left: at the ends of all paths, or when circles have died down, about 160 steps later. A step
+    is one join and one sum over rows of a kind and host, and is written, so that lineage stays one step long."""
     seeds = materialise(seeds)
     if links.isEmpty():
         return seeds  # all mass returns to the seeds at each step
     out = links.groupBy("kind", "src").agg(F.sum("links").alias("total"))
-    edges = materialise(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("links") / F.col("total")).alias("share")))
-    senders = materialise(out.select("kind", F.col("src").alias("host"), F.lit(True).alias("sends")))
-    mass = seeds
-    for _ in range(steps):
-        kept = mass.join(senders, ["kind", "host"], "left")
-        lost = kept.groupBy("kind").agg(F.coalesce(F.sum(F.when(F.col("sends").isNull(), F.col("mass"))), F.lit(0.0)).alias("lost"))
-        moved = mass.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        back = seeds.join(lost, "kind").select("kind", "host", (F.col("mass") * (F.lit(1.0 - damping) + F.lit(damping) * F.col("lost"))).alias("mass"))
-        mass = materialise(moved.unionByName(back).groupBy("kind", "host").agg(F.sum("mass").alias("mass")))
-    return mass
-
-
-def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, steps: int = STEPS, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
+    edges = materialise(links.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("links") / F.col("total") * damping).alias("share")))
+    mass, goes = seeds.select("kind", "host", F.lit(0.0).alias("mass"), F.col("mass").alias("rest")), F.col("rest") > F.col("mass") * tolerance
+    while not (active := mass.where(goes)).isEmpty():
+        moved = active.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), F.lit(0.0).alias("mass"), (F.col("rest") * F.col("share")).alias("rest"))
+        stays = mass.select("kind", "host", (F.col("mass") + F.when(goes, F.col("rest")).otherwise(0.0)).alias("mass"), F.when(goes, 0.0).otherwise(F.col("rest")).alias("rest"))
+        mass = materialise(stays.unionByName(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("rest").alias("rest")))
+    total = mass.groupBy("kind").agg(F.sum(F.col("mass") + F.col("rest")).alias("total"))
+    return mass.join(total, "kind").select("kind", "host", ((F.col("mass") + F.col("rest")) / F.col("total")).alias("mass"))
+
+
+def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, damping: float = DAMPING, ratio: float = RATIO) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each page: the longest rule's verdict, else the host's."""
     pages = columns_only(pages, "page_id", "url", "html").withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     rule, says = rule_columns(F.col("host"), F.col("path"), rules)
@@ -85,11 +93,11 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     links = materialise(host_links(judged))
     starts = F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col("host"), (F.col(kind) / F.lit(max(totals[kind], 1))).alias("mass")) for kind in ("good", "bad")]))
     both = links.select(F.lit("good").alias("kind"), "src", "dst", "links").unionByName(links.select(F.lit("bad").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))
-    mass = spread(both, seeds.select(starts.alias("s")).select("s.*").where("mass > 0"), steps, damping)
+    mass = spread(both, seeds.select(starts.alias("s")).select("s.*").where("mass > 0"), damping)
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("mass"))), F.lit(0.0))
     hosts = mass.groupBy("host").agg(of("good").alias("trust"), of("bad").alias("distrust"))
     known = judged.select("page_id", "host", "path", "rule", "says").join(hosts, "host", "left")
-    suspect = F.coalesce(F.round(F.col("distrust"), 12) > F.round(F.col("trust") * ratio, 12), F.lit(False))
+    suspect = F.coalesce(F.col("distrust") > F.col("trust") * (ratio * (1 + MARGIN)), F.lit(False))
     verdict = F.coalesce("says", F.when(suspect, F.lit("block")).otherwise(F.lit("allow")))
     return known.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 

@@ -413,6 +413,28 @@ def test_rules_and_hosts(spark):
     assert host_trust.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_distrust_reaches_far_hosts_with_small_shares(spark):
+    """Twenty levels of 30 hosts, each of which links to one host of the level below; shares fall to 30 ** -20."""
+    rows = [("http://b.com/de/1", None)] + [(f"http://h{k}-{i}.net/", f"<a href='http://{f'h{k - 1}-0.net' if k else 'b.com'}/'>") for k in range(20) for i in range(30)]
+    got = by_id(host_trust.judge_urls(spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string")), "page_id")
+    assert {r["verdict"] for r in got.values()} == {"block"} and min(r["distrust"] for r in got.values()) < 1e-28
+
+
+def test_trust_solves_its_equations(spark):
+    """Circles, a host without links, and a circle that is ten hops behind a seed, against a dense solution."""
+    pairs = [(0, 1, 3), (1, 2, 1), (2, 0, 2), (1, 3, 5), *[(k, k + 1, 1) for k in range(4, 14)], (14, 12, 1), (0, 4, 1)]
+    seeds = {0: 0.999999, 2: 0.000001}
+    moves = np.zeros((15, 15))
+    for src, dst, links in pairs:
+        moves[dst, src] = links / sum(n for a, _, n in pairs if a == src)
+    start = np.array([seeds.get(k, 0.0) for k in range(15)])
+    moves[:, moves.sum(axis=0) == 0] = start[:, None]
+    want = np.linalg.solve(np.eye(15) - host_trust.DAMPING * moves, (1 - host_trust.DAMPING) * start)
+    links = spark.createDataFrame([("good", str(a), str(b), n) for a, b, n in pairs], "kind string, src string, dst string, links long")
+    got = by_id(host_trust.spread(links, spark.createDataFrame([("good", str(k), x) for k, x in seeds.items()], "kind string, host string, mass double")), "host")
+    assert np.allclose([got[str(k)]["mass"] for k in range(15)], want, rtol=1e-10, atol=0)
+
+
 # pages
 
 
