@@ -312,6 +312,18 @@ def test_contaminated_documents(spark, odd, none):
     assert decontamination.clean_documents(odd, benchmark.limit(0)).count() == odd.count()
 
 
+def test_short_items_stand_at_word_boundaries(spark):
+    """Also items without an id, items in several blocks, and two lengths under one id."""
+    items = [(1, "Who wrote Hamlet?"), (2, "谁写了红楼梦"), (3, "art"), (4, "ไทย"), (5, "who founded rome then"), (5, "où"), (None, "no id"), (7, "..."), (8, None)]
+    texts = ["Q: who WROTE hamlet, then?", "who wrote hamlets", "请问谁写了红楼梦呢", "the cart starts", "fine art.", "ประเทศไทยมี", "x who foundd rome then y", "xwho foundd rome theny", "là où elle", "oùx couù", "it has no id", "nothing here", None]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    want = {(0, 1, 0, 16), (2, 2, 0, 6), (4, 3, 0, 3), (5, 4, 0, 3), (6, 5, 1, 21), (8, 5, 0, 2)}
+    for most in (1, decontamination.BLOCK):
+        assert {(r["doc_id"], r["item_id"], r["edits"], r["n_chars"]) for r in decontamination.contaminated(docs, benchmark, most=most).collect()} == want
+        assert {r["doc_id"] for r in decontamination.clean_documents(docs, benchmark, most=most).collect()} == {1, 3, 7, 9, 11, 12}
+
+
 # shards
 
 
