@@ -1,6 +1,6 @@
 """Members, ensembles and experiments over the driver tables (J).
 
-Members run with few trees here; the settings of a full study are the defaults of ``plans.zoo``.
+Members, strengths and boosting rounds are those of a full study, the defaults of ``plans.zoo``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from hearthline.functions.labels import keyword_labels
 from hearthline.operators import cleaning, errors, leaderboards
 from hearthline.plans import ensembles, experiments, study
 from hearthline.plans.oof import cross_validation, fit_members, oof_table
-from hearthline.plans.zoo import Spec, assemble, fit, model_zoo
+from hearthline.plans.zoo import MEMBERS, RESIDUAL, assemble, fit, model_zoo
 from hearthline.registered import views as v
 from hearthline.registered.base import n, query, r, rounded, table
 from hearthline.registered.views import hash_sql
@@ -25,10 +25,10 @@ NUMERIC = (
 CATEGORICAL = ("region_slug", "decoration_type", "floor_level", "house_layout")
 INPUTS = study.Inputs(NUMERIC, CATEGORICAL)
 SETTINGS = config.StudyConfig(folds=3)
-ZOO = model_zoo(seed=42, scale=0.05)
-QUICK_RIDGE = Spec("ridge", "ridge", {"alphas": (100.0,)})
-QUICK_RESIDUAL = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.1}
-MEMBERS = ("ridge", "random_forest", "boosted_depth4")
+ZOO = model_zoo(seed=42)
+#: All members of the out-of-fold table; MEMBERS, those that are not linear, are stacked.
+ALL = tuple(name for name in ZOO if name != "median_boosting")
+COMPACT = ("random_forest", "boosted_histogram", "boosted_depth4")
 
 _tables: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -53,8 +53,7 @@ def parts(spark, folder) -> tuple[DataFrame, DataFrame]:
 def oof(spark, folder) -> DataFrame:
     def build():
         train, _ = parts(spark, folder)
-        specs = [QUICK_RIDGE, *[ZOO[m] for m in MEMBERS[1:]]]
-        return oof_table(train, specs, NUMERIC, CATEGORICAL, config.TARGET, [0, 1, 2], keep=["area_sqm", "poi_balance_score", "poi_medium_count"])
+        return oof_table(train, [ZOO[m] for m in ALL], NUMERIC, CATEGORICAL, config.TARGET, [0, 1, 2], keep=["area_sqm", "poi_balance_score", "poi_medium_count"])
 
     return _once(spark, folder, "oof", build)
 
@@ -62,7 +61,7 @@ def oof(spark, folder) -> DataFrame:
 def scored_test(spark, folder) -> DataFrame:
     def build():
         train, test = parts(spark, folder)
-        _, (scored,) = fit_members(train, [test], [QUICK_RIDGE, *[ZOO[m] for m in MEMBERS[1:]]], NUMERIC, CATEGORICAL, config.TARGET)
+        _, (scored,) = fit_members(train, [test], [ZOO[m] for m in ALL], NUMERIC, CATEGORICAL, config.TARGET)
         return study.materialise(scored.drop("features").withColumn("actual_price_wan", F.col(config.TARGET)))
 
     return _once(spark, folder, "scored", build)
@@ -131,20 +130,20 @@ def j7(spark, folder):
 
 @query("j8_median_boosting")
 def j8(spark, folder):
-    """All rounds: with fewer of them the median is not reached."""
+    """With fewer rounds the median is not reached."""
     train, test = parts(spark, folder)
-    _, (scored,) = fit_members(train, [test], [model_zoo(seed=42)["median_boosting"]], NUMERIC, CATEGORICAL, config.TARGET)
+    _, (scored,) = fit_members(train, [test], [ZOO["median_boosting"]], NUMERIC, CATEGORICAL, config.TARGET)
     return rounded(scored.select("house_id", F.col(config.TARGET).alias("actual_price_wan"), "median_boosting"))
 
 
 @query("j9_cross_validation")
 def j9(spark, folder):
-    return rounded(cross_validation(oof(spark, folder), MEMBERS))
+    return rounded(cross_validation(oof(spark, folder), ALL))
 
 
 @query("j10_out_of_fold_table")
 def j10(spark, folder):
-    return rounded(oof(spark, folder).select("house_id", "fold", "actual", *MEMBERS))
+    return rounded(oof(spark, folder).select("house_id", "fold", "actual", *ALL))
 
 
 @query("j11_stacking")
@@ -155,7 +154,7 @@ def j11(spark, folder):
 
 @query("j12_meta_variants")
 def j12(spark, folder):
-    combiners, _ = ensembles.meta_variants(ensembles.moments(oof(spark, folder), MEMBERS), compact=MEMBERS[1:])
+    combiners, _ = ensembles.meta_variants(ensembles.moments(oof(spark, folder), ("ridge", *MEMBERS)), compact=COMPACT)
     scored = scored_test(spark, folder)
     wide = scored.select("house_id", "actual_price_wan", *[c.column().alias(name) for name, c in combiners.items()])
     return rounded(errors.regression_metrics(errors.long_predictions(wide, list(combiners))))
@@ -163,13 +162,13 @@ def j12(spark, folder):
 
 @query("j12_meta_coefficients")
 def j12_coefficients(spark, folder):
-    combiners, _ = ensembles.meta_variants(ensembles.moments(oof(spark, folder), MEMBERS), compact=MEMBERS[1:])
+    combiners, _ = ensembles.meta_variants(ensembles.moments(oof(spark, folder), ("ridge", *MEMBERS)), compact=COMPACT)
     return rounded(ensembles.coefficient_table(spark, combiners))
 
 
 @query("j12_alpha_search")
 def j12_alphas(spark, folder):
-    _, grids = ensembles.meta_variants(ensembles.moments(oof(spark, folder), MEMBERS))
+    _, grids = ensembles.meta_variants(ensembles.moments(oof(spark, folder), ("ridge", *MEMBERS)))
     return rounded(ensembles.alpha_table(spark, grids))
 
 
@@ -189,13 +188,13 @@ def j14(spark, folder):
 @query("j15_two_stage")
 def j15(spark, folder):
     train, _ = parts(spark, folder)
-    return rounded(study.two_stage(train, scored_test(spark, folder), oof(spark, folder), "boosted_depth4", INPUTS, QUICK_RESIDUAL).select("house_id", "actual_price_wan", "boosted_depth4", "two_stage_residual"))
+    return rounded(study.two_stage(train, scored_test(spark, folder), oof(spark, folder), "boosted_depth4", INPUTS, RESIDUAL).select("house_id", "actual_price_wan", "boosted_depth4", "two_stage_residual"))
 
 
 @query("j15_two_stage_nested_cv")
 def j15_nested(spark, folder):
     train, _ = parts(spark, folder)
-    return rounded(study.nested_two_stage_cv(train, QUICK_RIDGE, INPUTS, [0, 1, 2], QUICK_RESIDUAL))
+    return rounded(study.nested_two_stage_cv(train, ZOO["ridge"], INPUTS, [0, 1, 2], RESIDUAL))
 
 
 BLEND_SQL = f"""WITH {v.PREDICTION}, m AS (SELECT model_name FROM v_pred WHERE model_name <> 'mean_baseline' GROUP BY 1 ORDER BY avg(absolute_error_wan), model_name LIMIT {{k}})
@@ -229,10 +228,9 @@ def j18(spark, folder):
 
 @query("j18_mixture_of_experts")
 def j18_moe(spark, folder):
-    """Gates here are market segment x area tercile, so that the number of experts stays small."""
-    train, test = (df.withColumn("region_slug", F.col("floor_level")) for df in parts(spark, folder))
+    train, test = parts(spark, folder)
     _, (ready, held) = assemble(train, [test], NUMERIC, CATEGORICAL)
-    scored, _ = ensembles.mixture_of_experts(ready, held, QUICK_RIDGE, config.TARGET)
+    scored, _ = ensembles.mixture_of_experts(ready, held, ZOO["ridge"], config.TARGET)
     return rounded(scored.select("house_id", "gate", F.col(config.TARGET).alias("actual_price_wan"), "moe_region_area"))
 
 
@@ -246,7 +244,7 @@ def j19(spark, folder):
     return rounded(leaderboards.method_contrast(split, "combination", "method", "stacking_ridge", "voting"))
 
 
-def experiment(spark, folder, variants, rows=None, specs=(QUICK_RIDGE,)):
+def experiment(spark, folder, variants, rows=None, specs=(ZOO["ridge"],)):
     data = prepared(spark, folder) if rows is None else rows
     return rounded(errors.regression_metrics(experiments.run_variants(data, variants, list(specs))))
 
@@ -324,17 +322,16 @@ def j26(spark, folder):
 def j27(spark, folder):
     train, test = parts(spark, folder)
     model, (ready,) = assemble(train, [], NUMERIC, CATEGORICAL)
-    member = fit(QUICK_RIDGE, ready, config.TARGET)
-    columns = ["area_sqm", "accessibility_index", "region_slug", "floor_level"]
-    wide = [c for c in (*NUMERIC, *CATEGORICAL) if c not in columns]
-    return rounded(study.permutation_importance(model, member, test.select("house_id", config.TARGET, *columns, *wide), columns, config.TARGET, repeats=2, carried=wide))
+    member = fit(ZOO["ridge"], ready, config.TARGET)
+    columns = [*NUMERIC, *CATEGORICAL]
+    return rounded(study.permutation_importance(model, member, test.select("house_id", config.TARGET, *columns), columns, config.TARGET))
 
 
 @query("j28_learning_curve")
 def j28(spark, folder):
     train, test = parts(spark, folder)
     _, (ready, held) = assemble(train, [test], NUMERIC, CATEGORICAL)
-    curve = study.learning_curve(ready.filter(F.col("fold") != 0), {"validation": ready.filter(F.col("fold") == 0), "test": held}, config.TARGET, QUICK_RESIDUAL)
+    curve = study.learning_curve(ready.filter(F.col("fold") != 0), {"validation": ready.filter(F.col("fold") == 0), "test": held}, config.TARGET, RESIDUAL)
     return rounded(curve)
 
 
@@ -364,7 +361,6 @@ def j30(spark, folder):
 @query("j31_whole_study")
 def j31(spark, folder):
     """Members, stacking, blend and two-stage model of one run, with cross-validation and holdout metrics."""
-    specs = [ZOO["mean_baseline"], QUICK_RIDGE, ZOO["random_forest"], ZOO["boosted_depth4"]]
-    result = study.run_study(prepared(spark, folder), SETTINGS, INPUTS, specs, residual=QUICK_RESIDUAL)
+    result = study.run_study(prepared(spark, folder), SETTINGS, INPUTS)
     return rounded(result.metrics())
 

@@ -163,3 +163,40 @@ def test_scans_read_only_needed_columns(spark, folder):
 def test_grouping_sets_scan_once(spark, folder):
     plan = plan_text(catalog.queries()["d5_error_grouping_sets"](spark, folder))
     assert plan.count("Expand") == 1 and plan.count("FileScan") == 1
+
+
+def test_registered_models_have_full_settings(spark, folder, monkeypatch):
+    """All trees, strengths, rounds, members, gates and columns, as the queries hand them on."""
+    from hearthline.plans import zoo
+    from hearthline.registered import model_queries as mq
+
+    class Seen(Exception):
+        pass
+
+    def seen(*args, **settings):
+        raise Seen(args, settings)
+
+    def call(target, name, run):
+        with monkeypatch.context() as patch, pytest.raises(Seen) as caught:
+            patch.setattr(target, name, seen)
+            patch.setattr(mq, "_tables", {})
+            run(spark, folder)
+        return caught.value.args
+
+    full = zoo.model_zoo(seed=42)
+    assert full == mq.ZOO and set(mq.ALL) == set(full) - {"median_boosting"}
+    (_, specs, *_), _ = call(mq, "oof_table", mq.oof)
+    assert {s.name: s for s in specs} == {k: full[k] for k in mq.ALL}
+    with monkeypatch.context() as patch:
+        patch.setattr(mq, "oof", lambda *_: None)
+        (_, columns), _ = call(mq.ensembles, "moments", mq.j11)
+        assert tuple(columns) == zoo.MEMBERS and len(columns) == 6
+    with monkeypatch.context() as patch:
+        patch.setattr(mq, "scored_test", lambda *_: None)
+        patch.setattr(mq, "oof", lambda *_: None)
+        assert call(mq.study, "two_stage", mq.j15)[0][-1] == zoo.RESIDUAL
+    assert call(mq.study, "learning_curve", mq.j28)[0][-1] == zoo.RESIDUAL
+    args, settings = call(mq.study, "permutation_importance", mq.j27)
+    assert set(args[3]) == {*mq.NUMERIC, *mq.CATEGORICAL} and settings.get("repeats", 5) == 5
+    (ready, _, spec, *_), _ = call(mq.ensembles, "mixture_of_experts", mq.j18_moe)
+    assert spec == full["ridge"] and ready.where("region_slug <> floor_level").count() > 0
