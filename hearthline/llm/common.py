@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from hearthline.session import materialise, scratch_path
 
-__all__ = ["columns_only", "hash_words", "input_bytes", "materialise", "mix", "partitions_for", "release", "resident", "scratch_path", "shingle_sets", "slices", "text_bytes", "word_shingles"]
+__all__ = ["byte_values", "columns_only", "hash_words", "input_bytes", "materialise", "mix", "partitions_for", "release", "resident", "scratch_path", "shingle_sets", "slices", "text_bytes", "word_shingles"]
 
 #: Bytes hashed at a time; numpy needs about 40 bytes of working memory for each.
 WINDOW = 1 << 20
@@ -22,13 +22,19 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_VALUE = _VALUE[_LOWER]
-_VALUE[_BLANK] = 0
+_ODD = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _STEP = _U(0x9E3779B97F4A7C15)
 _POWERS = np.cumprod(np.concatenate([[_U(1)], np.full(255, _STEP)]), dtype=np.uint64)
 
 
+def byte_values(blank: np.ndarray) -> np.ndarray:
+    """A random odd value for each byte, one for both cases of A-Z, and 0 for bytes that stand between words."""
+    return np.where(blank, _U(0), _ODD[_LOWER])
+
+
+_VALUE = byte_values(_BLANK)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
     x = x ^ (x >> _U(30))
@@ -80,8 +86,8 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         first = min(end, last)
 
 
-def _hash_window(data: np.ndarray, starts_row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    blank = _BLANK[data]
+def _hash_window(data: np.ndarray, starts_row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    blank = (values == 0)[data]
     first = ~blank
     first[1:] &= blank[:-1] | starts_row[1:]
     starts = np.flatnonzero(first)
@@ -91,26 +97,27 @@ def _hash_window(data: np.ndarray, starts_row: np.ndarray) -> tuple[np.ndarray,
     place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
     top = int(lengths.max())
     powers = _POWERS if top <= len(_POWERS) else np.cumprod(np.concatenate([[_U(1)], np.full(top - 1, _STEP)]), dtype=np.uint64)
-    values = _VALUE[data[starts[0] :]] * powers[place]
-    return mix(np.add.reduceat(values, starts - starts[0])), starts
+    products = values[data[starts[0] :]] * powers[place]
+    return mix(np.add.reduceat(products, starts - starts[0])), starts
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = _VALUE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of many texts and the n + 1 word offsets of the texts.
 
-    A word is a longest run of bytes other than 0x20 and 0x09-0x0D, with A-Z lower-cased. Bytes are read in windows
+    A word is a longest run of bytes with a value, with A-Z lower-cased; by default, of those other than 0x20 and 0x09-0x0D. Bytes are read in windows
     that end at a blank, so a text of any length needs bounded memory besides its words.
     """
+    blank = values == 0
     new_row = np.zeros(len(data) + 1, dtype=bool)
     new_row[offsets[:-1]] = True
     hashes, starts, at = [], [], 0
     while at < len(data):
         end = min(at + WINDOW, len(data))
-        while end < len(data) and not (_BLANK[data[end]] or new_row[end]):
+        while end < len(data) and not (blank[data[end]] or new_row[end]):
             stop = min(end + WINDOW, len(data))
-            found = np.flatnonzero(_BLANK[data[end:stop]] | new_row[end:stop])
+            found = np.flatnonzero(blank[data[end:stop]] | new_row[end:stop])
             end = end + int(found[0]) if len(found) else stop
-        h, s = _hash_window(data[at:end], new_row[at:end])
+        h, s = _hash_window(data[at:end], new_row[at:end], values)
         hashes.append(h)
         starts.append(s + at)
         at = end
