@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.functions.hashing import hash_fold, hash_key
+from hearthline.functions.hashing import HASH_HEX_DIGITS, hash_fold, hash_key
 from hearthline.operators.ranking import lowest_hash_cutoffs, null_safe_join, order_cutoff, positions, running_totals
 from hearthline.session import materialise
 
@@ -165,29 +168,68 @@ def _poisson_cumulative() -> list[float]:
 POISSON_CUMULATIVE = _poisson_cumulative()
 
 
-def bootstrap_mean_ci(df: DataFrame, value: str, id_col: str, by: Sequence[str] = (), replicates: int = 1000, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap of a mean: by + mean, ci_low, ci_high (2.5 % and 97.5 %).
+#: Draws are (a x + b) mod PRIME of a row's hash x, with a and b of the replicate.
+PRIME = (1 << 31) - 1
+
+
+def bootstrap_limits() -> list[int]:
+    """A draw's weight is the number of these limits that it reaches: a Poisson(1) count."""
+    return [limit for limit in (int(c * PRIME) for c in POISSON_CUMULATIVE) if limit < PRIME]
+
+
+def bootstrap_factors(replicates: int, seed: int) -> tuple[list[int], list[int]]:
+    """a and b of replicates 1 to ``replicates``, from md5 of "replicate_seed_a" and "replicate_seed_b"."""
+    draw = lambda r, part: int(hashlib.md5(f"{r}_{seed}_{part}".encode()).hexdigest()[:HASH_HEX_DIGITS], 16)
+    return [draw(r, "a") % (PRIME - 1) + 1 for r in range(1, replicates + 1)], [draw(r, "b") % PRIME for r in range(1, replicates + 1)]
+
 
-    Each row meets every replicate inside its own task and is folded into per-replicate sums before the shuffle.
+def bootstrap_sums(df: DataFrame, value: str, id_col: str, by: Sequence[str], replicates: int = 1000, seed: int = 42, rows_at_once: int = 2048) -> DataFrame:
+    """by + replicate, weight, total: how often rows were drawn, and the sum of their values, by Poisson bootstrap.
+
+    A task adds its rows to one array of sums a group; what is shuffled is the replicates of each group and task, and no
+    row is copied. Draws depend on the row's id, the seed and the replicate only; null values are not drawn.
     """
+    by = list(by)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    factors = [np.array(x, dtype=np.int64) for x in bootstrap_factors(replicates, seed)]
+    limits = np.array(bootstrap_limits(), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        types = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            types = [batch.schema.field(k).type for k in range(len(by))]
+            encoded = [batch.column(k).dictionary_encode() for k in range(len(by))]
+            codes = np.stack([e.indices.fill_null(-1).to_numpy() for e in encoded], axis=1)
+            groups, place = np.unique(codes, axis=0, return_inverse=True)
+            place = place.ravel()
+            x, key = batch.column(len(by)).to_numpy(), batch.column(len(by) + 1).to_numpy()
+            for g, row in enumerate(groups.tolist()):
+                name = tuple(None if c < 0 else e.dictionary[c].as_py() for c, e in zip(row, encoded, strict=True))
+                total = sums.setdefault(name, np.zeros((2, replicates)))
+                chosen = np.flatnonzero(place == g)
+                for a in range(0, len(chosen), rows_at_once):
+                    some = chosen[a : a + rows_at_once]
+                    weight = np.searchsorted(limits, (key[some, None] * factors[0] + factors[1]) % PRIME, side="right").astype(np.float64)
+                    total[0] += weight.sum(axis=0)
+                    total[1] += x[some] @ weight
+        for name, total in sums.items():
+            columns = [pa.array([v] * replicates, t) for v, t in zip(name, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(1, replicates + 1, dtype=np.int32)), pa.array(total[0].astype(np.int64)), pa.array(total[1])], names=[*by, "replicate", "weight", "total"])
+
+    slim = df.select(*by, F.col(value).cast("double").alias("_x"), F.pmod(hash_key(id_col, seed), F.lit(PRIME)).alias("_k")).where("_x is not null")
+    parts = slim.mapInArrow(run, f"{kinds}, replicate int, weight bigint, total double")
+    return parts.groupBy(*by, "replicate").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
+
+
+def bootstrap_mean_ci(df: DataFrame, value: str, id_col: str, by: Sequence[str] = (), replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """Poisson bootstrap of a mean: by + mean, ci_low, ci_high (2.5 % and 97.5 %)."""
     if not by:
         return bootstrap_mean_ci(df.withColumn("_all", F.lit(1)), value, id_col, ["_all"], replicates, seed).drop("_all")
     by = list(by)
-    spark = df.sparkSession
-    # A fixed number of partitions: adaptive coalescing cannot know that every row is about to become many.
-    slots = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    slim = df.select(*by, F.col(value).cast("double").alias("_x"), F.col(id_col).alias("_id")).repartition(slots)
-    drawn = slim.withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    # A 53-bit uniform from a native hash; millions of draws per second and the same on every rerun.
-    uniform = F.shiftrightunsigned(F.xxhash64("_id", "_rep", F.lit(seed)), 11).cast("double") * F.lit(2.0**-53)
-    weighted = drawn.withColumn("_u", uniform)
-    weight = F
-    for count, limit in enumerate(POISSON_CUMULATIVE):
-        weight = weight.when(F.col("_u") < limit, F.lit(float(count)))
-    weighted = weighted.withColumn("_w", weight.otherwise(F.lit(float(len(POISSON_CUMULATIVE)))))
-    means = weighted.groupBy(*by, "_rep").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
-    interval = means.groupBy(*by).agg(
-        F.percentile("_m", 0.025).alias("ci_low"), F.percentile("_m", 0.975).alias("ci_high")
-    )
+    means = bootstrap_sums(df, value, id_col, by, replicates, seed).where("weight > 0").withColumn("_m", F.col("total") / F.col("weight"))
+    interval = means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("ci_low"), F.percentile("_m", 0.975).alias("ci_high"))
     mean = df.groupBy(*by).agg(F.avg(value).alias("mean"))
     return null_safe_join(mean, interval, by, "inner")

@@ -120,31 +120,68 @@ def lasso_path(data: Moments, strengths: Sequence[float], without: int | None =
         yield Combiner(data.columns, y_mean - float(means @ weights), weights, alpha, 1.0)
 
 
-def vector_moments(df: DataFrame, target: str, fold: Column, features: str = "features") -> Moments:
-    """Products of (1, features, target) per fold for a vector column. The target is taken from its mean, and features that
-    are standardised keep the sums small. Tasks add up blocks of rows; the sums of rows of the matrix are partial aggregates."""
-    middle = df.agg(F.avg(target)).first()[0] or 0.0
-    rows = df.select(fold.cast("int").alias("fold"), vector_to_array(features).alias("x"), (F.col(target).cast("double") - F.lit(middle)).alias("y"))
+def _block_products(rows: DataFrame, group: str) -> DataFrame:
+    """(group, fold, i, products): rows of the matrix of products of (1, x, y), summed over all rows of a group and fold.
+    Tasks add up blocks of rows; the sums of rows of the matrices are partial aggregates. rows: (group, fold, x, y)."""
+    kind = rows.schema[group].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple, np.ndarray] = {}
+        known = None
         for batch in batches:
             if not len(batch):
                 continue
-            x = batch.column(1).flatten().to_numpy().reshape(len(batch), -1)
-            z = np.column_stack([np.ones(len(x)), x, batch.column(2).to_numpy()])
-            folds = batch.column(0).to_numpy()
-            for k in np.unique(folds).tolist():
-                part = z[folds == k]
-                sums[k] = sums.get(k, 0.0) + part.T @ part
-        for k, m in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), k, dtype=np.int32)), pa.array(np.arange(len(m), dtype=np.int32)), pa.array(list(m), pa.list_(pa.float64()))], names=["fold", "i", "products"])
-
-    products = rows.mapInArrow(run, "fold int, i int, products array<double>")
-    added = products.groupBy("fold", "i").agg(Summarizer.sum(array_to_vector("products")).alias("s"))
+            known = batch.schema.field(0).type
+            x = batch.column(2).flatten().to_numpy().reshape(len(batch), -1)
+            z = np.column_stack([np.ones(len(x)), x, batch.column(3).to_numpy()])
+            names, place = np.unique(batch.column(0).dictionary_encode().indices.fill_null(-1).to_numpy(), return_inverse=True)
+            dictionary, folds = batch.column(0).dictionary_encode().dictionary, batch.column(1).to_numpy()
+            for g, name in enumerate(names.tolist()):
+                key = dictionary[name].as_py() if name >= 0 else None
+                for k in np.unique(folds[place == g]).tolist():
+                    part = z[(place == g) & (folds == k)]
+                    sums[key, k] = sums.get((key, k), 0.0) + part.T @ part
+        for (key, k), m in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(m), known), pa.array(np.full(len(m), k, dtype=np.int32)), pa.array(np.arange(len(m), dtype=np.int32)), pa.array(list(m), pa.list_(pa.float64()))], names=[group, "fold", "i", "products"])
+
+    products = rows.select(group, F.col("fold").cast("int").alias("fold"), "x", "y").mapInArrow(run, f"{group} {kind}, fold int, i int, products array<double>")
+    return products.groupBy(group, "fold", "i").agg(vector_to_array(Summarizer.sum(array_to_vector("products"))).alias("products"))
+
+
+def vector_moments(df: DataFrame, target: str, fold: Column, features: str = "features") -> Moments:
+    """Products of (1, features, target) per fold for a vector column. The target is taken from its mean, and features that
+    are standardised keep the sums small."""
+    middle = df.agg(F.avg(target)).first()[0] or 0.0
+    rows = df.select(F.lit(0).alias("g"), fold.alias("fold"), vector_to_array(features).alias("x"), (F.col(target).cast("double") - F.lit(middle)).alias("y"))
     out: dict[int, dict[int, np.ndarray]] = {}
-    for row in added.collect():  # features + 2 rows for each fold
-        out.setdefault(row["fold"], {})[row["i"]] = row["s"].toArray()
+    for row in _block_products(rows, "g").collect():  # features + 2 rows for each fold
+        out.setdefault(row["fold"], {})[row["i"]] = np.array(row["products"])
     matrices = {k: np.array([m[i] for i in range(len(m))]) for k, m in out.items()}
     width = len(next(iter(matrices.values()))) - 2 if matrices else 0
     return Moments([str(i) for i in range(width)], matrices)
+
+
+def best_ridge(data: Moments, alphas: Sequence[float]) -> Combiner:
+    """The strength with the least squared error over held-out folds, solved on all of them."""
+    if len(alphas) == 1 or len(data.per_fold) == 1:
+        return ridge(data, alphas[0])
+    error = {a: sum(ridge(data, a, fold).squared_error(held) for fold, held in data.per_fold.items()) for a in alphas}
+    return ridge(data, min(alphas, key=error.get))
+
+
+def grouped_ridges(df: DataFrame, group: str, fold: Column, target: str, alphas: Sequence[float], features: str = "features") -> DataFrame:
+    """(group, alpha, intercept, weights): a ridge for each group, all from one pass. A group's matrices are summed in the
+    shuffle and solved where they meet; neither rows nor matrices come to the driver, so any number of groups will do."""
+    middle = df.agg(F.avg(target)).first()[0] or 0.0
+    rows = df.select(group, fold.alias("fold"), vector_to_array(features).alias("x"), (F.col(target).cast("double") - F.lit(middle)).alias("y"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        per_fold: dict[int, dict[int, list[float]]] = {}
+        for row in table.select(["fold", "i", "products"]).to_pylist():
+            per_fold.setdefault(row["fold"], {})[row["i"]] = row["products"]
+        matrices = {k: np.array([m[i] for i in range(len(m))]) for k, m in sorted(per_fold.items())}
+        found = best_ridge(Moments([str(i) for i in range(len(next(iter(matrices.values()))) - 2)], matrices), alphas)
+        return pa.table({group: table.column(group).slice(0, 1), "alpha": [float(found.alpha)], "intercept": [float(found.intercept + middle)], "weights": pa.array([found.weights], pa.list_(pa.float64()))})
+
+    kind = df.schema[group].dataType.simpleString()
+    return _block_products(rows, group).groupBy(group).applyInArrow(solve, f"{group} {kind}, alpha double, intercept double, weights array<double>")

@@ -9,20 +9,28 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.plans.zoo import Fitted, Spec, assemble, fit
+from hearthline.plans import trees
+from hearthline.plans.zoo import GROWN_KINDS, LINEAR_KINDS, Fitted, Spec, assemble, fit, grow
 from hearthline.session import materialise
 
 
 def fit_members(
-    train: DataFrame, others: Sequence[DataFrame], specs: Sequence[Spec], numeric: Sequence[str], categorical: Sequence[str], target: str
+    train: DataFrame, others: Sequence[DataFrame], specs: Sequence[Spec], numeric: Sequence[str], categorical: Sequence[str], target: str, key: str = "house_id"
 ) -> tuple[list[Fitted], list[DataFrame]]:
     """Members fitted on ``train``; the other frames come back with one prediction column per member."""
-    _, (ready, *rest) = assemble(train, others, numeric, categorical)
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-    members = [fit(spec, ready, target) for spec in specs]
-    scored = [reduce(lambda df, member: member.predict(df), members, df) for df in rest]
-    ready.unpersist()
-    return members, scored
+    linear, grown = [s for s in specs if s.kind in LINEAR_KINDS], [s for s in specs if s.kind in GROWN_KINDS]
+    members, rest = {spec.name: fit(spec, train, target) for spec in specs if spec not in linear and spec not in grown}, list(others)
+    if linear:
+        _, (ready, *rest) = assemble(train, others, numeric, categorical)
+        ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
+        members |= {spec.name: fit(spec, ready, target) for spec in linear}
+        ready.unpersist()
+    scored = [reduce(lambda df, member: member.predict(df), members.values(), df) for df in rest]
+    if grown:
+        models = grow(grown, train, target, numeric, categorical, key=key)
+        members |= {spec.name: Fitted(spec.name, models[spec.name, ()]) for spec in grown}
+        scored = [trees.scored(df, [(spec.name, models[spec.name, ()]) for spec in grown]) for df in scored]
+    return [members[spec.name] for spec in specs], scored
 
 
 def oof_table(
@@ -31,12 +39,16 @@ def oof_table(
 ) -> DataFrame:
     """key, fold, actual, kept columns and one out-of-fold prediction per member; every training row once.
 
-    Each fold is written as it is done, so later ensembles read predictions and never refit members.
+    Trees of all members and folds are grown together. Each fold is written as it is done, so later ensembles read
+    predictions and never refit members.
     """
+    others, grown = [s for s in specs if s.kind not in GROWN_KINDS], [s for s in specs if s.kind in GROWN_KINDS]
+    models = grow(grown, train, target, numeric, categorical, [(f,) for f in folds], fold, key) if grown else {}
     parts = []
     for value in folds:
         inner, held = train.filter(F.col(fold) != value), train.filter(F.col(fold) == value)
-        _, (scored,) = fit_members(inner, [held], specs, numeric, categorical, target)
+        _, (scored,) = fit_members(inner, [held], others, numeric, categorical, target, key)
+        scored = trees.scored(scored, [(s.name, models[s.name, (value,)]) for s in grown])
         columns = [key, fold, F.col(target).alias("actual"), *[c for c in keep if c not in (key, fold)], *[s.name for s in specs]]
         parts.append(materialise(scored.select(*columns)))
     return reduce(DataFrame.unionByName, parts)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+import random
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +20,9 @@ from hearthline.functions import listing as fx
 from hearthline.functions.hashing import hash_key
 from hearthline.operators import cleaning, errors, leaderboards, sampling
 from hearthline.operators.ranking import positions
-from hearthline.plans import ensembles
+from hearthline.plans import ensembles, trees
 from hearthline.plans.oof import cross_validation, fit_members, oof_table
-from hearthline.plans.zoo import RESIDUAL, Fitted, Spec, assemble, fit, model_zoo
+from hearthline.plans.zoo import GROWN_KINDS, RESIDUAL, Fitted, Spec, grow, model_zoo
 from hearthline.session import materialise
 
 
@@ -82,28 +85,35 @@ class Study:
 
 
 def two_stage(
-    train: DataFrame, test: DataFrame, oof: DataFrame, first: str, inputs: Inputs, settings: Mapping[str, float] = RESIDUAL, seed: int = 42
+    train: DataFrame, test: DataFrame, oof: DataFrame, first: str, inputs: Inputs, settings: Mapping[str, float] = RESIDUAL, seed: int = 42, second: Spec | None = None
 ) -> DataFrame:
     """Residual model on the out-of-fold residuals of the best member; test gains two_stage_residual."""
     residuals = oof.select(inputs.key, (F.col("actual") - F.col(first)).alias("_residual"))
-    _, (ready, held) = assemble(train.join(residuals, inputs.key), [test], inputs.numeric, inputs.categorical)
-    ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-    second = fit(Spec("residual", "boosted", {**settings, "seed": seed}), ready, "_residual")
-    ready.unpersist()
-    staged = second.predict(held, "_stage2").withColumn("two_stage_residual", F.col(first) + F.col("_stage2"))
-    return staged.drop("features", "_stage2")
+    spec = second or Spec("residual", "boosted", {**settings, "seed": seed})
+    _, (staged,) = fit_members(train.join(residuals, inputs.key), [test], [Spec("_stage2", spec.kind, spec.settings)], inputs.numeric, inputs.categorical, "_residual", inputs.key)
+    return staged.withColumn("two_stage_residual", F.col(first) + F.col("_stage2")).drop("_stage2", "features")
 
 
 def nested_two_stage_cv(
     train: DataFrame, spec: Spec, inputs: Inputs, folds: Sequence[int], settings: Mapping[str, float] = RESIDUAL, seed: int = 42
 ) -> DataFrame:
-    """Held-out two-stage predictions: inside each outer fold the first stage is itself out of fold."""
+    """Held-out two-stage predictions: inside each outer fold the first stage is itself out of fold. Trees of all outer and
+    inner fits are grown together."""
+    models: trees.Models = {}
+    if spec.kind in GROWN_KINDS:
+        pairs = [tuple(sorted((o, i))) for o in folds for i in folds if o < i]
+        models = grow([spec], train, inputs.target, inputs.numeric, inputs.categorical, [*[(o,) for o in folds], *pairs], "fold", inputs.key)
     parts = []
     for outer in folds:
         inner, held = train.filter(F.col("fold") != outer), train.filter(F.col("fold") == outer)
-        inner_oof = oof_table(inner, [spec], inputs.numeric, inputs.categorical, inputs.target, [f for f in folds if f != outer])
-        _, (scored,) = fit_members(inner, [held], [spec], inputs.numeric, inputs.categorical, inputs.target)
-        scored = scored.drop("features")
+        if models:
+            by_fold = {i: models[spec.name, tuple(sorted((outer, i)))] for i in folds if i != outer}
+            inner_oof = trees.scored(inner, [(spec.name, by_fold)], "fold").withColumn("actual", F.col(inputs.target))
+            scored = trees.scored(held, [(spec.name, models[spec.name, (outer,)])])
+        else:
+            inner_oof = oof_table(inner, [spec], inputs.numeric, inputs.categorical, inputs.target, [f for f in folds if f != outer], key=inputs.key)
+            _, (scored,) = fit_members(inner, [held], [spec], inputs.numeric, inputs.categorical, inputs.target, inputs.key)
+            scored = scored.drop("features")
         staged = two_stage(inner, scored, inner_oof, spec.name, inputs, settings, seed)
         parts.append(materialise(staged.select(inputs.key, "fold", F.col(inputs.target).alias("actual"), "two_stage_residual")))
     return reduce(DataFrame.unionByName, parts)
@@ -139,40 +149,102 @@ def best_predictions(predictions: DataFrame, best: str) -> DataFrame:
     return predictions.filter(F.col("model_name") == best).withColumn("residual_wan", F.col("actual_price_wan") - F.col("predicted_price_wan"))
 
 
+def affine_pairs(n: int, repeats: int, seed: int) -> list[tuple[int, int]]:
+    """(a, b) of each repeat: row p meets row (a p + b) mod n, which is a permutation as a and n share no factor."""
+    rng, out = random.Random(seed), []
+    while len(out) < repeats:
+        a, b = rng.randrange(1, min(n, 1 << 31) + 1), rng.randrange(n)
+        if math.gcd(a, n) == 1:
+            out.append((a, b))
+    return out
+
+
 def permutation_importance(
-    prepared: PipelineModel, member: Fitted, test: DataFrame, columns: Sequence[str], target: str, repeats: int = 5, seed: int = 42, key: str = "house_id",
-    carried: Sequence[str] = (),
+    member: Fitted, test: DataFrame, columns: Sequence[str], target: str, repeats: int = 5, seed: int = 42, key: str = "house_id", prepared: PipelineModel | None = None
 ) -> DataFrame:
     """Rise of the mean absolute error when one column takes the values of shuffled rows: mean and std over repeats.
 
-    Rows are numbered once by id and once per repeat by hash; equal numbers are partners. All columns of a repeat are
-    scored in one pass over the exploded rows. ``carried`` are model inputs that are not shuffled.
+    Rows are numbered once, in an order that is a hash; a repeat pairs numbers by an affine map, so one sort serves all
+    repeats. A linear member's prediction is a sum over columns, so a pair gives the errors of all columns at once; for
+    trees, each task scores its pairs column by column and sends sums only. ``prepared`` is a linear member's preprocessing.
     """
-    slim = test.select(key, target, *columns, *carried)
-    here = positions(slim.select(key), [key])
-    base = member.predict(prepared.transform(test), "_p").agg(F.avg(F.abs(F.col("_p") - F.col(target)))).first()[0]
-    parts = []
-    for repeat in range(repeats):
-        there = positions(slim.select(F.col(key).alias("_other")).withColumn("_h", hash_key("_other", f"{seed}_{repeat}")), ["_h", "_other"])
-        partner = here.join(there.drop("_h"), "position").drop("position")
-        lent = slim.select(F.col(key).alias("_other"), *[F.col(c).alias(f"_s_{c}") for c in columns])
-        rows = slim.join(partner, key).join(lent, "_other").withColumn("column_name", F.explode(F.array(*[F.lit(c) for c in columns])))
-        mixed = rows.withColumns({c: F.when(F.col("column_name") == c, F.col(f"_s_{c}")).otherwise(F.col(c)) for c in columns})
-        scored = member.predict(prepared.transform(mixed.select("column_name", target, *columns, *carried)), "_p")
-        parts.append(scored.groupBy("column_name").agg((F.avg(F.abs(F.col("_p") - F.col(target))) - F.lit(base)).alias("rise")))
-    gathered = reduce(DataFrame.unionByName, parts)
-    return gathered.groupBy("column_name").agg(F.avg("rise").alias("importance_mean"), F.stddev_pop("rise").alias("importance_std"))
-
-
-def learning_curve(train: DataFrame, checks: Mapping[str, DataFrame], target: str, settings: Mapping[str, float]) -> DataFrame:
-    """data, iteration, mae after every boosting round, on assembled rows."""
-    model = GBTRegressor(featuresCol="features", labelCol=target, maxBins=64, **settings).fit(train)
-    rows = [
-        (name, i + 1, float(loss))
-        for name, df in checks.items()
-        for i, loss in enumerate(model.evaluateEachIteration(df, "absolute"))
-    ]
-    return train.sparkSession.createDataFrame(rows, "data string, iteration int, mae double")
+    rows = test.where(F.col(target).isNotNull())
+    order = positions(rows.select(key, hash_key(key, seed).alias("_h")), ["_h", key]).select(F.col(key).alias("_key"), (F.col("position") - 1).alias("_p"))
+    numbered = materialise(rows.join(order, F.col(key) == F.col("_key")).drop("_key"))
+    n = numbered.count()
+    if not n:
+        return test.sparkSession.createDataFrame([], "column_name string, importance_mean double, importance_std double")
+    slim, errors_of = _linear_parts(prepared, member, numbered, columns, target) if prepared is not None else _tree_parts(member.model, numbered, columns, target)
+    slim = materialise(slim)
+    meets = F.explode(F.array(*[F.struct(F.lit(k).alias("repeat"), F.pmod(F.col("_p") * F.lit(a) + F.lit(b), F.lit(n)).alias("other")) for k, (a, b) in enumerate(affine_pairs(n, repeats, seed))]))
+    lent = slim.select(F.col("_p").alias("_lent"), F.col("parts").alias("lent"))
+    maes = errors_of(slim.withColumn("m", meets).join(lent, F.col("m.other") == F.col("_lent")).withColumn("repeat", F.col("m.repeat")))
+    base = slim.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0]
+    return maes.groupBy("column_name").agg(F.avg(F.col("mae") - base).alias("importance_mean"), F.stddev_pop("mae").alias("importance_std"))
+
+
+def _linear_parts(prepared: PipelineModel, member: Fitted, rows: DataFrame, columns: Sequence[str], target: str):
+    """What each column adds to a linear prediction, and the errors of all columns when parts are lent."""
+    numeric, categorical = prepared.stages[0].getInputCols(), prepared.stages[2].getInputCols() if len(prepared.stages) > 3 else []
+    sizes = [1] * len(numeric) + (prepared.stages[3].categorySizes if categorical else [])
+    weights, intercept = member.model.coefficients.toArray(), member.model.intercept
+    starts = [sum(sizes[:k]) for k in range(len(sizes))]
+    place = {c: k for k, c in enumerate([*numeric, *categorical])}
+
+    @F.arrow_udf("array<double>")
+    def contributions(x: pa.Array) -> pa.Array:
+        values = x.flatten().to_numpy().reshape(len(x), -1) * weights
+        parts = np.add.reduceat(values, starts, axis=1) if len(x) else values[:, : len(starts)]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(starts), pa.int32()), pa.array(parts.ravel()))
+
+    ready = prepared.transform(rows).select("_p", F.col(target).cast("double").alias("y"), contributions(vector_to_array("features")).alias("parts"))
+    slim = ready.withColumn("prediction", F.lit(float(intercept)) + F.aggregate("parts", F.lit(0.0), lambda s, x: s + x))
+
+    def errors_of(pairs: DataFrame) -> DataFrame:
+        change = lambda c: F.avg(F.abs(F.col("prediction") - F.col("parts")[place[c]] + F.col("lent")[place[c]] - F.col("y")))
+        wide = pairs.groupBy("repeat").agg(*[change(c).alias(f"e{k}") for k, c in enumerate(columns)])
+        return wide.select("repeat", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"e{k}").alias("mae")) for k, c in enumerate(columns)])).alias("e")).select("repeat", "e.*")
+
+    return slim, errors_of
+
+
+def _tree_parts(model: trees.Grown, rows: DataFrame, columns: Sequence[str], target: str):
+    """A row's inputs, and the errors when one of them is lent."""
+    bins = model.bins
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    numbers, texts = bins.inputs()
+    place = {c: k for k, c in enumerate([*bins.numeric, *bins.categorical])}
+    slim = trees.scored(rows, [("prediction", model)]).select("_p", F.col(target).cast("double").alias("y"), "prediction", F.struct(numbers.alias("numbers"), texts.alias("texts")).alias("parts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, str], list[float]] = {}
+        for batch in batches:
+            repeat, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            own, lent = (bins.codes(part.field(0), part.field(1)) for part in (batch.column(2), batch.column(3)))
+            for c in columns:
+                mixed = own.copy()
+                mixed[:, place[c]] = lent[:, place[c]]
+                error = np.abs(shared.value.raw(mixed) - y)
+                for k in np.unique(repeat).tolist():
+                    total = sums.setdefault((k, c), [0.0, 0])
+                    total[0] += float(error[repeat == k].sum())
+                    total[1] += int((repeat == k).sum())
+        for (k, c), (error, count) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c]), pa.array([error]), pa.array([count], pa.int64())], names=["repeat", "column_name", "error", "rows"])
+
+    def errors_of(pairs: DataFrame) -> DataFrame:
+        parts = pairs.select("repeat", "y", "parts", "lent").mapInArrow(run, "repeat int, column_name string, error double, rows bigint")
+        return parts.groupBy("repeat", "column_name").agg((F.sum("error") / F.sum("rows")).alias("mae"))
+
+    return slim, errors_of
+
+
+def learning_curve(train: DataFrame, checks: Mapping[str, DataFrame], target: str, specs: Sequence[Spec], numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """data, model_name, iteration, mae after every round of each boosted member, in one pass over each table."""
+    models = grow(specs, train, target, numeric, categorical)
+    named = {spec.name: models[spec.name, ()] for spec in specs}
+    curves = [trees.staged_errors(df, named, target).select(F.lit(name).alias("data"), F.col("model").alias("model_name"), "iteration", "mae") for name, df in checks.items()]
+    return reduce(DataFrame.unionByName, curves)
 
 
 def data_driven_weights(train: DataFrame, types: Sequence[str] = config.POI_TYPES, price: str = config.TARGET, alpha: float = 1.0) -> dict[str, float]:

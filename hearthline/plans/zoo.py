@@ -1,4 +1,4 @@
-"""Member models as Spark ML estimators over one assembled feature vector."""
+"""Member models: linear ones as Spark ML estimators over an assembled vector, trees over binned columns."""
 
 from __future__ import annotations
 
@@ -8,11 +8,12 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Model
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.operators.ranking import quantile_bounds
+from hearthline.operators.ranking import null_safe_join
+from hearthline.plans import trees
 from hearthline.plans.moments import lasso_path, lasso_strengths, ridge, vector_moments
 
 # Member settings.
@@ -20,13 +21,15 @@ RIDGE_ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 FOREST = {"numTrees": 180, "maxDepth": 14, "minInstancesPerNode": 3}
 BOOSTED = {
     "gradient_boosting": {"maxIter": 100, "maxDepth": 3, "stepSize": 0.1},
-    "boosted_histogram": {"maxIter": 240, "maxDepth": 5, "stepSize": 0.055},
+    "boosted_histogram": {"maxIter": 240, "maxDepth": 5, "stepSize": 0.055, "penalty": 0.05},
     "boosted_depth4": {"maxIter": 220, "maxDepth": 4, "stepSize": 0.045, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85"},
     "boosted_leaves31": {"maxIter": 260, "maxDepth": 5, "stepSize": 0.045, "subsamplingRate": 0.85, "featureSubsetStrategy": "0.85"},
     "boosted_depth6": {"maxIter": 260, "maxDepth": 6, "stepSize": 0.045},
 }
-RESIDUAL = {"maxIter": 160, "maxDepth": 4, "stepSize": 0.045}
+RESIDUAL = {"maxIter": 160, "maxDepth": 4, "stepSize": 0.045, "penalty": 0.1}
 MEMBERS = ("random_forest", *BOOSTED)
+GROWN_KINDS = ("forest", "boosted", "median")
+LINEAR_KINDS = ("ridge", "lasso")
 
 
 @dataclass(frozen=True)
@@ -74,22 +77,33 @@ def preprocessing(numeric: Sequence[str], categorical: Sequence[str]) -> Pipelin
     return Pipeline(stages=stages)
 
 
+@dataclass
+class GroupMeans:
+    """Means of groups of training rows, and the mean of all for other groups."""
+
+    table: DataFrame
+    keys: Sequence[str]
+    fallback: float
+
+
 @dataclass
 class Fitted:
     """A fitted member; ``predict`` adds one prediction column."""
 
     name: str
-    model: Model | float
+    model: Model | trees.Grown | GroupMeans | float
     selected: float | None = None
-    slope: float = 1.0
-    shift: float = 0.0
 
     def predict(self, df: DataFrame, column: str | None = None) -> DataFrame:
         name = column or self.name
         if isinstance(self.model, float):
             return df.withColumn(name, F.lit(self.model))
-        out = self.model.copy({self.model.predictionCol: name}).transform(df)
-        return out if (self.slope, self.shift) == (1.0, 0.0) else out.withColumn(name, F.col(name) * self.slope + self.shift)
+        if isinstance(self.model, trees.Grown):
+            return trees.scored(df, [(name, self.model)])
+        if isinstance(self.model, GroupMeans):
+            known = null_safe_join(df, self.model.table, self.model.keys)
+            return known.withColumn(name, F.coalesce("_mean", F.lit(self.model.fallback))).drop("_mean")
+        return self.model.copy({self.model.predictionCol: name}).transform(df)
 
 
 def _linear(reg: float, l1: float, target: str, iterations: int = 200) -> LinearRegression:
@@ -114,10 +128,13 @@ def _best_strength(train: DataFrame, target: str, spec: Spec) -> float:
     return min(grid, key=error.get)
 
 
-def fit(spec: Spec, train: DataFrame, target: str) -> Fitted:
-    """Fits one member on assembled rows."""
+def fit(spec: Spec, train: DataFrame, target: str, numeric: Sequence[str] = (), categorical: Sequence[str] = ()) -> Fitted:
+    """Fits one member on assembled rows; trees read the named columns instead of the vector."""
     if spec.kind == "mean":
         return Fitted(spec.name, float(train.agg(F.avg(target)).first()[0]))
+    if spec.kind == "group_mean":
+        keys = spec.settings["keys"]
+        return Fitted(spec.name, GroupMeans(train.groupBy(*keys).agg(F.avg(target).alias("_mean")), keys, float(train.agg(F.avg(target)).first()[0])))
     if spec.kind == "ridge":
         # Penalty alpha on the centred least-squares sum, in the scale of this estimator.
         facts = train.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("s")).first()
@@ -127,26 +144,17 @@ def fit(spec: Spec, train: DataFrame, target: str) -> Fitted:
     if spec.kind == "lasso":
         strength = _best_strength(train, target, spec)
         return Fitted(spec.name, _linear(strength, 1.0, target).fit(train), strength)
-    if spec.kind == "forest":
-        return Fitted(spec.name, RandomForestRegressor(featuresCol="features", labelCol=target, maxBins=64, **spec.settings).fit(train))
-    if spec.kind == "boosted":
-        return Fitted(spec.name, GBTRegressor(featuresCol="features", labelCol=target, maxBins=64, maxMemoryInMB=512, **spec.settings).fit(train))
-    if spec.kind == "median":
-        return _fit_median(spec, train, target)
+    if spec.kind in GROWN_KINDS:
+        return Fitted(spec.name, grow([spec], train, target, numeric, categorical)[spec.name, ()])
     raise ValueError(f"unknown kind of member: {spec.kind}")
 
 
-def _fit_median(spec: Spec, train: DataFrame, target: str) -> Fitted:
-    """Boosting on absolute errors, whose rounds move a prediction by at most the step size. So the target is measured from
-    its median in quartile ranges over what all rounds can reach, and the median of the residuals is added at the end."""
-    quarters = quantile_bounds(train, [target], {"low": 0.25, "mid": 0.5, "high": 0.75})[target]
-    reach = spec.settings["maxIter"] * spec.settings["stepSize"]
-    slope = ((quarters["high"] - quarters["low"]) or abs(quarters["mid"]) or 1.0) * 4.0 / min(reach, 8.0)
-    scaled = train.withColumn("_scaled_target", (F.col(target) - quarters["mid"]) / slope)
-    model = GBTRegressor(featuresCol="features", labelCol="_scaled_target", lossType="absolute", maxBins=64, maxMemoryInMB=512, **spec.settings).fit(scaled)
-    rough = Fitted(spec.name, model, None, slope, quarters["mid"])
-    left = rough.predict(train, "_rough").select((F.col(target) - F.col("_rough")).alias("left"))
-    return Fitted(spec.name, model, None, slope, quarters["mid"] + quantile_bounds(left, ["left"], {"mid": 0.5})["left"]["mid"])
+def grow(
+    specs: Sequence[Spec], train: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], held: Sequence[tuple[int, ...]] = ((),), fold: str | None = None, key: str = "house_id"
+) -> trees.Models:
+    """Tree members by (name, left-out folds), all grown together. Bins come from all given rows and never read the target."""
+    bins = trees.fit_bins(train, numeric, categorical)
+    return trees.grow_members(train, {s.name: trees.Growth.of(s.kind, s.settings) for s in specs}, bins, target, held, fold, key)
 
 
 def assemble(train: DataFrame, others: Sequence[DataFrame], numeric: Sequence[str], categorical: Sequence[str]) -> tuple[PipelineModel, list[DataFrame]]:

@@ -6,7 +6,7 @@ import importlib
 
 from hearthline.registered.base import ORACLE, QUERIES, Query
 
-MODULES = ("source_queries", "cleaning_queries", "aggregate_queries", "ordering_queries", "text_queries", "paired_queries", "log_queries", "model_queries")
+MODULES = ("source_queries", "cleaning_queries", "aggregate_queries", "ordering_queries", "text_queries", "paired_queries", "log_queries", "model_queries", "mean_queries")
 
 
 def _load() -> None:

@@ -228,9 +228,23 @@ def j18(spark, folder):
 
 @query("j18_mixture_of_experts")
 def j18_moe(spark, folder):
+    scored, _ = experts(spark, folder, "boosted_histogram")
+    return rounded(scored.select("house_id", "gate", F.col(config.TARGET).alias("actual_price_wan"), "moe_region_area"))
+
+
+def experts(spark, folder, member: str) -> tuple[DataFrame, DataFrame]:
     train, test = parts(spark, folder)
-    _, (ready, held) = assemble(train, [test], NUMERIC, CATEGORICAL)
-    scored, _ = ensembles.mixture_of_experts(ready, held, ZOO["ridge"], config.TARGET)
+    return ensembles.mixture_of_experts(train, test, ZOO[member], config.TARGET, NUMERIC, CATEGORICAL)
+
+
+@query("j18_gate_errors")
+def j18_errors(spark, folder):
+    return rounded(ensembles.gate_errors(*experts(spark, folder, "boosted_histogram"), config.TARGET))
+
+
+@query("j18_linear_experts")
+def j18_linear(spark, folder):
+    scored, _ = experts(spark, folder, "ridge")
     return rounded(scored.select("house_id", "gate", F.col(config.TARGET).alias("actual_price_wan"), "moe_region_area"))
 
 
@@ -323,16 +337,23 @@ def j27(spark, folder):
     train, test = parts(spark, folder)
     model, (ready,) = assemble(train, [], NUMERIC, CATEGORICAL)
     member = fit(ZOO["ridge"], ready, config.TARGET)
-    columns = [*NUMERIC, *CATEGORICAL]
-    return rounded(study.permutation_importance(model, member, test.select("house_id", config.TARGET, *columns), columns, config.TARGET))
+    return rounded(study.permutation_importance(member, test, [*NUMERIC, *CATEGORICAL], config.TARGET, prepared=model))
+
+
+@query("j27_tree_importance")
+def j27_trees(spark, folder):
+    train, test = parts(spark, folder)
+    member = fit(ZOO["boosted_histogram"], train, config.TARGET, NUMERIC, CATEGORICAL)
+    return rounded(study.permutation_importance(member, test, [*NUMERIC, *CATEGORICAL], config.TARGET))
 
 
 @query("j28_learning_curve")
 def j28(spark, folder):
+    """Errors after every round of several boosted members."""
     train, test = parts(spark, folder)
-    _, (ready, held) = assemble(train, [test], NUMERIC, CATEGORICAL)
-    curve = study.learning_curve(ready.filter(F.col("fold") != 0), {"validation": ready.filter(F.col("fold") == 0), "test": held}, config.TARGET, RESIDUAL)
-    return rounded(curve)
+    specs = [ZOO[m] for m in ("gradient_boosting", "boosted_histogram", "boosted_depth4", "boosted_leaves31", "boosted_depth6")]
+    checks = {"validation": train.filter(F.col("fold") == 0), "test": test}
+    return rounded(study.learning_curve(train.filter(F.col("fold") != 0), checks, config.TARGET, specs, NUMERIC, CATEGORICAL))
 
 
 DIAGNOSED = ("priority_mean", "region_mean")

@@ -6,6 +6,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from hearthline import config
+from hearthline.functions.hashing import hash_key
+from hearthline.operators.ranking import positions
 from hearthline.plans import ensembles, study
 from hearthline.plans.oof import cross_validation, oof_table
 from hearthline.plans.zoo import Spec, assemble, fit, model_zoo
@@ -101,8 +103,7 @@ def test_strengths_from_products_equal_refitting(table):
 def test_unseen_category_and_experts(table):
     train = table.filter("split = 'train'").withColumns({"region_slug": F.col("c"), "area_sqm": F.col("x1")})
     test = train.limit(5).withColumn("c", F.lit("never"))
-    _, (ready, held) = assemble(train, [test], ("x1", "x2"), ("c",))
-    scored, profile = ensembles.mixture_of_experts(ready, held.withColumn("region_slug", F.lit("u")), SPECS[1], "total_price_wan", min_rows=50)
+    scored, profile = ensembles.mixture_of_experts(train, test.withColumn("region_slug", F.lit("u")), SPECS[1], "total_price_wan", ("x1", "x2"), ("c",), min_rows=50)
     assert scored.count() == 5 and scored.filter("moe_region_area is null").count() == 0
     assert profile.agg(F.sum("n")).first()[0] == train.count()
 
@@ -113,10 +114,49 @@ def test_median_member_halves_skewed_rows(spark):
     y = 20 * np.exp(0.5 * x) * rng.lognormal(0, 1, 3000)
     rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "house_id bigint, x1 double, total_price_wan double")
     train, test = rows.filter("house_id % 3 > 0"), rows.filter("house_id % 3 = 0")
-    _, (ready, held) = assemble(train, [test], ("x1",), ())
     spec = Spec("m", "median", {"maxIter": 40, "maxDepth": 3, "stepSize": 0.1, "seed": 1})
-    scored = fit(spec, ready, "total_price_wan").predict(held).select(F.avg((F.col("total_price_wan") < F.col("m")).cast("double")), F.avg(F.abs(F.col("m") - 20 * F.exp(0.5 * F.col("x1"))) / (20 * F.exp(0.5 * F.col("x1"))))).first()
-    assert 0.46 < scored[0] < 0.54 and scored[1] < 0.15
+    test = test.withColumn("region", F.floor((F.col("x1") + 1).cast("double")).cast("int")).where("region between -1 and 2")
+    scored = fit(spec, train, "total_price_wan", ("x1",)).predict(test)
+    below, off = scored.select(F.avg((F.col("total_price_wan") < F.col("m")).cast("double")), F.avg(F.abs(F.col("m") - 20 * F.exp(0.5 * F.col("x1"))) / (20 * F.exp(0.5 * F.col("x1"))))).first()
+    assert 0.46 < below < 0.54 and off < 0.15
+    shares = scored.groupBy("region").agg(F.avg((F.col("total_price_wan") < F.col("m")).cast("double")).alias("s")).collect()
+    assert all(0.42 < r["s"] < 0.58 for r in shares)
+
+
+def _prediction_without(frame, member, column, partner):
+    """The member's predictions when one column takes the partner's value."""
+    mixed = frame.copy()
+    mixed[column] = frame[column].to_numpy()[partner]
+    return member(mixed)
+
+
+@pytest.mark.parametrize("kind", ["ridge", "boosted"])
+def test_permutation_importance_by_hand(spark, table, kind):
+    train, test = table.filter("split = 'train'"), table.filter("split = 'test'")
+    model, (ready,) = assemble(train, [], ("x1", "x2"), ("c",))
+    member = fit(SPECS[1], ready, "total_price_wan") if kind == "ridge" else fit(SPECS[2], train, "total_price_wan", ("x1", "x2"), ("c",))
+    got = {r["column_name"]: r for r in study.permutation_importance(member, test, ["x1", "x2", "c"], "total_price_wan", repeats=3, prepared=model if kind == "ridge" else None).collect()}
+    n = test.count()
+    order = positions(test.select("house_id", hash_key("house_id", 42).alias("_h")), ["_h", "house_id"])
+    frame = test.join(order, "house_id").orderBy("position").select("house_id", "x1", "x2", "c", "total_price_wan").toPandas()
+
+    def predicted(mixed):
+        df = spark.createDataFrame(mixed)
+        scored = member.predict(model.transform(df) if kind == "ridge" else df, "p")
+        return scored.select("house_id", "p").toPandas().set_index("house_id").loc[mixed["house_id"], "p"].to_numpy()
+
+    y = frame["total_price_wan"].to_numpy()
+    base = np.abs(predicted(frame) - y).mean()
+    for column in ("x1", "x2", "c"):
+        rises = [np.abs(_prediction_without(frame, predicted, column, (a * np.arange(n) + b) % n) - y).mean() - base for a, b in study.affine_pairs(n, 3, 42)]
+        assert got[column]["importance_mean"] == pytest.approx(np.mean(rises), abs=1e-9) and got[column]["importance_std"] == pytest.approx(np.std(rises), abs=1e-9)
+    assert got["x1"]["importance_mean"] > got["c"]["importance_mean"] > 0
+    assert study.permutation_importance(member, test.limit(0), ["x1"], "total_price_wan", prepared=model if kind == "ridge" else None).count() == 0
+
+
+def test_affine_pairs_are_permutations():
+    for n in (1, 2, 12, 97, 360):
+        assert all(sorted((a * p + b) % n for p in range(n)) == list(range(n)) for a, b in study.affine_pairs(n, 5, 1))
 
 
 def test_zoo_has_all_members():
@@ -195,8 +235,10 @@ def test_registered_models_have_full_settings(spark, folder, monkeypatch):
         patch.setattr(mq, "scored_test", lambda *_: None)
         patch.setattr(mq, "oof", lambda *_: None)
         assert call(mq.study, "two_stage", mq.j15)[0][-1] == zoo.RESIDUAL
-    assert call(mq.study, "learning_curve", mq.j28)[0][-1] == zoo.RESIDUAL
-    args, settings = call(mq.study, "permutation_importance", mq.j27)
-    assert set(args[3]) == {*mq.NUMERIC, *mq.CATEGORICAL} and settings.get("repeats", 5) == 5
-    (ready, _, spec, *_), _ = call(mq.ensembles, "mixture_of_experts", mq.j18_moe)
-    assert spec == full["ridge"] and ready.where("region_slug <> floor_level").count() > 0
+    specs = call(mq.study, "learning_curve", mq.j28)[0][3]
+    assert len(specs) == 5 and all(s == full[s.name] for s in specs)
+    for run in (mq.j27, mq.j27_trees):
+        args, settings = call(mq.study, "permutation_importance", run)
+        assert set(args[2]) == {*mq.NUMERIC, *mq.CATEGORICAL} and settings.get("repeats", 5) == 5
+    (train, _, spec, *_), _ = call(mq.ensembles, "mixture_of_experts", mq.j18_moe)
+    assert spec == full["boosted_histogram"] and train.where("region_slug <> floor_level").count() > 0
