@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from hearthline.llm.common import columns_only, materialise
 
 #: Fixed values of the query: (host, path, verdict).
-RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr", "allow"), ("com", "/de/", "block"))
+RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Links of anchors to other sites: an absolute or scheme-relative href.
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -118,17 +118,19 @@ def _spread_sql(name: str, src: str, dst: str, kind: str, steps: int, damping: f
 
 
 def oracle(steps: int = STEPS, damping: float = DAMPING) -> str:
-    case = lambda want: " ".join(
-        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p) if want else v}'" for h, p, v in sorted(RULES, key=lambda x: (-len(x[0] + x[1]), x[0] + x[1]))
-    )
+    """Spells the rules on its own, longest first."""
+    under = lambda host: f"(host = '{host}' OR ends_with(host, '.{host}'))"
+    rule = f"""CASE WHEN {under("example.org")} AND starts_with(path, '/es/') THEN 'example.org/es/' WHEN {under("example.org")} AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+ WHEN {under("com")} AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN {under("com")} AND starts_with(path, '/de/') THEN 'com/de/' WHEN {under("org")} AND starts_with(path, '/') THEN 'org/' END"""
     link = LINK.removeprefix("(?i)").replace("'", "''")
     return f"""
 WITH cut AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') AS host,
  coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-judged AS (SELECT *, CASE {case(True)} END AS rule, CASE {case(False)} END AS says FROM cut),
+ruled AS (SELECT *, {rule} AS rule FROM cut),
+judged AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS says FROM ruled),
 seeds AS (SELECT host, count(*) FILTER (says = 'allow') AS good, count(*) FILTER (says = 'block') AS bad FROM judged WHERE host <> '' AND says IS NOT NULL GROUP BY 1),
 links AS (SELECT src, dst, count(*) AS links FROM (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1, 'i')), '{UPPER}', '{LOWER}') AS dst
  FROM judged WHERE host <> '') WHERE src <> dst GROUP BY 1, 2),
 {_spread_sql("t", "src", "dst", "good", steps, damping)}, {_spread_sql("d", "dst", "src", "bad", steps, damping)}
-SELECT page_id, j.host, path, rule, coalesce(says, CASE WHEN round(coalesce(d.mass, 0), 12) > round(coalesce(t.mass, 0), 12) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT page_id, j.host, path, rule, coalesce(says, CASE WHEN coalesce(d.mass, 0) > coalesce(t.mass, 0) * {1 + MARGIN} THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN t_{steps} t ON t.host = j.host LEFT JOIN d_{steps} d ON d.host = j.host"""

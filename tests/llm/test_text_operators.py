@@ -411,16 +411,17 @@ def test_bounds_hold():
 
 
 def test_rules_and_hosts(spark):
-    urls = [None, "", "no scheme", "http://EXAMPLE.org/es/x?y", "http://a.example.org/en/1#z", "https://org/", "https://x.com/fr", "https://x.com/de/9", "https://x.com", "a://b://c/d", "http://x.net/é?q", "http://u.com/en", "http://y.com/en"]
+    urls = [None, "", "no scheme", "http://EXAMPLE.org/es/x?y", "http://a.example.org/en/1#z", "https://org/", "https://x.com/fr", "https://x.com/de/9", "https://x.com", "a://b://c/d", "http://x.net/é?q", "http://u.com/en", "http://y.com/en", "http://w.com/fr/", "http://www.w.com/fr/a", "http://z.com/france"]
     html = {11: "<a href='http://X.com/de/1'>bad</a><a href=\"//x.com/de/2\">bad</a>", 12: "<a href='http://x.org/'>good</a>", 7: "<a href='http://u.com/q'>", 5: "<a class=k href=http://y.com/en>t</a>"}
     pages = spark.createDataFrame([(k, u, html.get(k), "x") for k, u in enumerate(urls)], "page_id long, url string, html string, host string")
     got = by_id(host_trust.judge_urls(pages), "page_id")
     assert [(got[k]["host"], got[k]["path"], got[k]["rule"]) for k in range(len(urls))] == [
-        ("", "", None), ("", "", None), ("", "", None), ("example.org", "/es/x", "example.org/es/"), ("a.example.org", "/en/1", "example.org/en/1"), ("org", "/", "org/"), ("x.com", "/fr", "com/fr"),
-        ("x.com", "/de/9", "com/de/"), ("x.com", "", None), ("b:", "//c/d", None), ("x.net", "/é", None), ("u.com", "/en", None), ("y.com", "/en", None),
+        ("", "", None), ("", "", None), ("", "", None), ("example.org", "/es/x", "example.org/es/"), ("a.example.org", "/en/1", "example.org/en/1"), ("org", "/", "org/"), ("x.com", "/fr", None),
+        ("x.com", "/de/9", "com/de/"), ("x.com", "", None), ("b:", "//c/d", None), ("x.net", "/é", None), ("u.com", "/en", None), ("y.com", "/en", None), ("w.com", "/fr/", "com/fr/"), ("www.w.com", "/fr/a", "com/fr/"), ("z.com", "/france", None),
     ]
     verdicts = {k: got[k]["verdict"] for k in got}
     assert verdicts[0] == "allow" and verdicts[3] == "block" and verdicts[5] == "allow" and verdicts[7] == "block"
+    assert verdicts[13] == verdicts[14] == "allow" and verdicts[6] == "block"  # the host's own pages under /de/ are blocked
     assert verdicts[11] == "block" and verdicts[12] == "allow" and got[11]["distrust"] > 0 and got[12]["trust"] > 0
     assert host_trust.judge_urls(pages.limit(0)).count() == 0
 
