@@ -185,7 +185,7 @@ class Growth:
     def of(cls, kind: str, settings: Mapping) -> Growth:
         share = settings.get("featureSubsetStrategy", 1.0)
         return cls(
-            kind, settings.get("numTrees") or settings["maxIter"], settings["maxDepth"], 1.0 if kind == "forest" else settings["stepSize"], float(settings.get("minInstancesPerNode", 1)),
+            kind, settings.get("numTrees") or settings["maxIter"], settings["maxDepth"], 1.0 if kind == "forest" else settings.get("stepSize", 0.1), float(settings.get("minInstancesPerNode", 1)),
             float(settings.get("penalty", 0.0)), float(settings.get("subsamplingRate", 1.0)), float(share), int(settings.get("seed", 0)),
         )
 
