@@ -3,17 +3,19 @@
 A text's set is its distinct word n-grams, as 64-bit hashes; equal sets are one class. All n-grams have one order: first
 a quarter of them, chosen by hash, from the rarest to the most common (frequencies in steps), then the others by hash. Two
 sets that link share an n-gram within their prefixes in this order, whatever the order is, where the prefix of a set is
-the part that could be missing from its partner, and one more. N-grams of the quarter that one class alone holds come
-first and match nothing, so a class whose prefix is made of them is done; only the other classes ("open" ones) are read
-again in full.
+the part that could be missing from its partner, and one more. N-grams of the quarter that match nothing come first, as
+one class alone holds them or two whose sizes rule out a link, so a class whose prefix is made of them is done; only the
+other classes ("open" ones) are read again in full.
 
 Open classes that share a prefix n-gram meet in blocks of bounded size. One block is a trie of its ordered sets. The sets
 of the other go down the trie level by level, all at once: an overlap counted on a path is shared by all sets below it,
 and a subtree is left when the overlap so far and what can still match, on the shorter of both remainders, fall short of
 what the smallest set below needs. Where a path ends the overlap is exact, and so is the test of a link.
 
-Two rounds keep groups of copies linear: each class meets the first class of its largest group, linked classes become
-components, and groups that then hold more than one component are joined again without pairs inside the largest one.
+Groups are first merged under their hubs: the hub of an n-gram is the one of its classes that stands in most groups, and
+all classes that share an n-gram with the same hub are one group, so a class is sent to a few hubs and not once for each
+n-gram. Two rounds keep groups of copies linear: each class meets one hub, linked classes become components, and groups
+that then hold more than one component are joined again without pairs inside the largest one.
 Only components are returned, so pairs within a component need no test. Nothing is collected but a filter of at most 32 MB
 that spares the reading of texts; frequencies, groups and components are partial aggregates and joins.
 
@@ -36,8 +38,8 @@ from hearthline.llm import near_copies
 from hearthline.llm.common import columns_only, materialise, mix, release, shingle_sets
 from hearthline.llm.near_copies import components
 
-#: Hashes and sets of a block, about; tokens of a trie node; (set, token) cells looked up at a time.
-BLOCK, BLOCK_SETS, NODE, CELLS = 48_000, 400, 32, 1 << 22
+#: Hashes and sets of a block, about; tokens of a trie node; (set, token) cells held at a time.
+BLOCK, BLOCK_SETS, NODE, CELLS = 96_000, 400, 32, 1 << 23
 #: N-grams whose hash has these top bits clear are counted: a quarter.
 COUNTED_BITS = 2
 #: Steps of frequency, two for each doubling, and the level of n-grams that are not counted.
@@ -76,7 +78,7 @@ def class_rows(docs: DataFrame, size: int) -> DataFrame:
 
 
 def counted_ngrams(docs: DataFrame, size: int, remembered: int = 1 << 20) -> DataFrame:
-    """(f, token) of the counted n-grams, once for equal sets that follow each other within a task."""
+    """(f, n, token) of the counted n-grams, once for equal sets that follow each other within a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -92,9 +94,10 @@ def counted_ngrams(docs: DataFrame, size: int, remembered: int = 1 << 20) -> Dat
                 if len(seen) > remembered:
                     seen.clear()
                 keep = counted(hashes) & np.repeat(new, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(f, n)[keep].view(np.int64)), pa.array(hashes[keep].view(np.int64))], names=["f", "token"])
+                columns = [np.repeat(f, n)[keep].view(np.int64), np.repeat(n, n)[keep].astype(np.int32), hashes[keep].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["f", "n", "token"])
 
-    return columns_only(docs, "text").mapInArrow(run, "f bigint, token bigint")
+    return columns_only(docs, "text").mapInArrow(run, "f bigint, n int, token bigint")
 
 
 def prefix_length(n: Column, percent: int) -> Column:
@@ -104,11 +107,14 @@ def prefix_length(n: Column, percent: int) -> Column:
 
 def open_classes(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """(f, head, n, take, known): classes that may have a partner, the smallest doc_id of each, how many of its n-grams after
-    those that it alone holds are in its prefix, and its counted n-grams that other classes hold, with their frequencies."""
+    those that match nothing are in its prefix, and its counted n-grams that may match, with their frequencies.
+
+    Of an n-gram with two holders, the smallest and the largest size are theirs, and tell whether they could link."""
     tokens = counted_ngrams(docs, size)
-    several = tokens.groupBy("token").agg(F.count("*").alias("held"), F.min("f").alias("low"), F.max("f").alias("high")).where("low < high")
+    holders = tokens.groupBy("token").agg(F.count("*").alias("held"), F.min("f").alias("low"), F.max("f").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    several = holders.where((F.col("low") < F.col("high")) & ((F.col("held") > 2) | (F.col("least") * 100 >= F.col("most") * percent)))
     several = materialise(several.select("token", "held"))
-    known = tokens.join(several, "token").groupBy("f").agg(F.collect_set(F.struct("token", "held")).alias("known"))
+    known = tokens.select("f", "token").join(several, "token").groupBy("f").agg(F.collect_set(F.struct("token", "held")).alias("known"))
     classes = rows.where("n > 0").groupBy("f").agg(F.min("doc_id").alias("head"), F.min("n").alias("n"), F.min("counted").alias("counted"))
     alone = F.col("counted") - F.coalesce(F.size("known"), F.lit(0))
     both = classes.join(known, "f", "left").withColumn("take", prefix_length(F.col("n"), percent) - alone)
@@ -160,8 +166,8 @@ def ordered_sets(docs: DataFrame, opened: DataFrame, size: int) -> DataFrame:
 
 
 def order_keys(hashes: np.ndarray, tokens: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Sorted keys of the n-grams that other sets may hold: six bits of frequency level, then the hash. Counted n-grams that
-    are not among `tokens` are held by this set alone and left out."""
+    """Sorted keys of the n-grams that may match: six bits of frequency level, then the hash. Counted n-grams that are not
+    among `tokens` match nothing and are left out."""
     levels = np.minimum(np.floor(2 * np.log2(np.maximum(held, 1))).astype(np.uint64), _U(TOP_LEVEL - 1))
     rest = hashes[~counted(hashes)]
     return np.sort(np.concatenate([levels << _U(58) | tokens >> _U(6 - COUNTED_BITS) & _U((1 << 58) - 1), _U(TOP_LEVEL) << _U(58) | rest >> _U(6)]))
@@ -235,7 +241,18 @@ class Trie:
 
     def links(self, keys: np.ndarray, bounds: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """(place of a probe, place of a set of the trie) of all links with the given ordered sets."""
-        fits = np.flatnonzero((n * 100 >= self.n.min() * percent) & (self.n.max() * 100 >= n * percent))
+        fits = (n * 100 >= self.n.min() * percent) & (self.n.max() * 100 >= n * percent)
+        most, found = max(1, CELLS // len(self.vocabulary)), []
+        for a in range(0, len(n), most):
+            part = slice(a, min(a + most, len(n)))
+            if fits[part].any():
+                x, y = self._links(keys[bounds[part.start] : bounds[part.stop]], bounds[part.start : part.stop + 1] - bounds[part.start], n[part], np.flatnonzero(fits[part]), percent)
+                found.append((x + a, y))
+        if not found:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+    def _links(self, keys: np.ndarray, bounds: np.ndarray, n: np.ndarray, fits: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         has = np.zeros((len(n), len(self.vocabulary)), dtype=np.uint8)
         owner = np.repeat(np.arange(len(n)), np.diff(bounds))
         at = np.minimum(np.searchsorted(self.vocabulary, keys), len(self.vocabulary) - 1)
@@ -261,8 +278,6 @@ class Trie:
             who = np.repeat(np.arange(len(node)), many)
             below = self.child[self.child_start[node][who] + np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many)] if len(who) else np.zeros(0, dtype=np.int64)
             probe, node, overlap = probe[who], below, overlap[who]
-        if not found:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         return np.concatenate([p for p, _ in found]), np.concatenate([s for _, s in found])
 
     def _matches(self, has: np.ndarray, probe: np.ndarray, node: np.ndarray) -> np.ndarray:
@@ -277,8 +292,28 @@ class Trie:
         return out
 
 
+def forest(edges: list[list[int]]) -> list[list[int]]:
+    """As few of the edges as join the same nodes."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = above[up]
+            x = up
+        return x
+
+    out = []
+    for edge in edges:
+        a, b = map(top, edge)
+        if a != b:
+            above[a] = b
+            out.append(edge)
+    return out
+
+
 def joined(pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (ca, cb) between components, from pairs of blocks (one, other), each an array of (f, component, n, keys)."""
+    """Links (ca, cb) between components, as many as it takes to join them, from pairs of blocks (one, other), each an array
+    of (f, component, n, keys)."""
 
     def unpack(column: pa.Array, i: int) -> tuple[np.ndarray, ...]:
         block = column.slice(i, 1).flatten()
@@ -292,8 +327,8 @@ def joined(pairs: DataFrame, percent: int) -> DataFrame:
                 ca, na, ka, ba = unpack(batch.column(0), i)
                 cb, nb, kb, bb = unpack(batch.column(1), i)
                 x, y = Trie(kb, bb, nb).links(ka, ba, na, percent)
-                across = np.unique(np.stack([ca[x], cb[y]])[:, ca[x] != cb[y]], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(across[0]), pa.array(across[1])], names=["ca", "cb"])
+                across = forest(np.unique(np.stack([ca[x], cb[y]])[:, ca[x] != cb[y]], axis=1).T.tolist())
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in across], pa.int64()) for k in range(2)], names=["ca", "cb"])
 
     return pairs.select("one", "other").mapInArrow(run, "ca bigint, cb bigint").distinct()
 
@@ -307,32 +342,39 @@ def entry() -> Column:
     return F.struct("f", "component", "n", "keys")
 
 
-def leader_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of each class with the first class of its largest group. members: (key, f, n)."""
-    groups = members.groupBy("key").agg(F.min("f").alias("leader"), F.count("*").alias("k"))
-    stars = members.join(groups, "key").where("leader < f").groupBy("f").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
+def hub_groups(prefixes: DataFrame) -> DataFrame:
+    """(hub, f, n): classes that share an n-gram of their prefixes with a hub. Classes that share one meet under its hub.
+    prefixes: (f, n, key), one row for each n-gram of a prefix."""
+    crowds = prefixes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    members = materialise(prefixes.join(crowds, "key"))
+    degrees = members.groupBy("f").agg(F.count("*").alias("degree"))
+    hubs = members.join(degrees, "f").groupBy("key").agg(F.max_by("f", F.struct("degree", "f")).alias("hub"))
+    return materialise(members.join(hubs, "key").select("hub", "f", "n").distinct())
+
+
+def hub_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of each class with the hub of its largest group."""
+    groups = members.groupBy("hub").agg(F.count("*").alias("k"))
+    stars = members.join(groups, "hub").where("hub <> f").groupBy("f").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
     followers = sets.join(stars, "f")
-    totals = followers.groupBy("leader").agg(F.count("*").alias("k"), F.sum(F.size("keys")).alias("hashes"))
-    placed = followers.join(totals, "leader").withColumn("chunk", chunk_of(F.col("f"), F.col("hashes"), F.col("k"))).withColumn("component", F.col("f"))
-    blocks = placed.groupBy("leader", "chunk").agg(F.collect_list(entry()).alias("other"))
-    heads = sets.withColumn("component", F.col("f")).select(F.col("f").alias("leader"), F.array(entry()).alias("one"))
-    return joined(blocks.join(heads, "leader"), percent)
+    totals = followers.groupBy("hub").agg(F.count("*").alias("k"), F.sum(F.size("keys")).alias("hashes"))
+    placed = followers.join(totals, "hub").withColumn("chunk", chunk_of(F.col("f"), F.col("hashes"), F.col("k"))).withColumn("component", F.col("f"))
+    blocks = placed.groupBy("hub", "chunk").agg(F.collect_list(entry()).alias("other"))
+    heads = sets.withColumn("component", F.col("f")).select(F.col("f").alias("hub"), F.array(entry()).alias("one"))
+    return joined(blocks.join(heads, "hub"), percent)
 
 
 def remaining_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the components of a group. members: (key, f, n, component); groups of one component are done, and of
-    groups with the same classes one is enough."""
-    prints = [F.bit_xor(F.xxhash64("f", F.lit(k))).alias(f"p{k}") for k in range(2)]
-    mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k"), *prints).where("low < high")
-    mixed = mixed.groupBy("k", "p0", "p1").agg(F.min("key").alias("key")).select("key")
-    left = materialise(members.join(mixed, "key"))
-    counts = left.groupBy("key", "component").agg(F.count("*").alias("k"), F.sum("n").alias("hashes"))
-    main = counts.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("hashes").alias("hashes"), F.sum("k").alias("k"))
-    placed = left.drop("n").join(main, "key").select("key", "f", "component", (F.col("component") != F.col("main")).alias("aside"), chunk_of(F.col("f"), F.col("hashes"), F.col("k")).alias("chunk"))
-    blocks = materialise(placed.join(sets, "f").groupBy("key", "chunk", "aside").agg(F.collect_list(entry()).alias("block")))
-    ones = blocks.where("aside").select("key", F.col("chunk").alias("c1"), F.col("block").alias("one"))
-    others = blocks.select("key", F.col("chunk").alias("c2"), F.col("aside").alias("aside2"), F.col("block").alias("other"))
-    return joined(ones.join(others, "key").where("not aside2 or c1 <= c2"), percent)
+    """Links between the components of a group. members: (hub, f, n, component); groups of one component are done."""
+    mixed = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub")
+    left = materialise(members.join(mixed, "hub"))
+    counts = left.groupBy("hub", "component").agg(F.count("*").alias("k"), F.sum("n").alias("hashes"))
+    main = counts.groupBy("hub").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("hashes").alias("hashes"), F.sum("k").alias("k"))
+    placed = left.drop("n").join(main, "hub").select("hub", "f", "component", (F.col("component") != F.col("main")).alias("aside"), chunk_of(F.col("f"), F.col("hashes"), F.col("k")).alias("chunk"))
+    blocks = materialise(placed.join(sets, "f").groupBy("hub", "chunk", "aside").agg(F.collect_list(entry()).alias("block")))
+    ones = blocks.where("aside").select("hub", F.col("chunk").alias("c1"), F.col("block").alias("one"))
+    others = blocks.select("hub", F.col("chunk").alias("c2"), F.col("aside").alias("aside2"), F.col("block").alias("other"))
+    return joined(ones.join(others, "hub").where("not aside2 or c1 <= c2"), percent)
 
 
 def linked_texts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -342,11 +384,10 @@ def linked_texts(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     opened = open_classes(docs, rows, size, percent)
     sets = ordered_sets(docs, opened, size)
     prefixes = sets.select("f", "n", F.explode(F.slice("keys", F.lit(1), F.col("take").cast("int"))).alias("key"))
-    crowds = prefixes.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    members = materialise(prefixes.join(crowds.select("key"), "key"))
-    found = materialise(components(leader_links(members, sets.select("f", "n", "keys"), percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
-    labelled = members.join(found, members["f"] == found["node"], "left").select("key", "f", "n", F.coalesce("component", "f").alias("component"))
-    more = remaining_links(labelled, sets.select("f", "n", "keys"), percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    members, full = hub_groups(prefixes), sets.select("f", "n", "keys")
+    found = materialise(components(hub_links(members, full, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    labelled = members.join(found, members["f"] == found["node"], "left").select("hub", "f", "n", F.coalesce("component", "f").alias("component"))
+    more = remaining_links(labelled, full, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     again = materialise(components(more)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     first = found.join(again, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     every = first.unionByName(again.select(F.col("component").alias("node"), F.col("whole").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
