@@ -43,10 +43,10 @@ def wide_predictions(predictions: DataFrame, models: Sequence[str], value: str =
     return predictions.groupBy(key).agg(F.max("actual_price_wan").alias("actual_price_wan"), *picked)
 
 
-def error_by_strata(df: DataFrame, strata: Sequence[str], error: str = "absolute_error_wan") -> DataFrame:
-    """stratum, value, n, mae, median-free error profile of every stratifier from one scan with grouping sets."""
+def error_by_strata(df: DataFrame, strata: Sequence[str], error: str = "absolute_error_wan", by: Sequence[str] = ()) -> DataFrame:
+    """by + stratum, value, n, mae, median-free error profile of every stratifier from one scan with grouping sets."""
     text = {s: F.coalesce(F.col(s).cast("string"), F.lit("null")) for s in strata}
-    cells = df.withColumns(text).groupingSets([[F.col(s)] for s in strata], *[F.col(s) for s in strata]).agg(
+    cells = df.withColumns(text).groupingSets([[*map(F.col, by), F.col(s)] for s in strata], *[F.col(s) for s in [*by, *strata]]).agg(
         *[F.grouping(s).alias(f"_g_{s}") for s in strata],
         F.count("*").alias("n"),
         F.avg(error).alias("mae"),
@@ -57,7 +57,7 @@ def error_by_strata(df: DataFrame, strata: Sequence[str], error: str = "absolute
     for s in strata:
         name = name.when(F.col(f"_g_{s}") == 0, F.lit(s))
         value = value.when(F.col(f"_g_{s}") == 0, F.col(s))
-    return cells.select(name.alias("stratum"), value.alias("stratum_value"), "n", "mae", "mean_actual", "mean_predicted")
+    return cells.select(*by, name.alias("stratum"), value.alias("stratum_value"), "n", "mae", "mean_actual", "mean_predicted")
 
 
 def temporal_profile(df: DataFrame, time: str = "extracted_at", scope: str = "split") -> DataFrame:

@@ -64,9 +64,8 @@ def d4(spark, folder):
     return rounded(errors.regression_metrics(v.predictions(spark, folder)))
 
 
-def region_errors(spark, folder):
-    rows = v.predictions(spark, folder).filter(F.col("model_name") == "region_mean")
-    sized = rows.join(v.listings(spark, folder).select("house_id", "area_sqm"), "house_id")
+def sized_errors(spark, folder):
+    sized = v.predictions(spark, folder).join(v.listings(spark, folder).select("house_id", "area_sqm"), "house_id")
     return cleaning.with_quantile_bins(materialise(sized), {"area_sqm": "area_bin", "actual_price_wan": "price_bin"})
 
 
@@ -77,16 +76,16 @@ def bin_sql(column: str, prefix: str) -> str:
 
 @query(
     "d5_error_grouping_sets",
-    f"""WITH {v.PREDICTION}, s AS (SELECT p.*, l.area_sqm FROM v_pred p JOIN v_listing l USING (house_id) WHERE model_name = 'region_mean'),
+    f"""WITH {v.PREDICTION}, s AS (SELECT p.*, l.area_sqm FROM v_pred p JOIN v_listing l USING (house_id)),
     e AS (SELECT quantile_cont(area_sqm, [0.0, 0.25, 0.5, 0.75, 1.0]) AS ea, quantile_cont(actual_price_wan, [0.0, 0.25, 0.5, 0.75, 1.0]) AS ep FROM s),
-    b AS (SELECT region_slug, decoration_type, coalesce(CAST({bin_sql('area_sqm', 'ea')} AS VARCHAR), 'null') AS area_bin, coalesce(CAST({bin_sql('actual_price_wan', 'ep')} AS VARCHAR), 'null') AS price_bin,
+    b AS (SELECT model_name, region_slug, decoration_type, coalesce(CAST({bin_sql('area_sqm', 'ea')} AS VARCHAR), 'null') AS area_bin, coalesce(CAST({bin_sql('actual_price_wan', 'ep')} AS VARCHAR), 'null') AS price_bin,
       absolute_error_wan, actual_price_wan, predicted_price_wan FROM s, e)
-    SELECT CASE WHEN grouping(region_slug) = 0 THEN 'region_slug' WHEN grouping(decoration_type) = 0 THEN 'decoration_type' WHEN grouping(area_bin) = 0 THEN 'area_bin' ELSE 'price_bin' END AS stratum,
+    SELECT model_name, CASE WHEN grouping(region_slug) = 0 THEN 'region_slug' WHEN grouping(decoration_type) = 0 THEN 'decoration_type' WHEN grouping(area_bin) = 0 THEN 'area_bin' ELSE 'price_bin' END AS stratum,
       coalesce(region_slug, decoration_type, area_bin, price_bin) AS stratum_value, {n('count(*)', 'n')}, {r('avg(absolute_error_wan)', 'mae')}, {r('avg(actual_price_wan)', 'mean_actual')}, {r('avg(predicted_price_wan)', 'mean_predicted')}
-    FROM b GROUP BY GROUPING SETS ((region_slug), (decoration_type), (area_bin), (price_bin))""",
+    FROM b GROUP BY GROUPING SETS ((model_name, region_slug), (model_name, decoration_type), (model_name, area_bin), (model_name, price_bin))""",
 )
 def d5(spark, folder):
-    return rounded(errors.error_by_strata(region_errors(spark, folder), ["region_slug", "decoration_type", "area_bin", "price_bin"]))
+    return rounded(errors.error_by_strata(sized_errors(spark, folder), ["region_slug", "decoration_type", "area_bin", "price_bin"], by=["model_name"]))
 
 
 @query(

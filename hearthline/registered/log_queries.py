@@ -94,11 +94,10 @@ def k2(spark, folder):
 
 @query(
     "k3_progress",
-    f"SELECT strftime(ts, '%Y-%m-%d') AS region, {n('count(DISTINCT user_id)', 'processed')}, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_updated FROM events WHERE event_type = 'view' GROUP BY 1",
+    f"SELECT strftime(ts, '%Y-%m-%d') AS region, {n('count(DISTINCT user_id)', 'processed')}, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_updated FROM events GROUP BY 1",
 )
 def k3(spark, folder):
-    rows = table(spark, folder, "events").filter(F.col("event_type") == "view")
-    seen = rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("region"), "user_id").agg(F.max("ts").alias("ts"))
+    seen = table(spark, folder, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("region"), "user_id").agg(F.max("ts").alias("ts"))
     return seen.groupBy("region").agg(F.count("*").alias("processed"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_updated"))
 
 
@@ -137,7 +136,7 @@ def k6(spark, folder):
 def backfill(spark, folder):
     docs = v.titles(spark, folder)
     labels = table(spark, folder, "labels")
-    fresh = docs.filter(F.col("lang") == "en").select("doc_id", *[c.alias(k) for k, c in keyword_labels("text", {k: v.KEYWORDS[k] for k in ("quality", "toxic")}).items()])
+    fresh = docs.select("doc_id", *[c.alias(k) for k, c in keyword_labels("text", {k: v.KEYWORDS[k] for k in ("quality", "toxic")}).items()])
     return logs.backfill_labels(docs.select("doc_id", "lang"), labels, fresh, "doc_id")
 
 
@@ -148,7 +147,7 @@ def k7_targets(spark, folder):
 
 @query(
     "k7_backfilled_labels",
-    f"""WITH {v.RULES}, f AS (SELECT doc_id, quality, toxic FROM v_rules WHERE lang = 'en')
+    f"""WITH {v.RULES}, f AS (SELECT doc_id, quality, toxic FROM v_rules)
     SELECT doc_id, {n('coalesce(f.quality, l.quality)', 'quality')}, {n('coalesce(f.toxic, l.toxic)', 'toxic')} FROM labels l FULL JOIN f USING (doc_id)""",
 )
 def k7(spark, folder):

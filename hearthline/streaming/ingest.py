@@ -15,6 +15,8 @@ from hearthline.sources.jsonl import parsed_lines, record_columns
 
 #: Folders that the state of an incremental table is dealt over; a batch reads the ones its keys fall into.
 BUCKETS = 64
+#: Batches between snapshots of the open failures.
+SNAPSHOT_EVERY = 8
 
 
 def line_stream(spark: SparkSession, folder: str, ddl: str, files_per_batch: int | None = None) -> DataFrame:
@@ -50,11 +52,25 @@ def land(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _location(spark: SparkSession, path: str):
+    """A path and its file system, which may be any that Spark reads."""
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return location, location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _read_if_present(spark: SparkSession, path: str, schema) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    exists = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(location)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    location, system = _location(spark, path)
+    return spark.read.schema(schema).parquet(path) if system.exists(location) else spark.createDataFrame([], schema)
+
+
+def _whole_folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of the subfolders name=number that a writer has finished, in order."""
+    location, system = _location(spark, path)
+    if not system.exists(location):
+        return []
+    names = [entry.getPath().getName() for entry in system.listStatus(location) if entry.isDirectory()]
+    numbers = [int(n.split("=")[1]) for n in names if n.startswith(f"{name}=")]
+    return sorted(k for k in numbers if system.exists(_location(spark, f"{path}/{name}={k}/_SUCCESS")[0]))
 
 
 def _bucket(key: str) -> Column:
@@ -92,11 +108,13 @@ def deduplicate_within(stream: DataFrame, key: str, time: str, horizon: str = "7
     return stream.withWatermark(time, horizon).dropDuplicatesWithinWatermark([key])
 
 
-def fold_failures(stream: DataFrame, log_target: str, open_target: str, checkpoint: str) -> StreamingQuery:
+def fold_failures(stream: DataFrame, log_target: str, open_target: str, checkpoint: str, snapshot_every: int = SNAPSHOT_EVERY) -> StreamingQuery:
     """Lands failure and retry events and refreshes the table of open failures.
 
-    Each batch only touches the failure ids it mentions: their history is read, folded, and written as a new version;
-    readers take the highest version per id (see ``current_open_failures``).
+    Each batch only touches the failure ids it mentions: their history is read, folded, and written as a delta. Every
+    ``snapshot_every`` batches the deltas since the last snapshot are folded into a new one, which holds open failures only;
+    deltas that the snapshot before covers, and snapshots before that, are removed. So readers (see
+    ``current_open_failures``) scan one snapshot and a few deltas, however many batches there were.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -109,21 +127,45 @@ def fold_failures(stream: DataFrame, log_target: str, open_target: str, checkpoi
         history = log.join(touched, "failure_id", "left_semi")
         still_open = open_failures(history).withColumn("is_open", F.lit(True))
         state = touched.join(still_open, "failure_id", "left").withColumn("is_open", F.coalesce("is_open", F.lit(False)))
-        state.write.mode("overwrite").parquet(f"{open_target}/batch_id={batch_id}")
+        state.write.mode("overwrite").parquet(f"{open_target}/deltas/batch_id={batch_id}")
         known.unpersist()
+        if (batch_id + 1) % snapshot_every == 0:
+            _snapshot(spark, open_target, batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current_open_failures(spark: SparkSession, open_target: str) -> DataFrame:
-    versions = spark.read.parquet(open_target)
+def _snapshot(spark: SparkSession, open_target: str, batch_id: int) -> None:
+    """Folds what is open after a batch. A batch that runs again starts from the snapshot before its own, as it did before;
+    what two snapshots cover is dropped, so a reader that has listed the files of the last one still finds them."""
+    earlier = [k for k in _whole_folders(spark, f"{open_target}/snapshots", "upto") if k < batch_id]
+    _open_rows(spark, open_target, earlier[-1] if earlier else None, batch_id).write.mode("overwrite").parquet(f"{open_target}/snapshots/upto={batch_id}")
+    covered = earlier[-1] if earlier else -1
+    for kind, name, numbers in (("deltas", "batch_id", _whole_folders(spark, f"{open_target}/deltas", "batch_id")), ("snapshots", "upto", earlier[:-1])):
+        for k in numbers:
+            if k <= covered:
+                location, system = _location(spark, f"{open_target}/{kind}/{name}={k}")
+                system.delete(location, True)
+
+
+def _open_rows(spark: SparkSession, open_target: str, snapshot: int | None, upto: int | None = None) -> DataFrame:
+    """The latest state of each failure over a snapshot and the deltas after it, if it is open."""
+    deltas = spark.read.parquet(f"{open_target}/deltas").filter(F.col("batch_id") > (-1 if snapshot is None else snapshot))
+    versions = deltas if upto is None else deltas.filter(F.col("batch_id") <= upto)
+    if snapshot is not None:
+        kept = spark.read.schema(versions.drop("batch_id", "is_open").schema).parquet(f"{open_target}/snapshots/upto={snapshot}")
+        versions = versions.unionByName(kept.withColumn("is_open", F.lit(True)).withColumn("batch_id", F.lit(snapshot)))
     columns = [c for c in versions.columns if c not in ("batch_id", "failure_id", "is_open")]
-    latest = versions.groupBy("failure_id").agg(
-        F.max_by("is_open", "batch_id").alias("is_open"), F.max_by(F.struct(*columns), F.col("batch_id")).alias("s")
-    )
+    latest = versions.groupBy("failure_id").agg(F.max_by("is_open", "batch_id").alias("is_open"), F.max_by(F.struct(*columns), F.col("batch_id")).alias("s"))
     return latest.filter("is_open").select("failure_id", "s.*")
 
 
+def current_open_failures(spark: SparkSession, open_target: str) -> DataFrame:
+    """Open failures from the last snapshot and the deltas after it."""
+    snapshots = _whole_folders(spark, f"{open_target}/snapshots", "upto")
+    return _open_rows(spark, open_target, snapshots[-1] if snapshots else None)
+
+
 def land_table(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
     """Streams a Parquet table into a new folder under the shared checkpoint folder and reads it back."""
     base = scratch_path(spark, f"landed-{name}")

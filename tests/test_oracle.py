@@ -1,7 +1,6 @@
 """Every registered query against its SQL counterpart, with checks of its physical plan."""
 
 import math
-import os
 
 import duckdb
 import pytest
@@ -43,12 +42,7 @@ def test_query_equals_sql(spark, folder, duck, name):
         assert banned not in plan
 
 
-# Long experiment grids; set RUN_SLOW=1 to include them. Their parts are tested in test_plans.
-SLOW = {
-    "j7_boosted_members", "j15_two_stage_nested_cv", "j18_mixture_of_experts", "j20_feature_sets", "j21_target_transforms", "j22_cleaning_dose",
-    "j22_log_by_cleaning", "j23_polynomial", "j24_label_variants", "j24_title_variants", "j25_index_sensitivity", "j31_whole_study",
-}
-ROWS_ONLY = sorted(set(QUERIES) - set(ORACLE) - (set() if os.environ.get("RUN_SLOW") else SLOW))
+ROWS_ONLY = sorted(set(QUERIES) - set(ORACLE))
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)

@@ -225,6 +225,26 @@ def test_streamed_failures_equal_the_batch_fold(spark, tmp_path):
     assert {(r["failure_id"], r["retry_count"]) for r in live.collect()} == {(r["failure_id"], r["retry_count"]) for r in batch.collect()} == {("f2", 1), ("f3", 0)}
 
 
+def test_readers_of_open_failures_scan_a_snapshot_and_few_deltas(spark, tmp_path):
+    """Nine batches of one file each: failures open and close; the folders that a reader lists, before pruning, stay few."""
+    source = tmp_path / "log"
+    args = (str(tmp_path / "log_out"), str(tmp_path / "open_out"), str(tmp_path / "progress"), 2)
+    files = []
+    for k in range(9):
+        events = [{"record_type": "failure", "failure_id": f"f{k}", "target_url": f"u{k}", "failed_at": f"2026-01-0{k + 1}T00:00:00"}]
+        if k % 2:
+            events.append({"record_type": "retry_update", "failure_id": f"f{k - 1}", "retried_at": f"2026-01-0{k + 1}T01:00:00", "resolved": True, "success": True})
+        write(source / f"{k}.jsonl", events)
+        run_stream(ingest.fold_failures(ingest.record_stream(spark, str(source), schemas.FAILURE_DDL), *args))
+        live = ingest.current_open_failures(spark, args[1])
+        batch = logs.open_failures(jsonl.read_strict(spark, str(source), schemas.FAILURE_DDL))
+        assert {r["failure_id"] for r in live.collect()} == {r["failure_id"] for r in batch.collect()}
+        folders = {f.rsplit("/", 2)[1] for f in live.inputFiles()}
+        files.append(len(folders))
+    assert max(files) <= 4 and ingest._whole_folders(spark, f"{args[1]}/snapshots", "upto") == [5, 7]
+    assert min(ingest._whole_folders(spark, f"{args[1]}/deltas", "batch_id")) == 6
+
+
 def test_running_counters_and_bounded_dedupe(spark, tmp_path):
     source = tmp_path / "events"
     events = [{"event_at": f"2026-01-01T00:0{i}:00Z", "run_id": "r1", "region": "a", "phase": "p", "metrics": {"houses": {"total": i, "success": i - 1, "failed": 1}}} for i in range(1, 5)]
