@@ -2,7 +2,8 @@
 
 The merges are compiled lazily. A configuration of the transducer is the last token that is settled together with the
 bytes read since; reading one more byte either waits or emits the tokens that every continuation agrees on. Equal
-configurations are one state, so a transition is computed once per process and then looked up.
+configurations are one state, so a transition that is met again is looked up; one that is met once only is computed and
+not kept, so that the tables hold what recurs.
 
 Three facts make this exact. A token sequence is the encoding of its bytes if and only if each neighbouring pair of
 tokens is the encoding of its own bytes. So the last token of each prefix follows from the last tokens of shorter
@@ -10,15 +11,18 @@ prefixes. And a prefix can only stay a boundary of a longer text if some vocabul
 the bytes read, so waiting is bounded by the longest entry.
 
 Each match of the pattern is encoded on its own; one that is itself a vocabulary entry is that token. Outputs of short
-pre-tokens are kept in a table of bounded size. Defined results: null and empty texts have no tokens; rows may repeat;
-texts and pre-tokens of any length are encoded whole in linear time.
+pre-tokens are kept in a table of bounded size, and so are states, within a pre-token too. Texts of narrow scripts are cut
+by the same pattern with its classes spelled out, which the standard engine matches faster. Defined results: null and
+empty texts have no tokens; rows may repeat; texts and pre-tokens of any length are encoded whole in linear time; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,13 @@ from pyspark.sql import DataFrame
 from hearthline.llm.common import columns_only, resident, slices, text_bytes
 
 #: Remembered pre-tokens of a generation and the longest one remembered in bytes; states kept before the machine starts anew.
-REMEMBERED, SHORT, STATES = 250_000, 64, 200_000
+REMEMBERED, SHORT, STATES = 400_000, 64, 300_000
+#: Neighbouring tokens whose fit is remembered.
+NEIGHBOURS = 200_000
+#: Places that tell which moves have been asked for, a power of two.
+SEEN = 1 << 21
+#: Characters below this one make a text of narrow scripts: Latin, its marks and signs.
+NARROW = 0x240
 
 
 def read_ranks(file: str) -> dict[bytes, int]:
@@ -48,6 +58,7 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 NEVER = 1 << 62
+BYTES = [bytes([b]) for b in range(256)]
 
 
 class Transducer:
@@ -55,20 +66,49 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
+        self.four = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
+        self.neighbours: dict[int, bool] = {}
         self.longest = max(map(len, ranks), default=1)
+        if self.longest > 255:
+            raise ValueError("tokens of more than 255 bytes are not supported")
         self.begins = {t[:k] for t in ranks for k in range(1, len(t))}
         self.edges: dict[bytes, tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]] | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        """A state is (last settled token, waiting bytes, length of the last token of each prefix of them, 0 for none).
+        """A state is the last settled token, the waiting bytes, and the length of the last token of each prefix of them (0 for
+        none). It is kept as one string: the number of waiting bytes in two bytes, the lengths, the waiting bytes and the token.
 
-        Tables hold tuples of numbers and bytes only, which the garbage collector does not visit.
+        A move is one number: the next state and the place of what it emits. Tables hold numbers and bytes only, which the
+        garbage collector does not visit.
         """
-        self.ids: dict[tuple[bytes, bytes], int] = {(b"", b""): 0}
-        self.states: list[tuple[bytes, bytes, tuple[int, ...]]] = [(b"", b"", ())]
-        self.moves: dict[int, tuple[int, bytes]] = {}
+        start = bytes(2)
+        self.ids: dict[bytes, int] = {start: 0}
+        self.states: list[bytes] = [start]
+        self.moves: dict[int, int] = {}
+        self.emitted: list[bytes] = [b""]
+        self.emitted_at: dict[bytes, int] = {b"": 0}
         self.ends: dict[int, bytes] = {}
+        self.seen = bytearray(SEEN)
+
+    def parts(self, state: int) -> tuple[bytes, bytes, bytes]:
+        """(last settled token, waiting bytes, lengths) of a state."""
+        kept = self.states[state]
+        size = kept[0] << 8 | kept[1]
+        return kept[2 + 2 * size :], kept[2 + size : 2 + 2 * size], kept[2 : 2 + size]
+
+    def restart(self, state: int) -> int:
+        """Forgets all states but the one given, which gets a new number."""
+        kept = self.states[state]
+        self.reset()
+        return self.numbered(kept)
+
+    def numbered(self, kept: bytes) -> int:
+        number = self.ids.get(kept)
+        if number is None:
+            number = self.ids[kept] = len(self.states)
+            self.states.append(kept)
+        return number
 
     def growth(self, token: bytes) -> tuple[list[tuple[int, bytes]], list[tuple[int, bytes]]] | None:
         """How the first and the last part grow, as (rank of the merge, part), while `token` is encoded alone; None if it
@@ -118,16 +158,26 @@ class Transducer:
                 j += 1
                 next_right = growing[j + 1][0]
 
-    def last_length(self, last: bytes, pending: bytes, lengths: tuple[int, ...], end: int) -> int:
+    def neighbouring(self, last: bytes, token: bytes) -> bool:
+        """`fits`, remembered for pairs of tokens."""
+        key = self.ranks[last] << 32 | self.ranks[token] if last else -1 - self.ranks[token]
+        found = self.neighbours.get(key)
+        if found is None:
+            if len(self.neighbours) >= NEIGHBOURS:
+                self.neighbours.clear()
+            found = self.neighbours[key] = self.fits(last, token)
+        return found
+
+    def last_length(self, last: bytes, pending: bytes, lengths: bytes, end: int) -> int:
         """The length of the last token of the encoding of `pending[:end]`, from those of all shorter prefixes; 0 if that
         encoding would cross the settled boundary, where no longer text has a boundary either."""
         for k in range(max(0, end - self.longest), end):
             token = pending[k:end]
-            if token in self.ranks and (k == 0 or lengths[k - 1]) and self.fits(pending[k - lengths[k - 1] : k] if k else last, token):
+            if token in self.ranks and (k == 0 or lengths[k - 1]) and self.neighbouring(pending[k - lengths[k - 1] : k] if k else last, token):
                 return end - k
         return 0
 
-    def chain(self, lengths: tuple[int, ...], end: int) -> list[int]:
+    def chain(self, lengths: bytes, end: int) -> list[int]:
         """The boundaries of the encoding that ends at `end`."""
         out = []
         while end:
@@ -137,17 +187,18 @@ class Transducer:
 
     def packed(self, pending: bytes, bounds: list[int]) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        return b"".join(self.ranks[pending[a:b]].to_bytes(4, "little") for a, b in zip([0, *bounds], bounds, strict=False))
+        four = self.four
+        return b"".join([four[pending[a:b]] for a, b in zip([0, *bounds], bounds, strict=False)])
 
-    def move(self, state: int, byte: int) -> tuple[int, bytes]:
-        """Reads a byte: the next state and the ids that are settled now, which are those up to the last boundary that lies
-        on the path to every boundary that may live on."""
-        last, pending, lengths = self.states[state]
-        pending += bytes([byte])
+    def advance(self, last: bytes, pending: bytes, lengths: bytes, byte: int) -> tuple[bytes, bytes, bytes, bytes]:
+        """Reads a byte: the next configuration, and the ids that are settled now, which are those up to the last boundary that
+        lies on the path to every boundary that may live on."""
+        pending += BYTES[byte]
         size = len(pending)
-        lengths += (self.last_length(last, pending, lengths, size),)
-        if not lengths[-1]:
+        length = self.last_length(last, pending, lengths, size)
+        if not length:
             raise ValueError("the vocabulary lacks a byte")
+        lengths += BYTES[length]
         cut, begins = size, self.begins
         for k in range(max(0, size - self.longest), size):
             if (k == 0 or lengths[k - 1]) and pending[k:] in begins:
@@ -157,46 +208,98 @@ class Transducer:
                     else:
                         k -= lengths[k - 1]
                 if not cut:
-                    break
-        made = b""
-        if cut:
-            made = self.packed(pending, self.chain(lengths, cut))
-            kept: list[int] = []
-            for end, length in enumerate(lengths[cut:], 1):
-                start = end - length
-                kept.append(length if length and (start == 0 or start > 0 and kept[start - 1]) else 0)
-            last, pending, lengths = pending[cut - lengths[cut - 1] : cut], pending[cut:], tuple(kept)
-        target = self.ids.get((last, pending))
-        if target is None:
-            target = self.ids[last, pending] = len(self.states)
-            self.states.append((last, pending, lengths))
-        found = self.moves[state << 8 | byte] = (target, made)
-        return found
+                    return last, pending, lengths, b""
+        made = self.packed(pending, self.chain(lengths, cut))
+        kept = bytearray()
+        for end, length in enumerate(lengths[cut:], 1):
+            start = end - length
+            kept.append(length if length and (start == 0 or start > 0 and kept[start - 1]) else 0)
+        return pending[cut - lengths[cut - 1] : cut], pending[cut:], bytes(kept), made
+
+    def learn(self, state: int, byte: int, rest: Iterator[int], out: list[bytes]) -> int:
+        """Goes on from a state without a move for the byte, through configurations that need not be states, until one is a
+        state or the bytes end (-1). A move is kept when it is asked for a second time or leads to a state."""
+        last, pending, lengths = self.parts(state)
+        while True:
+            last, pending, lengths, made = self.advance(last, pending, lengths, byte)
+            if made:
+                out.append(made)
+            kept = BYTES[len(pending) >> 8] + BYTES[len(pending) & 255] + lengths + pending + last
+            target = self.ids.get(kept, -1)
+            if state >= 0:
+                mark = ((state << 8 | byte) * 0x9E3779B1 >> 7) & (SEEN - 1)
+                if target >= 0 or self.seen[mark]:
+                    target = self.numbered(kept)
+                    place = self.emitted_at.get(made, -1)
+                    if place < 0:
+                        place = self.emitted_at[made] = len(self.emitted)
+                        self.emitted.append(made)
+                    self.moves[state << 8 | byte] = target << 32 | place
+                else:
+                    self.seen[mark] = 1
+            state = target
+            if state >= 0:
+                return state
+            following = next(rest, None)
+            if following is None:
+                out.append(self.packed(pending, self.chain(lengths, len(pending))))
+                return -1
+            byte = following
 
     def finish(self, state: int) -> bytes:
         """The ids of the bytes that still wait at the end."""
-        _, pending, lengths = self.states[state]
+        _, pending, lengths = self.parts(state)
         found = self.ends[state] = self.packed(pending, self.chain(lengths, len(pending)))
         return found
 
     def encode(self, piece: bytes) -> bytes:
         """The ids of one pre-token as little-endian unsigned 32-bit integers."""
-        whole = self.ranks.get(piece)
+        whole = self.four.get(piece)
         if whole is not None:
-            return whole.to_bytes(4, "little")
-        if len(self.states) > STATES:
-            self.reset()
+            return whole
         out: list[bytes] = []
-        state, get = 0, self.moves.get
-        for byte in piece:
-            step = get(state << 8 | byte) or self.move(state, byte)
-            state = step[0]
-            if step[1]:
-                out.append(step[1])
+        state, rest = 0, iter(piece)
+        get, emitted = self.moves.get, self.emitted
+        for byte in rest:
+            step = get(state << 8 | byte)
+            if step is not None:
+                state = step >> 32
+                if step & 0xFFFFFFFF:
+                    out.append(emitted[step & 0xFFFFFFFF])
+                continue
+            state = self.learn(state, byte, rest, out)
+            if state < 0:
+                return b"".join(out)
+            if len(self.states) > STATES:
+                state = self.restart(state)
+                get, emitted = self.moves.get, self.emitted
         out.append(self.ends.get(state) or self.finish(state))
         return b"".join(out)
 
 
+def spelled_out(pattern: str, below: int = NARROW) -> Callable[[str], list[str]] | None:
+    """The pattern's findall for texts whose characters are all below a bound, with \\p{L}, \\p{N}, \\s and \\S replaced by the
+    characters they match there; None for patterns with other classes or with groups."""
+    members = lambda name: "".join(re.escape(chr(c)) for c in range(below) if regex.fullmatch(name, chr(c)))
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        found = re.match(r"\\p\{[LN]\}|\\[sS]", pattern[at:])
+        if found:
+            name = found[0]
+            if name == r"\S" and inside:
+                return None
+            out.append(members(name) if inside else f"[^{members(chr(92) + 's')}]" if name == r"\S" else f"[{members(name)}]")
+            at += len(name)
+            continue
+        if pattern[at] == "\\":
+            return None
+        inside = pattern[at] == "[" or inside and pattern[at] != "]"
+        out.append(pattern[at])
+        at += 1
+    made = re.compile("".join(out))
+    return None if made.groups else made.findall
+
+
 class Encoder(dict):
     """From each pre-token to its ids as little-endian 32-bit integers. Short ones are remembered in two generations: a full
     one becomes the older, from which entries in use move back, so common pre-tokens stay and memory is bounded."""
@@ -205,6 +308,8 @@ class Encoder(dict):
         super().__init__()
         self.machine = Transducer(ranks)
         self.find = regex.compile(pattern).findall
+        self.find_narrow = spelled_out(pattern)
+        self.narrow = re.compile(f"[\\0-{chr(NARROW - 1)}]*").fullmatch
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
@@ -221,7 +326,8 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text)))
+        find = self.find_narrow if self.find_narrow and self.narrow(text) else self.find
+        return b"".join(map(self.__getitem__, find(text)))
 
 
 class Utf8Stream:
