@@ -90,9 +90,10 @@ def community_counts(communities: DataFrame, types: Sequence[str] = config.POI_T
 
 def audit(
     raw: DataFrame, deduplicated: DataFrame, bounds: Mapping[str, Mapping[str, float]], communities: DataFrame,
-    key: str = "house_id", required: Sequence[str] = ("total_price_wan", "area_sqm", "region_slug", "room_count", "hall_count", "bath_count"),
+    key: str = "house_id", required: Sequence[str] = ("total_price_wan", "area_sqm", "region_slug", "room_count", "hall_count", "bath_count"), raw_communities: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: counts, rates, missing shares and bounds, from one pass over the flagged listings."""
+    """One row: counts, rates, missing shares and bounds, from one pass over the flagged listings. ``communities`` may be given
+    with repeats; ``raw_communities`` is that table before anything was dropped."""
     flagged = join_community(deduplicated, communities.select("community_id").distinct())
     flagged = flagged.withColumn("_valid", is_usable())
     flagged = flagged.withColumn("_kept", F.col("_valid") & F.coalesce(within_bounds(bounds), F.lit(False)))
@@ -108,7 +109,9 @@ def audit(
     )
     limits = [F.lit(b[side]).alias(f"{c}_{side}") for c, b in bounds.items() for side in ("low", "high")]
     raw_count = raw.agg(F.count("*").alias("n")).scalar()
-    return summary.select(raw_count.alias("raw_house_count"), "*", *limits)
+    before = (communities if raw_communities is None else raw_communities).agg(F.count("*").alias("n")).scalar()
+    after = communities.select("community_id").distinct().agg(F.count("*").alias("n")).scalar()
+    return summary.select(raw_count.alias("raw_house_count"), before.alias("raw_community_count"), after.alias("deduplicated_community_count"), "*", *limits)
 
 
 def missing_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -77,13 +77,12 @@ def ridge(data: Moments, alpha: float = 1.0, without: int | None = None) -> Comb
 
 
 def _descend(gram: np.ndarray, cross: np.ndarray, alpha: float, l1_share: float, weights: np.ndarray, rounds: int, enough: float) -> np.ndarray:
-    """Coordinate descent from given weights; products with the weights are kept up to date."""
+    """Coordinate descent from given weights; products with the weights are kept up to date, and a round leaves out weights
+    that are 0 and stay so."""
     weights, fitted, scale = weights.copy(), gram @ weights, np.diag(gram)
     for _ in range(rounds):
         moved = 0.0
-        for k in range(len(weights)):
-            if scale[k] <= 0:
-                continue
+        for k in np.flatnonzero((scale > 0) & ((weights != 0) | (np.abs(cross - fitted) > alpha * l1_share))).tolist():
             rest = cross[k] - fitted[k] + scale[k] * weights[k]
             shrunk = math.copysign(max(abs(rest) - alpha * l1_share, 0.0), rest) / (scale[k] + alpha * (1.0 - l1_share))
             step = shrunk - weights[k]

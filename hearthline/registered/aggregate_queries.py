@@ -17,11 +17,12 @@ REQUIRED = ("total_price_wan", "area_sqm", "region_slug", "room_count")
 
 @query(
     "d1_dataset_audit",
-    f"""{v.LISTING_TRIMMED}, {v.COMMUNITY} SELECT
+    f"""{v.LISTING_TRIMMED} SELECT
     {n('(SELECT count(*) FROM v_listing)', 'raw_house_count')}, {n('(SELECT count(*) FROM v_listing)', 'deduplicated_house_count')},
+    {n('(SELECT count(*) FROM v_listing)', 'raw_community_count')}, {n('(SELECT count(DISTINCT community_id) FROM v_listing)', 'deduplicated_community_count')},
     {n('(SELECT count(*) FROM trimmed)', 'usable_house_count')}, {n('(SELECT count(*) FROM v_listing) - (SELECT count(*) FROM valid)', 'removed_invalid_count')},
     {n('(SELECT count(*) FROM valid) - (SELECT count(*) FROM trimmed)', 'removed_outlier_count')},
-    {r('(SELECT avg(CASE WHEN c.community_id IS NULL THEN 0.0 ELSE 1.0 END) FROM trimmed LEFT JOIN v_community c USING (community_id))', 'community_join_rate')},
+    {r('(SELECT avg(CASE WHEN c.community_id IS NULL THEN 0.0 ELSE 1.0 END) FROM trimmed LEFT JOIN (SELECT DISTINCT community_id FROM v_listing) c USING (community_id))', 'community_join_rate')},
     {r('(SELECT count(*) FROM valid) / (SELECT count(*) FROM v_listing)', 'key_field_usable_rate')},
     {', '.join(r(f'(SELECT avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) FROM v_listing)', f'missing_{c}') for c in REQUIRED)},
     {r('pl', 'total_price_wan_low')}, {r('ph', 'total_price_wan_high')}, {r('al', 'area_sqm_low')}, {r('ah', 'area_sqm_high')} FROM bounds""",
@@ -30,7 +31,8 @@ def d1(spark, folder):
     raw = v.listings(spark, folder)
     houses = materialise(cleaning.keep_first(raw, "house_id", "extracted_at"))
     bounds = cleaning.trim_bounds(houses.filter(cleaning.is_usable()))
-    return rounded(cleaning.audit(raw, houses, bounds, v.communities(spark, folder), required=REQUIRED))
+    seen = v.priced(spark, folder).select("community_id", "extracted_at")  # a community's record comes with each of its listings
+    return rounded(cleaning.audit(raw, houses, bounds, cleaning.keep_first(seen, "community_id", "extracted_at"), required=REQUIRED, raw_communities=seen))
 
 
 MISSING = ["area_sqm", "room_count", "hall_count", "total_price_wan"]

@@ -4,23 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearthline import config
 from hearthline.functions import listing as fx
 from hearthline.functions import pages as px
 from hearthline.operators import cleaning, errors, keys, quality
 from hearthline.operators.requests import request_table
 from hearthline.registered import views as v
 from hearthline.registered.base import n, query, r, rounded, table
-from hearthline.session import materialise
+from hearthline.session import materialise, scratch_path
+from hearthline.sources import jsonl, tables
 
 
 @query("a3_community_counts", f"WITH {v.COMMUNITY} SELECT community_id, {', '.join(v.COUNTS)} FROM v_community")
 def a3(spark, folder):
-    return cleaning.community_counts(v.communities(spark, folder), v.TYPES)
+    """Counts as text in nested records, written as JSON lines and read by the nested reader."""
+    path = scratch_path(spark, "communities")
+    names = config.POI_TYPES[: len(v.COUNTS)]
+    summary = F.struct(*[F.col(c).cast("bigint").cast("string").alias(t) for t, c in zip(names, v.COUNTS)])
+    tables.write_jsonl(v.communities(spark, folder).select(F.col("community_id").cast("string").alias("community_id"), summary.alias("poi_summary"), F.lit("2026-01-01T00:00:00").alias("extracted_at")), path)
+    read = jsonl.read_communities(spark, path)
+    return read.select(F.col("community_id").cast("bigint").alias("community_id"), *[F.col(fx.poi_column(t)).alias(c) for t, c in zip(names, v.COUNTS)])
 
 
 @query("a7_seed_union", f"WITH {v.METRIC} SELECT model_name, {n('seed', 'seed')}, {n('n', 'n')}, {r('mae', 'mae')}, {r('r2', 'r2')} FROM v_metric")
 def a7(spark, folder):
-    return rounded(v.metrics(spark, folder).select("model_name", "seed", "n", "mae", "r2"))
+    """One folder of metric files for each run; the seed is read from its name."""
+    path = scratch_path(spark, "runs")
+    v.metrics(spark, folder).select("model_name", "n", "mae", "r2", F.col("seed").alias("seed_")).write.partitionBy("seed_").csv(path, header=True)
+    read = tables.read_run_metrics(spark, f"{path}/seed_=*", "model_name string, n bigint, mae double, r2 double", r"seed_=(\d+)")
+    return rounded(read.select("model_name", "seed", "n", "mae", "r2"))
 
 
 REQUEST_PROMPTS = {
