@@ -215,3 +215,31 @@ def test_tree_experts(frame, local, monkeypatch):
             assert got[r["house_id"]][1] == pytest.approx(r["p"])
     errors = {r["gate"]: r for r in ensembles.gate_errors(scored, profile, "y").collect()}
     assert sum(r["n"] for r in errors.values()) == len(got) and all(r["uses_expert"] == uses.get(g, False) for g, r in errors.items())
+
+
+def test_many_rows_by_difference(frame, bins):
+    """Joint histograms, sisters as differences and small nodes in batches give the trees of plain sums."""
+    ids, y, codes, _ = arrays(frame, bins)
+    rng = np.random.default_rng(3)
+    place = rng.integers(0, len(y), 30_000)
+    ids, y, codes = np.arange(30_000), y[place] + rng.integers(0, 5, 30_000), codes[place]
+    for kind in ("boosted", "forest", "median"):
+        growth = trees.Growth(kind, 4, 6, 0.5, 3.0, 0.1, 0.8 if kind != "forest" else 1.0, 0.9, 7)
+        unit = trees.Unit("m", (), growth, 0, growth.trees)
+        plain, packed = (trees.Grown(bins, growth, *trees.grow_unit(unit, ids, y, c, bins, direct)) for c, direct in ((codes, 1 << 40), (codes.astype(np.uint16), 0)))
+        assert np.allclose(plain.raw(codes), packed.raw(codes), rtol=0, atol=1e-9)
+        assert [list(t.column) for t in plain.trees] == [list(t.column) for t in packed.trees]
+
+
+def test_table_of_many_rows_is_grown_by_units(spark, monkeypatch):
+    """More than 262,144 rows once led to a job for every level of every round."""
+    def never(*_):
+        raise AssertionError("grown level by level")
+
+    monkeypatch.setattr(trees, "grow_large", never)
+    rows = spark.range(300_000, numPartitions=4).select(F.col("id").alias("house_id"), F.pmod("id", F.lit(50)).cast("double").alias("x"), F.pmod("id", F.lit(3)).alias("c"), (F.pmod("id", F.lit(50)) * 2 + F.pmod("id", F.lit(3))).cast("double").alias("y"), F.pmod("id", F.lit(2)).alias("fold"))
+    bins = trees.fit_bins(rows, ["x"], ["c"])
+    models = trees.grow_members(rows, {"b": trees.Growth("boosted", 3, 8), "f": trees.Growth("forest", 2, 8)}, bins, "y", [(), (1,)], "fold")
+    scored = trees.scored(rows, [("b", models["b", ()]), ("f", models["f", (1,)])])
+    error = scored.where("fold = 0").agg(F.avg(F.abs(F.col("b") - F.col("y"))), F.avg(F.abs(F.col("f") - F.col("y")))).first()
+    assert error[0] < 1.0 and error[1] < 1.0
