@@ -183,11 +183,23 @@ def bootstrap_factors(replicates: int, seed: int) -> tuple[list[int], list[int]]
     return [draw(r, "a") % (PRIME - 1) + 1 for r in range(1, replicates + 1)], [draw(r, "b") % PRIME for r in range(1, replicates + 1)]
 
 
-def bootstrap_sums(df: DataFrame, value: str, id_col: str, by: Sequence[str], replicates: int = 1000, seed: int = 42, rows_at_once: int = 2048) -> DataFrame:
+def bootstrap_weights(key: np.ndarray, a: np.ndarray, b: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """(keys, replicates): how often each replicate draws each key. PRIME is 2**31 - 1, so the remainder of a product is the
+    sum of its low and high 31 bits, and limits are compared one by one; both run over whole registers."""
+    product = key[:, None] * a + b
+    drawn = ((product & PRIME) + (product >> 31)).astype(np.uint32)
+    drawn -= (drawn >= PRIME) * np.uint32(PRIME)
+    weight = np.zeros(drawn.shape, dtype=np.uint8)
+    for limit in limits.astype(np.uint32):
+        weight += drawn >= limit
+    return weight
+
+
+def bootstrap_sums(df: DataFrame, value: str, id_col: str, by: Sequence[str], replicates: int = 1000, seed: int = 42, rows_at_once: int = 128) -> DataFrame:
     """by + replicate, weight, total: how often rows were drawn, and the sum of their values, by Poisson bootstrap.
 
     A task adds its rows to one array of sums a group; what is shuffled is the replicates of each group and task, and no
-    row is copied. Draws depend on the row's id, the seed and the replicate only; null values are not drawn.
+    row is copied. Rows of one id, such as those of several models, are drawn once and share their weights. Draws depend on the row's id, the seed and the replicate only; null values are not drawn.
     """
     by = list(by)
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
@@ -206,15 +218,21 @@ def bootstrap_sums(df: DataFrame, value: str, id_col: str, by: Sequence[str], re
             groups, place = np.unique(codes, axis=0, return_inverse=True)
             place = place.ravel()
             x, key = batch.column(len(by)).to_numpy(), batch.column(len(by) + 1).to_numpy()
-            for g, row in enumerate(groups.tolist()):
-                name = tuple(None if c < 0 else e.dictionary[c].as_py() for c, e in zip(row, encoded, strict=True))
+            names = [tuple(None if c < 0 else e.dictionary[c].as_py() for c, e in zip(row, encoded, strict=True)) for row in groups.tolist()]
+            keys, at = np.unique(key, return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            ends = np.searchsorted(at[order], np.arange(len(keys) + rows_at_once, step=rows_at_once))
+            found = np.zeros((2 * len(names), replicates))
+            for k, a in enumerate(range(0, len(keys), rows_at_once)):
+                some = order[ends[k] : ends[k + 1]]
+                drawn = bootstrap_weights(keys[a : a + rows_at_once], *factors, limits).astype(np.float64)
+                cell = place[some] * drawn.shape[0] + at[some] - a
+                for part, each in enumerate((None, x[some])):
+                    shares = np.bincount(cell, each, minlength=len(names) * drawn.shape[0]).reshape(len(names), -1)
+                    found[part :: 2] += shares @ drawn
+            for g, name in enumerate(names):
                 total = sums.setdefault(name, np.zeros((2, replicates)))
-                chosen = np.flatnonzero(place == g)
-                for a in range(0, len(chosen), rows_at_once):
-                    some = chosen[a : a + rows_at_once]
-                    weight = np.searchsorted(limits, (key[some, None] * factors[0] + factors[1]) % PRIME, side="right").astype(np.float64)
-                    total[0] += weight.sum(axis=0)
-                    total[1] += x[some] @ weight
+                total += found[2 * g : 2 * g + 2]
         for name, total in sums.items():
             columns = [pa.array([v] * replicates, t) for v, t in zip(name, types, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(1, replicates + 1, dtype=np.int32)), pa.array(total[0].astype(np.int64)), pa.array(total[1])], names=[*by, "replicate", "weight", "total"])

@@ -93,3 +93,28 @@ def test_bootstrap_interval_covers_the_mean(spark, rows):
     row = sampling.bootstrap_mean_ci(df, "x", "id", replicates=200).first()
     assert row["ci_low"] < row["mean"] < row["ci_high"]
     assert row["ci_high"] - row["ci_low"] == pytest.approx(2 * 1.96 * 3.162 / 5000**0.5, rel=0.25)
+
+
+def test_bootstrap_draws_each_id_once(spark, monkeypatch):
+    """Weights equal the remainders and limits spelled out, rows of one id share them, and totals hold for every group."""
+    import numpy as np
+
+    a, b = (np.array(x, dtype=np.int64) for x in sampling.bootstrap_factors(40, 42))
+    limits = np.array(sampling.bootstrap_limits(), dtype=np.int64)
+    key = np.array([0, 1, 5, sampling.PRIME - 1, *range(10**9, 10**9 + 300)], dtype=np.int64)
+    plain = np.searchsorted(limits, (key[:, None] * a + b) % sampling.PRIME, side="right")
+    assert (sampling.bootstrap_weights(key, a, b, limits) == plain).all()
+
+    data = [(k % 3 and f"m{k % 3}", k // 3, None if k == 7 else float(k % 11)) for k in range(900)] + [("m1", 4, 2.0)]
+    df = spark.createDataFrame([(str(m) if m else None, i, x) for m, i, x in data], "model string, id bigint, x double").coalesce(1)
+    hashed = {r["id"]: r["k"] for r in df.select("id", F.pmod(sampling.hash_key("id", 42), F.lit(sampling.PRIME)).alias("k")).distinct().collect()}
+    expected = {}
+    for m, i, x in data:
+        if x is not None:
+            weight = np.searchsorted(limits, (hashed[i] * a + b) % sampling.PRIME, side="right")
+            total = expected.setdefault(str(m) if m else None, np.zeros((2, 40)))
+            total += [weight, weight * x]
+    got = sampling.bootstrap_sums(df, "x", "id", ["model"], 40).collect()
+    assert len(got) == 40 * len(expected)
+    for row in got:
+        assert [row["weight"], row["total"]] == pytest.approx(expected[row["model"]][:, row["replicate"] - 1].tolist())
