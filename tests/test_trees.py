@@ -264,3 +264,64 @@ def test_products_without_vectors(frame, monkeypatch):
     monkeypatch.setattr(type(frame), "persist", never)
     (member,), (scored,) = fit_members(known, [filled], [Spec("ridge", "ridge", {"alphas": (0.1, 10.0)})], ["x1", "x2"], ["c", "d"], "y")
     assert member.selected in (0.1, 10.0) and scored.where("ridge is null").count() == 0
+
+
+def test_bins_are_cut_at_counted_ranks(spark):
+    """Cuts are values of wanted ranks, whatever the chunks; with few points a cut is off by a rank in as many at most."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=6000).round(4)
+    rows = [(float(v), None if i % 7 == 0 else float(i % 5), float("nan") if i % 3 == 0 else 1.0, None if i % 11 == 0 else "abé"[i % 3]) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "x double, few double, same double, c string").repartition(4)
+    exact = trees.fit_bins(frame, ["x", "few", "same"], ["c"], bins=16, chunk=500)
+    ranked = np.sort(x)
+    want = np.unique([ranked[int(np.ceil(k / 16 * len(x))) - 1] for k in range(1, 16)])
+    assert exact.cuts[0].tolist() == want[want < ranked[-1]].tolist()
+    assert exact.cuts[1].tolist() == [0.0, 1.0, 2.0, 3.0] and exact.cuts[2].tolist() == []
+    assert exact.levels == (("a", "b", "é"),)
+    near = trees.fit_bins(frame, ["x"], [], bins=16, points=200, chunk=1000)
+    off = np.searchsorted(ranked, near.cuts[0], side="right") - np.ceil(np.arange(1, 16) / 16 * len(x))
+    assert np.abs(off).max() <= len(x) / 200 + 4 and near.levels == ()
+    nothing = trees.fit_bins(frame.limit(0), ["x"], ["c"])
+    assert nothing.cuts[0].tolist() == [] and nothing.levels == ((),)
+
+
+def test_leaves_by_table_equal_leaves_by_steps(frame, bins):
+    ids, y, codes, _ = arrays(frame, bins)
+    growth = trees.Growth("boosted", 3, 4, 0.3, columns_share=0.7)
+    most = int(bins.sizes.max())
+    for tree in trees.grow_unit(trees.Unit("m", (), growth, 0, 3), ids, y, codes, bins)[1]:
+        steps = tree.leaves(codes, bins.one_against_rest())
+        many = np.tile(codes, (8, 1)).astype(np.uint8)
+        assert np.array_equal(tree.leaves(many, bins.one_against_rest(), most), np.tile(steps, 8))
+
+
+def test_forest_runs_of_many_rows(frame, bins, monkeypatch):
+    """A forest of many rows is dealt in runs, and its rows travel as a byte a column."""
+    monkeypatch.setattr(trees, "DIRECT", 50)
+    assert trees.coded(frame, bins, "y", None, "house_id").selectExpr("max(length(codes)) m").first()["m"] == len(bins.sizes)
+    growth = trees.Growth("forest", 2 * trees.FOREST_RUN, 3, least=2)
+    found = trees.grow_members(frame, {"f": growth}, bins, "y")["f", ()]
+    ids, y, codes, _ = arrays(frame, bins)
+    _, want = trees.grow_unit(trees.Unit("f", (), growth, 0, growth.trees), ids, y, codes, bins)
+    assert [list(t.column) for t in found.trees] == [list(t.column) for t in want]
+
+
+def test_importance_of_a_tree_member_by_hand(frame, bins):
+    """Scoring only trees that ask for a column, on rows whose bin changes, gives the errors of scoring all of them."""
+    for kind, settings in (("boosted", {"maxIter": 6, "maxDepth": 3}), ("forest", {"numTrees": 4, "maxDepth": 3})):
+        member = fit_members(frame, [], [Spec("m", kind, settings)], ["x1", "x2"], ["c"], "y")[0][0]
+        got = {r["column_name"]: r for r in study.permutation_importance(member, frame, ["x1", "x2", "c"], "y", repeats=2).collect()}
+        numbers, texts = member.model.bins.inputs()
+        order = study.positions(frame.select("house_id", study.hash_key("house_id", 42).alias("_h")), ["_h", "house_id"])
+        table = frame.join(order, "house_id").select("position", "y", numbers.alias("n"), texts.alias("t")).orderBy("position").toArrow().combine_chunks()
+        codes = member.model.bins.codes(table.column("n").combine_chunks(), table.column("t").combine_chunks())
+        y = table.column("y").to_numpy()
+        base = np.abs(member.model.raw(codes) - y).mean()
+        for place, column in enumerate(["x1", "x2", "c"]):
+            rises = []
+            for a, b in study.affine_pairs(len(y), 2, 42):
+                mixed = codes.copy()
+                mixed[:, place] = codes[(np.arange(len(y)) * a + b) % len(y), place]
+                rises.append(np.abs(member.model.raw(mixed) - y).mean() - base)
+            assert got[column]["importance_mean"] == pytest.approx(np.mean(rises), abs=1e-9)
+            assert got[column]["importance_std"] == pytest.approx(np.std(rises), abs=1e-9)
