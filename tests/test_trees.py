@@ -1,14 +1,16 @@
 """Trees on binned columns: splits against an exhaustive search, the distributed way against the one in a task."""
 
+import threading
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from hearthline.plans import ensembles, study, trees
-from hearthline.plans.moments import assembled_moments, grouped_ridges, vector_moments
-from hearthline.plans.oof import fit_members
-from hearthline.plans.zoo import Spec, assemble
+from hearthline.plans.moments import Moments, assembled_moments, condensed, grouped_ridges, vector_moments
+from hearthline.plans.oof import beside, fit_members
+from hearthline.plans.zoo import Spec, assemble, fit, fit_linear, strength_folds
 
 
 @pytest.fixture(scope="module")
@@ -246,6 +248,24 @@ def test_table_of_many_rows_is_grown_by_units(spark, monkeypatch):
     assert error[0] < 1.0 and error[1] < 1.0
 
 
+def test_every_unit_has_its_own_task(frame, bins, monkeypatch):
+    """Units once met by chance in one task; the longest are dealt to the first tasks."""
+    dealt = []
+    plain = type(frame).repartitionById
+
+    def noted(df, number, column):
+        out = plain(df, number, column)
+        dealt.append((number, out.select("unit", F.spark_partition_id().alias("part")).distinct().collect()))
+        return out
+
+    monkeypatch.setattr(type(frame), "repartitionById", noted)
+    growths = {"few": trees.Growth("boosted", 2, 2), "f": trees.Growth("forest", 2 * trees.FOREST_RUN, 2), "many": trees.Growth("boosted", 40, 3)}
+    models = trees.grow_members(frame, growths, bins, "y", [(0,), (1,)], "fold")
+    ((number, rows),) = dealt
+    assert number == 8 and {r["unit"]: r["part"] for r in rows} == {k: k for k in range(8)} and len(rows) == 8
+    assert {k: len(m.trees) for k, m in models.items()} == {(n, (f,)): g.trees for n, g in growths.items() for f in (0, 1)}
+
+
 def test_products_without_vectors(frame, monkeypatch):
     """Sums by category slot are the products of the assembled vectors, with missing and unseen texts; no rows are cached."""
     filled = frame.fillna({"x1": 3.0}).withColumn("d", F.when(F.col("house_id") % 5 == 0, None).otherwise((F.col("house_id") % 4).cast("string")))
@@ -266,6 +286,40 @@ def test_products_without_vectors(frame, monkeypatch):
     assert member.selected in (0.1, 10.0) and scored.where("ridge is null").count() == 0
 
 
+def test_linear_members_are_solved_from_products(frame):
+    """The solver reads no training row: a few weighted rows have the same products, empty slots included."""
+    filled = frame.fillna({"x1": 3.0}).where("c is not null")  # nothing is in the slot of unseen texts
+    model, (ready,) = assemble(filled, [], ["x1", "x2"], ["c"])
+    data = assembled_moments(filled, model, "y", 2.0, strength_folds())
+    weight, x, y = condensed(data)
+    z = np.column_stack([np.ones(len(x)), x, y])
+    assert len(weight) <= len(data.columns) + 2 and np.allclose(z.T @ (z * weight[:, None]), data.total(), rtol=1e-9, atol=1e-8)
+    empty = np.diag(data.total())[1:-1] == 0
+    assert empty.any() and not x[:, empty].any()
+    assert condensed(Moments(["0"], {0: np.full((3, 3), np.nan)})) is None
+    for spec in (Spec("ridge", "ridge", {"alphas": (0.1, 10.0)}), Spec("lasso", "lasso", {"steps": 10})):
+        (member,) = fit_linear([spec], filled, ready, model, "y")
+        rows = fit(spec, ready, "y", data=assembled_moments(filled, model, "y", filled.agg(F.avg("y")).first()[0], strength_folds()))
+        assert member.selected == pytest.approx(rows.selected) and member.model.summary.predictions.count() <= len(data.columns) + 2
+        assert np.allclose(member.model.coefficients.toArray(), rows.model.coefficients.toArray(), atol=1e-4) and member.model.intercept == pytest.approx(rows.model.intercept, abs=1e-4)
+
+
+def test_tables_are_made_beside_each_other():
+    both = threading.Barrier(2)
+    assert beside(lambda: both.wait(10) >= 0, lambda: both.wait(10) >= 0) == [True, True]
+
+
+def test_registered_tables_are_made_beside_each_other(monkeypatch):
+    """The out-of-fold table and the scored test rows once followed each other."""
+    from hearthline.registered import model_queries as m
+
+    both, begun = threading.Barrier(2), []
+    monkeypatch.setattr(m, "prepared", lambda *_: begun.append("rows"))
+    monkeypatch.setattr(m, "oof", lambda *_: (both.wait(10), "oof")[1])
+    monkeypatch.setattr(m, "scored_test", lambda *_: (both.wait(10), "test")[1])
+    assert m.oof_and_test(None, "") == ["oof", "test"] and begun == ["rows"]
+
+
 def test_bins_are_cut_at_counted_ranks(spark):
     """Cuts are values of wanted ranks, whatever the chunks; with few points a cut is off by a rank in as many at most."""
     rng = np.random.default_rng(5)
