@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from hearthline import config
 from hearthline.functions.hashing import hash_key
 from hearthline.operators.ranking import positions
-from hearthline.plans import ensembles, study
+from hearthline.plans import ensembles, oof, study
 from hearthline.plans.oof import cross_validation, oof_table
-from hearthline.plans.zoo import Spec, assemble, fit, model_zoo
+from hearthline.plans.zoo import Spec, assemble, fit, fit_linear, model_zoo
 from hearthline.registered import catalog
 
 
@@ -181,6 +181,37 @@ def test_nested_cv_and_oof_table(table):
     assert cross_validation(oof, ["mean_baseline"]).count() == 1
 
 
+@pytest.mark.parametrize("kind", ["ridge", "boosted"])
+def test_nested_cv_fits_a_member_once_for_each_set_of_folds(table, kind, monkeypatch):
+    """Every set of left-out folds is fitted once, and predictions are those of outer folds that are worked on one by one."""
+    train, settings = table.filter("split = 'train'"), {"maxIter": 4, "maxDepth": 2, "stepSize": 0.1}
+    spec = SPECS[1] if kind == "ridge" else SPECS[2]
+    want = {}
+    for outer in (0, 1, 2):
+        inner, held = train.filter(F.col("fold") != outer), train.filter(F.col("fold") == outer)
+        models = study.grow([spec], train, INPUTS.target, INPUTS.numeric, INPUTS.categorical, [(outer,), *[tuple(sorted((outer, i))) for i in (0, 1, 2) if i != outer]], "fold") if kind == "boosted" else None
+        if models:
+            inner_oof = study.trees.scored(inner, [(spec.name, {i: models[spec.name, tuple(sorted((outer, i)))] for i in (0, 1, 2) if i != outer})], "fold").withColumn("actual", F.col(INPUTS.target))
+            scored = study.trees.scored(held, [(spec.name, models[spec.name, (outer,)])])
+        else:
+            inner_oof = oof_table(inner, [spec], INPUTS.numeric, INPUTS.categorical, INPUTS.target, [f for f in (0, 1, 2) if f != outer])
+            _, (scored,) = oof.fit_members(inner, [held], [spec], INPUTS.numeric, INPUTS.categorical, INPUTS.target)
+            scored = scored.drop("features")
+        staged = study.two_stage(inner, scored, inner_oof, spec.name, INPUTS, settings)
+        want |= {r["house_id"]: (r["fold"], r[INPUTS.target], r["two_stage_residual"]) for r in staged.collect()}
+    fitted = []
+
+    def seen(specs, rows, *args):
+        fitted.append(frozenset(r["fold"] for r in rows.select("fold").distinct().collect()))
+        return fit_linear(specs, rows, *args)
+
+    monkeypatch.setattr(oof, "fit_linear", seen)
+    got = {r["house_id"]: (r["fold"], r["actual"], r["two_stage_residual"]) for r in study.nested_two_stage_cv(train, spec, INPUTS, [0, 1, 2], settings).collect()}
+    assert sorted(map(sorted, fitted)) == ([[0], [0, 1], [0, 2], [1], [1, 2], [2]] if kind == "ridge" else [])
+    assert got.keys() == want.keys() and len(got) == train.count()
+    assert all(got[k][:2] == want[k][:2] and got[k][2] == pytest.approx(want[k][2], rel=1e-9) for k in want)
+
+
 def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
