@@ -1,6 +1,7 @@
 """Readers, sinks, logs and streams on small files."""
 
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -115,6 +116,19 @@ def test_reference_medians_of_unseen_groups(spark):
     assert row["area_layout_efficiency"] == pytest.approx(50 / 20) and row["region_accessibility_interaction"] == pytest.approx(6 / 6)
 
 
+def test_reference_medians_are_sought_at_the_same_time(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "x", 10.0, 2.0), ("a", "x", 30.0, 4.0), ("b", "y", 50.0, 6.0)], "house_layout string, region_slug string, area_sqm double, accessibility_index double")
+    together, medians = threading.Barrier(2), cleaning.group_medians
+
+    def met(*args):
+        together.wait(60)
+        return medians(*args)
+
+    monkeypatch.setattr(cleaning, "group_medians", met)
+    got = {r["area_sqm"]: (r["area_layout_efficiency"], r["region_accessibility_interaction"]) for r in cleaning.apply_reference_medians(df, df.filter("house_layout = 'a'")).collect()}
+    assert got == {10.0: pytest.approx((0.5, 2 / 3)), 30.0: pytest.approx((1.5, 4 / 3)), 50.0: pytest.approx((2.5, 2.0))}
+
+
 def test_group_mean_chain_falls_through(spark):
     train = spark.createDataFrame([("c1", "r1", 10.0), ("c2", "r1", 20.0), (None, "r2", 60.0)], "c string, r string, y double")
     test = spark.createDataFrame([(1, "c1", "r1"), (2, "c9", "r1"), (3, None, "r2"), (4, "c9", "r9")], "i int, c string, r string")
