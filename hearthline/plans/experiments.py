@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,6 +18,9 @@ from hearthline.plans.oof import fit_members, oof_table
 from hearthline.plans.study import Inputs, data_driven_weights, two_stage
 from hearthline.plans.zoo import RESIDUAL, Spec
 
+#: Variants that are fitted at the same time.
+AT_ONCE = 4
+
 
 @dataclass(frozen=True)
 class Variant:
@@ -62,7 +66,8 @@ def run_variant(table: DataFrame, variant: Variant, specs: Sequence[Spec], targe
 
 
 def run_variants(table: DataFrame, variants: Sequence[Variant], specs: Sequence[Spec], target: str = config.TARGET) -> DataFrame:
-    return reduce(DataFrame.unionByName, [run_variant(table, v, specs, target) for v in variants])
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return reduce(DataFrame.unionByName, list(pool.map(lambda v: run_variant(table, v, specs, target), variants)))
 
 
 def feature_set_variants(

@@ -306,13 +306,14 @@ def j23(spark, folder):
 
 
 def labelled(spark, folder) -> tuple[DataFrame, dict[str, list[str]]]:
-    """Listings with the labels of the document that has their number; other listings have none."""
+    """Listings with the labels of the document that has their number; other listings have none. Written once: every
+    variant reads the rows several times, and texts are searched for words once."""
     docs = v.titles(spark, folder)
     rules = docs.select(F.col("doc_id").alias("house_id"), *[c.alias(f"{k}_rule") for k, c in keyword_labels("text", v.KEYWORDS).items()])
     given = table(spark, folder, "labels").select(F.col("doc_id").alias("house_id"), F.col("quality").alias("quality_label"), F.col("toxic").alias("toxic_label"))
     names = {"rule": [f"{k}_rule" for k in v.KEYWORDS], "annotated": ["quality_label", "toxic_label"]}
     rows = experiments.flag_training_noise(prepared(spark, folder)).join(rules, "house_id", "left").join(given, "house_id", "left")
-    filled = rows.fillna(0, subset=names["rule"] + names["annotated"])
+    filled = study.materialise(rows.fillna(0, subset=names["rule"] + names["annotated"]))
     return filled, {"none": [], **names, "rule_annotated": names["rule"] + names["annotated"]}
 
 

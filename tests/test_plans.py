@@ -1,5 +1,7 @@
 """Ensembles on a small table, and the shapes of physical plans."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.regression import LinearRegression
@@ -273,3 +275,20 @@ def test_registered_models_have_full_settings(spark, folder, monkeypatch):
         assert set(args[2]) == {*mq.NUMERIC, *mq.CATEGORICAL} and settings.get("repeats", 5) == 5
     (train, _, spec, *_), _ = call(mq.ensembles, "mixture_of_experts", mq.j18_moe)
     assert spec == full["boosted_histogram"] and train.where("region_slug <> floor_level").count() > 0
+
+
+def test_variants_are_fitted_at_the_same_time(spark, monkeypatch):
+    """Variants once followed each other, so that their many short jobs left cores idle."""
+    from hearthline.plans import experiments
+
+    both = threading.Barrier(2)
+    monkeypatch.setattr(experiments, "run_variant", lambda table, variant, *_: (both.wait(20), table.withColumn("v", F.lit(variant)))[1])
+    assert [r["v"] for r in experiments.run_variants(spark.range(1), ["a", "b"], []).collect()] == ["a", "b"]
+
+
+def test_labelled_rows_are_written_once(spark, folder):
+    """Every pass of every variant once searched all texts for words and joined them again."""
+    from hearthline.registered import model_queries
+
+    rows, _ = model_queries.labelled(spark, folder)
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
