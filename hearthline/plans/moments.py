@@ -34,17 +34,48 @@ class Moments:
 
 
 def moments(df: DataFrame, columns: Sequence[str], target: str = "actual", fold: str = "fold") -> Moments:
-    """Products of (1, columns, target) summed per fold in one partial aggregate."""
-    terms = [F.lit(1.0), *[F.col(c) for c in columns], F.col(target)]
-    size = len(terms)
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    rows = df.groupBy(fold).agg(*[F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect()
+    """Products of (1, columns, target) summed per fold: tasks add up products of blocks of rows, so a table of many columns
+    costs a matrix product and not one sum for each pair. A product with a null counts as none; a pair without any is NaN."""
+    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in columns], F.col(target).cast("double")]
+    size, kind = len(terms), df.schema[fold].dataType.simpleString()
+
+    def products(z: np.ndarray, known: np.ndarray) -> np.ndarray:
+        filled = np.where(known, z, 0.0)
+        if known.all() or np.isfinite(filled).all():
+            return filled.T @ filled
+        out = np.empty((size, size))  # a number that is not finite does not meet another's null
+        for i in range(size):
+            out[i] = [(filled[:, i] * filled[:, j])[known[:, i] & known[:, j]].sum() for j in range(size)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[object, list[np.ndarray]] = {}
+        for batch in batches:
+            if not len(batch):
+                continue
+            values, place = batch.column(1).flatten(), batch.column(0).dictionary_encode()
+            z = values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+            known = values.is_valid().to_numpy(zero_copy_only=False).reshape(-1, size)
+            at = place.indices.fill_null(-1).to_numpy()
+            for g in np.unique(at).tolist():
+                mine = at == g
+                found = products(z[mine], known[mine]), known[mine].T.astype(np.float64) @ known[mine]
+                held = sums.setdefault(place.dictionary[g].as_py() if g >= 0 else None, [np.zeros((size, size)), np.zeros((size, size))])
+                for whole, part in zip(held, found, strict=True):
+                    whole += part
+        for key, (total, count) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([key], batch.schema.field(0).type), *[pa.array([x.ravel()], pa.list_(pa.float64())) for x in (total, count)]], names=["fold", "total", "count"])
+
+    def added(table: pa.Table) -> pa.Table:
+        sums = [np.sum([np.array(x) for x in table.column(c).to_pylist()], axis=0) for c in ("total", "count")]
+        return pa.table({"fold": table.column("fold").slice(0, 1), **{c: pa.array([x], pa.list_(pa.float64())) for c, x in zip(("total", "count"), sums, strict=True)}})
+
+    schema = f"fold {kind}, total array<double>, count array<double>"
+    parts = df.select(F.col(fold).alias("fold"), F.array(*terms).alias("z")).mapInArrow(run, schema)
     out = {}
-    for row in rows:
-        matrix = np.zeros((size, size))
-        for i, j in pairs:
-            matrix[i, j] = matrix[j, i] = row[f"s{i}_{j}"]
-        out[row[fold]] = matrix
+    for row in parts.groupBy("fold").applyInArrow(added, schema).collect():  # one row for each fold
+        total, count = (np.array(row[c]).reshape(size, size) for c in ("total", "count"))
+        out[row["fold"]] = np.where(count > 0, total, np.nan)
     return Moments(list(columns), out)
 
 

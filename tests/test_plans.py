@@ -277,6 +277,24 @@ def test_registered_models_have_full_settings(spark, folder, monkeypatch):
     assert spec == full["boosted_histogram"] and train.where("region_slug <> floor_level").count() > 0
 
 
+def test_products_of_many_columns_are_one_matrix(spark, monkeypatch):
+    """Each pair of columns was once a sum of its own; a product with a null counts as none, one with NaN as NaN."""
+    from hearthline.plans import moments as m
+
+    def never(*_):
+        raise AssertionError("a sum for each pair")
+
+    monkeypatch.setattr(m.F, "sum", never)
+    nan = float("nan")
+    rows = [(0, 1.0, 2.0, 3.0), (0, None, 5.0, 1.0), (1, 2.0, nan, 4.0), (1, None, 1.0, 2.0), (None, 1.0, 1.0, 1.0), (2, None, 1.0, 1.0)]
+    found = m.moments(spark.createDataFrame(rows, "fold int, a double, b double, actual double").repartition(3), ["a", "b"]).per_fold
+    want = {
+        0: [[2, 1, 7, 4], [1, 1, 2, 3], [7, 2, 29, 11], [4, 3, 11, 10]], None: np.ones((4, 4)),
+        1: [[2, 2, nan, 6], [2, 4, nan, 8], [nan, nan, nan, nan], [6, 8, nan, 20]], 2: [[1, nan, 1, 1], [nan] * 4, [1, nan, 1, 1], [1, nan, 1, 1]],
+    }
+    assert set(found) == set(want) and all(np.allclose(found[k], want[k], equal_nan=True) for k in want)
+
+
 def test_variants_are_fitted_at_the_same_time(spark, monkeypatch):
     """Variants once followed each other, so that their many short jobs left cores idle."""
     from hearthline.plans import experiments
