@@ -220,6 +220,48 @@ def test_tree_experts(frame, local, monkeypatch):
     assert sum(r["n"] for r in errors.values()) == len(got) and all(r["uses_expert"] == uses.get(g, False) for g, r in errors.items())
 
 
+@pytest.mark.parametrize("few", [trees.FEW, 8])
+def test_boosted_units_are_grown_by_all_tasks_together(frame, bins, few, monkeypatch):
+    """A unit was once a single task however many rows it had, and a job for every level where its rows did not fit."""
+    def never(*_):
+        raise AssertionError("grown level by level, or in one task")
+
+    boosted = {name: g for name, g in GROWTHS.items() if g.kind != "forest"}
+    held = [(), (1,)]
+    small = trees.grow_members(frame, boosted, bins, "y", held, "fold")
+    for name, value in {"SPREAD": 0, "FEW": few, "grow_large": never, "grow_unit": never}.items():
+        monkeypatch.setattr(trees, name, value)
+    _, _, codes, _ = arrays(frame, bins)
+    for local in (trees.LOCAL, 100):  # few units, and rows that do not fit into a task
+        together = trees.grow_members(frame, boosted, bins, "y", held, "fold", local=local)
+        assert set(together) == set(small)
+        for key, model in small.items():
+            assert model.start == pytest.approx(together[key].start)
+            assert all(same(nested(a), nested(b)) for a, b in zip(model.trees, together[key].trees, strict=True)), key
+            assert np.allclose(model.raw(codes), together[key].raw(codes))
+
+
+def test_middle_values_of_all_tasks(tmp_path):
+    """Medians by exchanged bytes, with ties, signs, both zeros and tasks without rows, against sorting."""
+    rng = np.random.default_rng(5)
+    groups = [rng.normal(size=1001), rng.integers(-3, 3, 500).astype(float), np.array([-0.0, 0.0]), np.array([-1e300]), np.array([]), np.array([-5.0, -1.0, np.inf, 1e-310])]
+    shares = [[g[k::3] for g in groups] for k in range(3)]
+    found = [None] * 3
+
+    def task(k):
+        found[k] = trees.middle_values(shares[k], trees.Exchange(str(tmp_path / "x"), k, 3, patience=30.0).add)
+
+    threads = [threading.Thread(target=task, args=(k,)) for k in range(3)]
+    [t.start() for t in threads], [t.join() for t in threads]
+    assert found[0] == found[1] == found[2] == [float(np.median(g)) if len(g) else None for g in groups]
+    assert len(list((tmp_path / "x").iterdir())) <= 3  # files are deleted as soon as all have read them
+
+
+def test_sums_wait_for_all_tasks_and_not_for_ever(tmp_path):
+    with pytest.raises(TimeoutError):
+        trees.Exchange(str(tmp_path), 0, 2, patience=0.05).add(np.ones(3))
+
+
 def test_many_rows_by_difference(frame, bins):
     """Joint histograms, sisters as differences and small nodes in batches give the trees of plain sums."""
     ids, y, codes, _ = arrays(frame, bins)
