@@ -220,6 +220,20 @@ def test_tree_experts(frame, local, monkeypatch):
     assert sum(r["n"] for r in errors.values()) == len(got) and all(r["uses_expert"] == uses.get(g, False) for g, r in errors.items())
 
 
+def test_large_gates_are_grown_in_one_job(frame, monkeypatch):
+    """Gates of many rows once followed each other, each in a job of its own that read all rows."""
+    calls, plain = [], trees.grow_members
+    monkeypatch.setattr(trees, "grow_members", lambda *a, **k: (calls.append(a), plain(*a, **k))[1])
+    rows = frame.withColumn("gate", F.coalesce("c", F.lit("none")))
+    own = ensembles._tree_experts(rows, rows, Spec("b", "boosted", SETTINGS["boosted"]), "y", ["x1", "x2"], ["c"], "house_id", 20)
+    got = {r["house_id"]: r["_own"] for r in own.collect()}
+    assert not calls and len(got) == rows.count()
+    own_bins = trees.fit_bins(rows, ["x1", "x2"], ["c"])
+    model = plain(rows.where("gate = 'none'"), {"b": GROWTHS["boosted"]}, own_bins, "y")["b", ()]
+    for r in trees.scored(rows.where("gate = 'none'"), [("p", model)]).collect():
+        assert got[r["house_id"]] == pytest.approx(r["p"])
+
+
 @pytest.mark.parametrize("few", [trees.FEW, 8])
 def test_boosted_units_are_grown_by_all_tasks_together(frame, bins, few, monkeypatch):
     """A unit was once a single task however many rows it had, and a job for every level where its rows did not fit."""
