@@ -34,20 +34,11 @@ class Moments:
 
 
 def moments(df: DataFrame, columns: Sequence[str], target: str = "actual", fold: str = "fold") -> Moments:
-    """Products of (1, columns, target) summed per fold: tasks add up products of blocks of rows, so a table of many columns
-    costs a matrix product and not one sum for each pair. A product with a null counts as none; a pair without any is NaN."""
+    """Products of (1, columns, target) summed per fold: tasks add up products of whole batches, so a table of many columns does not
+    take an aggregate of one sum for each pair. A product with a null counts as none; a pair without any is NaN."""
     terms = [F.lit(1.0), *[F.col(c).cast("double") for c in columns], F.col(target).cast("double")]
     size, kind = len(terms), df.schema[fold].dataType.simpleString()
 
-    def products(z: np.ndarray, known: np.ndarray) -> np.ndarray:
-        filled = np.where(known, z, 0.0)
-        if known.all() or np.isfinite(filled).all():
-            return filled.T @ filled
-        out = np.empty((size, size))  # a number that is not finite does not meet another's null
-        for i in range(size):
-            out[i] = [(filled[:, i] * filled[:, j])[known[:, i] & known[:, j]].sum() for j in range(size)]
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[object, list[np.ndarray]] = {}
         for batch in batches:
@@ -58,11 +49,15 @@ def moments(df: DataFrame, columns: Sequence[str], target: str = "actual", fold:
             known = values.is_valid().to_numpy(zero_copy_only=False).reshape(-1, size)
             at = place.indices.fill_null(-1).to_numpy()
             for g in np.unique(at).tolist():
-                mine = at == g
-                found = products(z[mine], known[mine]), known[mine].T.astype(np.float64) @ known[mine]
+                part, here = z[at == g], known[at == g]
                 held = sums.setdefault(place.dictionary[g].as_py() if g >= 0 else None, [np.zeros((size, size)), np.zeros((size, size))])
-                for whole, part in zip(held, found, strict=True):
-                    whole += part
+                held[1] += here.T.astype(np.float64) @ here
+                for i in range(size):
+                    with np.errstate(invalid="ignore"):
+                        product = part[:, i : i + 1] * part
+                    if not here.all():
+                        product[~(here[:, i : i + 1] & here)] = 0.0
+                    held[0][i] = np.add.reduce(np.concatenate([held[0][i : i + 1], product]))  # row after row, as SQL adds
         for key, (total, count) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([key], batch.schema.field(0).type), *[pa.array([x.ravel()], pa.list_(pa.float64())) for x in (total, count)]], names=["fold", "total", "count"])
 
